@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simweave.llm.ftrl import toxicity
 from simweave.llm.hyperminhash import near_duplicates
+from simweave.llm.mixing import taken_words
+from simweave.llm.resharding import reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +18,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
+
+
+def op6_min_cost_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard(_table(spark, sf_dir, "documents"), new_shards=24, old_shards=16)
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=2)
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_hyperminhash": op8_hyperminhash}
+    return {f.__name__: f for f in (op2_ftrl_toxicity, op4_splitting_tree_mix, op6_min_cost_flow_reshard, op8_hyperminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
