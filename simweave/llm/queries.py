@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simweave.llm.crf import identify
 from simweave.llm.ftrl import toxicity
 from simweave.llm.hyperminhash import near_duplicates
 from simweave.llm.mixing import taken_words
@@ -26,6 +27,10 @@ def op4_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_min_cost_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(_table(spark, sf_dir, "documents"), new_shards=24, old_shards=16)
 
@@ -35,7 +40,7 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ftrl_toxicity, op4_splitting_tree_mix, op6_min_cost_flow_reshard, op8_hyperminhash)}
+    return {f.__name__: f for f in (op2_ftrl_toxicity, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op8_hyperminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
