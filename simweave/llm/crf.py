@@ -71,7 +71,7 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         b = np.concatenate([buf, np.full(2, 0x20, np.uint8)]).astype(np.uint32)
         two = b[:-2] << np.uint32(8) | b[1:-1]
-        three = two << np.uint32(8) | b[2:]
+        three = two << np.uint32(8) | np.where(b[1:-1] == 0x20, np.uint32(0x20), b[2:])  # never into the next word
         grams = np.stack([(two * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), (three * np.uint32(0x85EBCA77) + np.uint32(0x1B873593)) >> np.uint32(32 - BITS)]).astype(np.int32)
         hashes = tk.hash_spans(buf, 0, len(buf), starts, ends)
         extra = [(hashes >> shift).astype(np.int32)]

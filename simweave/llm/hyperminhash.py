@@ -13,16 +13,19 @@ candidates. At 0.8, 50 bands of five registers miss a pair with probability
 2e-9. Then
 
 1. equal sets are one node, named by its smallest doc_id;
-2. every bucket links its members to its smallest one: linear in its size;
-3. the collision-corrected Jaccard estimate drops what lies over six standard
-   deviations below the threshold, the full shingle sets confirm the rest, and
-   confirmed links give components;
-4. buckets that still hold several components are searched for links between
-   *different* components: registers of a bucket's members are compared in
-   blocks of ``TILE`` and only likely links leave the task. Groups of copies
-   have become one component by then, so they cost nothing here.
-
-Step 4 makes the components those of all links, not only of the stars.
+2. in a few rounds, every document is tried with one center of another
+   component, that of its buckets which it shares most often: linear in the
+   documents. The collision-corrected Jaccard estimate drops what lies five
+   standard deviations below the threshold, the full shingle sets confirm the
+   rest, and confirmed links give components;
+3. buckets that still hold several components are searched for links between
+   *different* components. Documents of which too many shingles occur in no
+   other component can have none and leave (an exact bound); for the rest, the
+   registers of a bucket's members are compared in tiles of bounded size and
+   only likely links leave the task, to be confirmed as before. Groups of
+   copies are one component by then and cost nothing here.
+
+Step 3 makes the components those of all links, whatever step 2 tried.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ BANDS, ROWS, MANTISSA = 50, 5, 10
 REGISTERS = BANDS * ROWS
 SPLIT = 3 * REGISTERS
 TILE = 1024
+STAR_ROUNDS = 3
 EMPTY = 0xFFFF
 
 _rng = np.random.default_rng(8)
@@ -109,7 +113,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, part, regs) -> (key, id, part), one row a band that is not all empty."""
+    """(id, part, regs) -> (key, id, part, band), one row a band that is not all empty."""
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
@@ -122,7 +126,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = tk.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r].astype(np.uint64))
             keep = ~(m == EMPTY).all(axis=2)
             ids = np.broadcast_to(part.column(0).to_numpy()[:, None], key.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[keep]), pa.array(np.broadcast_to(scheme[:, None], key.shape)[keep])], names=["key", "id", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[keep]), pa.array(np.broadcast_to(scheme[:, None], key.shape)[keep]), pa.array(np.broadcast_to(np.arange(BANDS, dtype=np.int32), key.shape)[keep])], names=["key", "id", "part", "band"])
 
 
 def _same_zeros(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -145,7 +149,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, part: n
 
 
 def _likely(threshold: float, j: np.ndarray, told: np.ndarray) -> np.ndarray:
-    return j >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(told, 1))
+    return j >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(told, 1))
 
 
 def _keep_likely(threshold: float):
@@ -162,11 +166,12 @@ def _keep_likely(threshold: float):
 
 
 def _tile_search(threshold: float):
-    """Rows (key, tile_a, tile_b, side, id, comp, n, part, regs), sorted by the first three -> likely links (a, b) between components.
+    """Rows (key, ta, tb, side, id, comp, n, band, part, regs), sorted by the first three -> likely links (a, b) between components.
 
-    A run of rows with one (key, tile_a, tile_b) holds at most TILE rows a side.
+    A run of rows with one (key, ta, tb) holds about TILE rows. A link comes
+    out of the first band that its two sides share, hence once a scheme.
     """
-    low = max(0, threshold)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(run: list[tuple]) -> list[tuple[int, int]]:
         sides = [[r for r in run if r[3] == s] for s in (0, 1)]
@@ -174,21 +179,21 @@ def _tile_search(threshold: float):
             return []
         one = not sides[1]
         a, b = sides[0], sides[0] if one else sides[1]
-        ids = [np.array([r[4] for r in s]) for s in (a, b)]
-        comps = [np.array([r[5] for r in s]) for s in (a, b)]
-        ns = [np.array([r[6] for r in s], dtype=np.float64) for s in (a, b)]
-        regs = [np.frombuffer(b"".join(r[8] for r in s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b)]
+        ids, comps, ns = ([np.array([r[k] for r in s]) for s in (a, b)] for k in (4, 5, 6))
+        regs = [np.frombuffer(b"".join(r[9] for r in s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b)]
         out = []
         for i in range(len(a)):
-            at = np.flatnonzero((comps[1] != comps[0][i]) & (np.minimum(ns[1], ns[0][i]) >= low * np.maximum(ns[1], ns[0][i])))
+            at = np.flatnonzero((comps[1] != comps[0][i]) & (np.minimum(ns[1], ns[0][i]) >= threshold * np.maximum(ns[1], ns[0][i])))
             at = at[at > i] if one else at
             if len(at):
-                j, told = estimate(regs[0][i][None, :], regs[1][at], ns[0][i], ns[1][at], np.array(a[i][7]))
-                out += [(int(ids[0][i]), int(x)) for x in ids[1][at[_likely(threshold, j, told)]]]
+                mine = regs[0][i][None, :]
+                j, told = estimate(mine, regs[1][at], ns[0][i], ns[1][at], np.array(a[i][8]))
+                at = at[_likely(threshold, j, told)]
+                agree = ((mine == regs[1][at]).reshape(len(at), BANDS, ROWS)).all(axis=2) & ~(mine.reshape(BANDS, ROWS) == EMPTY).all(axis=1)
+                out += [(int(ids[0][i]), int(x)) for x in ids[1][at[agree.argmax(axis=1) == a[i][7]]]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -204,6 +209,16 @@ def _tile_search(threshold: float):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp, s) -> (shingle, id, comp), a row for each shingle of a set."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            sets = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in part.column(2)]
+            lens = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), lens)), pa.array(np.repeat(part.column(1).to_numpy(), lens))], names=["shingle", "id", "comp"])
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,17 +246,27 @@ def _confirm(threshold: float):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets confirm the link."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+
+
+def links(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets confirm the link, as (u, v)."""
     ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(shingle), "id long, s binary"), "sets")
+    sets = materialize(_texts_of(docs, ends).mapInArrow(_sets(shingle), "id long, s binary"), "sets")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
     found = materialize(full.mapInArrow(_confirm(threshold), "u long, v long").distinct(), "links")
     discard(sets)
     return found
 
 
+def _mixed(members: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Members of buckets that hold several components: also ``comp``, the bucket's smallest (comp, id) as ``center``, and its ``size``."""
+    named = members.withColumn("comp", F.col("id")) if known is None else members.join(known, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("comp"))
+    groups = named.groupBy("key", "part").agg(F.min(F.struct("comp", "id")).alias("center"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("center.comp < hi").drop("hi")
+    return named.join(groups, ["key", "part"])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), a row for each of its rows.
 
@@ -253,33 +278,65 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -
     if not 0.5 <= threshold <= 1:
         raise ValueError("the bands are laid out for thresholds from 0.5 to 1")
     sketch = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(threshold, shingle), SKETCH_DDL), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     used = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(used.groupBy("k1", "k2", "part").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "reps")
-    side = lambda s: reps.select(F.col("id").alias(s), "part", F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-    keys = reps.select("id", "part", "regs").mapInArrow(_band_keys, "key long, id long, part boolean")
-    shared = materialize(keys.groupBy("key", "part").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "buckets")
-    members = materialize(keys.join(shared.select("key", "part", "a"), ["key", "part"]), "members")
-    stars = members.where("id <> a").select("a", F.col("id").alias("b"), "part").distinct()
-    pairs = materialize(stars.join(side("a"), ["a", "part"]).join(side("b"), ["b", "part"]).select("a", "b", "part", "na", "ra", "nb", "rb").mapInArrow(_keep_likely(threshold), "a long, b long").distinct(), "pairs")
-    first = links(docs, reps, pairs, threshold, shingle)
-    known = materialize(components(first), "components")
-
-    # buckets that still hold several components, in tiles of bounded size
-    named = members.join(known, "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("key", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "part", F.ceil(F.col("size") / (TILE // 2)).cast("int").alias("tiles"))
-    tiled = named.join(mixed, ["key", "part"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    grid = tiled.select("key", "part", "id", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "key", "part", "id", "comp", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = grid.join(reps.select("id", "part", "n", "regs"), ["id", "part"]).select("key", "ta", "tb", "side", "id", "comp", "n", "part", "regs")
-    rows = rows.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
-    more = materialize(rows.mapInArrow(_tile_search(threshold), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    second = links(docs, reps, more, threshold, shingle)
-    merged = second.unionAll(known.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")))
-    final = known if second.isEmpty() else materialize(components(merged), "components")
-    discard(shared, members, pairs, more)
+    keys = reps.select("id", "part", "regs").mapInArrow(_band_keys, "key long, id long, part boolean, band int")
+    shared = keys.groupBy("key", "part").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    members = materialize(keys.join(shared.select("key", "part"), ["key", "part"]), "members")
+    found, known = _star_rounds(docs, members, reps, threshold, shingle)
+    more = _search_rest(docs, members, reps, known, threshold, shingle)
+    if not more.isEmpty():
+        known = materialize(components(found.unionAll(more)), "components")
+    discard(members)
+    final = known
 
     node = reps.select("k1", "k2", "id").distinct().join(final, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     rows = sketch.where("first").select("doc_id", "n_shingles", "k1", "k2")
     named = rows.where("doc_id is not null and n_shingles > 0").join(node, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     rest = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _star_rounds(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by trying, in each round, one pair a document: with the center, of another component, that it shares most buckets with."""
+    side = lambda s: reps.select(F.col("id").alias(s), "part", F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
+    found = known = tried = None
+    for _ in range(STAR_ROUNDS):
+        ties = _mixed(members, known).where("comp <> center.comp").groupBy("id", "part", F.col("center.id").alias("a")).agg(F.count("*").alias("shared"))
+        if tried is not None:
+            ties = ties.join(tried, ["a", "id"], "left_anti")
+        best = materialize(ties.groupBy("id").agg(F.max(F.struct("shared", -F.col("a"), "part")).alias("m")).select((-F.col("m.col2")).alias("a"), "id", F.col("m.part").alias("part")), "stars")
+        likely = best.withColumnRenamed("id", "b").join(side("a"), ["a", "part"]).join(side("b"), ["b", "part"]).select("a", "b", "part", "na", "ra", "nb", "rb")
+        pairs = materialize(likely.mapInArrow(_keep_likely(threshold), "a long, b long").distinct(), "pairs")
+        new = links(docs, pairs, threshold, shingle)
+        discard(pairs)
+        tried = best.select("a", "id") if tried is None else tried.unionAll(best.select("a", "id"))
+        found = new if found is None else found.unionAll(new)
+        known = materialize(components(found), "components")
+        if new.isEmpty():
+            break
+    return found, known
+
+
+def _search_rest(docs: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """All links between different components of ``known``."""
+    mixed = materialize(_mixed(members, known).select("key", "part", "band", "id", "comp"), "mixed")
+    # a document whose shingles are, to more than 1 - threshold, in no other component has no link to any
+    who = mixed.select("id", "comp").distinct()
+    sets = _texts_of(docs, who).mapInArrow(_sets(shingle), "id long, s binary").join(who, "id").select("id", "comp", "s")
+    spread = materialize(sets.mapInArrow(_shingle_rows, "shingle long, id long, comp long"), "shingles")
+    elsewhere = spread.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+    able = spread.join(elsewhere, "shingle").groupBy("id").agg(F.count("*").alias("told")).join(reps.groupBy("id").agg(F.min("n").alias("n")), "id").where(F.col("told") * 100 >= F.col("n") * round(threshold * 100)).select("id")
+    able = materialize(able, "able")
+    discard(spread)
+    left = _mixed(mixed.drop("comp").join(able, "id"), known)
+    tiled = left.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    grid = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", "part", "band", "id", "comp", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"))
+    rows = grid.join(reps.select("id", "part", "n", "regs"), ["id", "part"]).select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")
+    rows = rows.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
+    pairs = materialize(rows.mapInArrow(_tile_search(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = links(docs, pairs, threshold, shingle)
+    discard(mixed, able, pairs)
+    return found
