@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simweave.llm.cotrain import quality
 from simweave.llm.crf import identify
 from simweave.llm.ftrl import toxicity
 from simweave.llm.hyperminhash import near_duplicates
@@ -23,6 +24,10 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
 
@@ -40,7 +45,7 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ftrl_toxicity, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op8_hyperminhash)}
+    return {f.__name__: f for f in (op2_ftrl_toxicity, op3_cotrained_quality, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op8_hyperminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
