@@ -215,16 +215,19 @@ def _scorer(model):
     @F.arrow_udf("struct<score: double, text_score: double, meta_score: double>")
     def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         m = np.load(io.BytesIO(model.value))
-        n, w, v = len(text), m["text"], m["meta"]
-        z = np.zeros(n)
-        for k in range(0, n, 2048):
-            row, feat, value = text_view(text.slice(k, 2048))
-            z[k : k + 2048] = np.bincount(row, weights=w[feat] * value, minlength=min(2048, n - k))
-        row, feat, value = meta_view(*metadata(text, lang, source, n_chars), m["edges"])
-        views = [z + w[-1], np.bincount(row, weights=v[feat] * value, minlength=n) + v[-1]]
-        views = [x * c[0] + c[1] for x, c in zip(views, m["cal"], strict=True)]
-        total = views[0] * m["mix"][0] + views[1] * m["mix"][1] + m["mix"][2]
-        return pa.StructArray.from_arrays([pa.array(sigmoid(x)) for x in (total, *views)], fields=list(kind))
+        w, v = m["text"], m["meta"]
+        out = []
+        whole = pa.RecordBatch.from_arrays([text, lang, source, n_chars], names=["text", "lang", "source", "n_chars"])
+        for part in tk.slices(whole, 0):
+            n = part.num_rows
+            row, feat, value = text_view(part.column(0))
+            views = [np.bincount(row, weights=w[feat] * value, minlength=n) + w[-1]]
+            row, feat, value = meta_view(*metadata(*part.columns), m["edges"])
+            views.append(np.bincount(row, weights=v[feat] * value, minlength=n) + v[-1])
+            views = [x * c[0] + c[1] for x, c in zip(views, m["cal"], strict=True)]
+            out.append(np.stack([views[0] * m["mix"][0] + views[1] * m["mix"][1] + m["mix"][2], *views]))
+        scores = sigmoid(np.concatenate(out, axis=1)) if out else np.zeros((3, 0))
+        return pa.StructArray.from_arrays([pa.array(x) for x in scores], fields=list(kind))
 
     return score
 

@@ -88,7 +88,7 @@ def _score(model):
         found = np.load(io.BytesIO(model.value))
         w = np.zeros(1 << BITS)
         w[found["at"]] = found["w"]
-        for batch in batches:
+        for batch in (x for b in batches for x in tk.slices(b, 1)):
             hashes, off = tk.words(batch.column(1))
             keys = []
             for r, f in word_grams(hashes, off, BITS):

@@ -80,7 +80,7 @@ def registers(s: np.ndarray, partitioned: bool) -> np.ndarray:
 
 def _sketch(threshold: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in tk.slices(b, 1)):
             ids = batch.column(0).to_pylist()
             hashes, off = tk.words(batch.column(1))
             rows: list[tuple] = []
@@ -212,8 +212,8 @@ def _tile_search(threshold: float):
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, comp, s) -> (shingle, id, comp), a row for each shingle of a set."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
+        for k in range(0, batch.num_rows, 250):
+            part = batch.slice(k, 250)
             sets = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in part.column(2)]
             lens = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), lens)), pa.array(np.repeat(part.column(1).to_numpy(), lens))], names=["shingle", "id", "comp"])
@@ -221,7 +221,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in tk.slices(b, 1)):
             hashes, off = tk.words(batch.column(1))
             s = [x.tobytes() for x in tk.shingles(hashes, off, shingle)]
             for k in range(0, batch.num_rows, 500):

@@ -10,7 +10,9 @@ from simweave.llm.cotrain import quality
 from simweave.llm.crf import identify
 from simweave.llm.ftrl import toxicity
 from simweave.llm.hyperminhash import near_duplicates
+from simweave.llm.mih import nearest
 from simweave.llm.mixing import taken_words
+from simweave.llm.qgram import contaminated
 from simweave.llm.resharding import reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,8 +50,12 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=2)
 
 
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ftrl_toxicity, op3_cotrained_quality, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op8_hyperminhash)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_ftrl_toxicity, op3_cotrained_quality, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op8_hyperminhash, op10_qgram_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

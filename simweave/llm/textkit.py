@@ -105,6 +105,16 @@ def hash_spans(data: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 0) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about ``size`` bytes of text, so that word arrays stay small."""
+    _, off = text_buffer(batch.column(column))
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (size or BLOCK), side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all rows, and each row's bounds in them."""
     data, off = text_buffer(column)
