@@ -31,10 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id. Of rows that share a doc_id one stays."""
     ship(spark)
     gone = near_duplicates(docs, threshold=0.8, shingle=5).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return rest
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
