@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from simweave.plans import queries as q
 
 FLAGSHIP = "cosine_pairs_by_type"
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, q.Query]:
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(q.ORACLES)
