@@ -47,21 +47,29 @@ def list_files(spark: SparkSession, base: str, ignores: list[str] | None = None)
 
 
 def ignore_rules(spark: SparkSession, base: str) -> list[str]:
-    """Rules of all ignore files below ``base``, scoped to their folders. Their number is that of folders of a source tree."""
-    try:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(base).select("path", F.decode("content", "UTF-8").alias("text")).collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"Path not found: {base}") from e
-        raise
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(base)
-    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(path).toString().rstrip("/")
-    out = []
-    for r in sorted(rows, key=lambda r: r["path"]):
-        folder = r["path"][len(root) + 1 :].rpartition("/")[0]
-        if not re.match(r"(\.git|\.dry)(/|$)", folder):
-            out += [s for line in r["text"].split("\n") if (s := scoped_rule(line, folder))]
+    """Rules of all ignore files below ``base``, scoped to their folders, folder by folder.
+
+    Spark's readers pass over dot files, so the folders are walked through the
+    file system they use; folders of version control and of this tool are not.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [("", path)]
+    while todo:
+        folder, at = todo.pop()
+        below = []
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in (".git", ".dry"):
+                below.append((f"{folder}/{name}".lstrip("/"), status.getPath()))
+            elif name == ".gitignore" and status.isFile():
+                stream = fs.open(status.getPath())
+                try:
+                    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+                out += [rule for line in text.split("\n") if (rule := scoped_rule(line, folder))]
+        todo += sorted(below, key=lambda x: x[0], reverse=True)
     return out
 
 
