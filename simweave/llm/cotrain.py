@@ -115,12 +115,11 @@ def meta_view(dense: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> tuple[
 
 
 class View:
-    """Logistic regression over sparse rows, by Adagrad."""
+    """Logistic regression over sparse rows (in ascending order), by Adagrad."""
 
     def __init__(self, row: np.ndarray, feat: np.ndarray, value: np.ndarray, n: int, size: int):
-        order = np.argsort(row, kind="stable")
-        self.feat, self.value = feat[order], value[order]
-        self.bounds = np.searchsorted(row[order], np.arange(n + 1))
+        self.feat, self.value = feat, value
+        self.bounds = np.searchsorted(row, np.arange(n + 1))
         self.w, self.size = np.zeros(size + 1), size
 
     def logits(self) -> np.ndarray:
@@ -169,11 +168,17 @@ def _train(s: CoTraining):
             np.savez(out, text=np.zeros((1 << BITS) + 1), meta=np.zeros(DENSE * (BINS + 1) + 2 * KINDS + 1), edges=np.zeros((DENSE, BINS)), cal=np.zeros((2, 2)), mix=np.zeros(3))
             return out.getvalue()
         n = len(y)
-        parts = [text_view(c) for c in table.column("text").chunks]
-        shift = np.cumsum([0] + [len(c) for c in table.column("text").chunks])
-        row, feat, value = (np.concatenate([p[k] + (shift[m] if k == 0 else 0) for m, p in enumerate(parts)]) for k in range(3))
+        parts, first = [], 0
+        for part in (x for c in table.to_batches() for x in tk.slices(c, 0)):
+            row, feat, value = text_view(part.column(0))
+            order = np.argsort(row, kind="stable")
+            parts.append(((row[order] + first).astype(np.int32), feat[order].astype(np.int32), value[order].astype(np.float32)))
+            first += part.num_rows
+        row, feat, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        del parts
         cols = [table.column(c).combine_chunks() for c in ("text", "lang", "source", "n_chars")]
-        dense, kinds = metadata(*cols)
+        some = [metadata(*x.columns) for x in tk.slices(pa.RecordBatch.from_arrays(cols, names=["text", "lang", "source", "n_chars"]), 0)]
+        dense, kinds = (np.concatenate([m[k] for m in some]) for k in (0, 1))
         edges = np.quantile(dense, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
         text = View(row, feat, value, n, 1 << BITS)
         meta = View(*meta_view(dense, kinds, edges), n, DENSE * (BINS + 1) + 2 * KINDS)
@@ -232,7 +237,7 @@ def _scorer(model):
     return score
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 6000, max_pool: int = 6000, settings: CoTraining = CoTraining()) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 4000, max_pool: int = 4000, settings: CoTraining = CoTraining()) -> DataFrame:
     """``docs`` with a column ``out``: struct of score (the probability of good quality), text_score and meta_score.
 
     ``labels`` is (doc_id, quality). Learns from at most ``max_labelled``
