@@ -130,21 +130,24 @@ def _write(root: str, date: str):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted entries -> compressed blocks of LINES JSON lines."""
-    held: list[list] = []
+def _blocks(size: int):
+    """Sorted entries -> compressed blocks of ``size`` JSON lines."""
 
     def block(rows: list[list]) -> pa.RecordBatch:
         data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode(), 6)
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], type=pa.int32()), pa.array([data], type=pa.binary())], names=["block", "first_key", "last_key", "lines", "data"])
 
-    for batch in batches:
-        held += [list(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        while len(held) >= LINES:
-            yield block(held[:LINES])
-            held = held[LINES:]
-    if held:
-        yield block(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for batch in batches:
+            held += [list(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            while len(held) >= size:
+                yield block(held[:size])
+                held = held[size:]
+        if held:
+            yield block(held)
+
+    return run
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,7 @@ def _read(root: str):
     return run
 
 
-def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> Archive:
+def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", lines: int = LINES) -> Archive:
     """Archive ``pages`` (page_id, url, html) below the shared folder ``root``.
 
     A null html is an empty payload, a null url has the empty key, and a page
@@ -248,7 +251,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "2024-0
     fs.create_dir(base, recursive=True)
     entries = materialize(typed.mapInArrow(_write(root, date), ENTRY_DDL), "captures")
     by_key = entries.repartitionByRange("key", "page_id", "url").sortWithinPartitions("key", "page_id", "url")
-    blocks = materialize(by_key.mapInArrow(_blocks, "block string, first_key string, last_key string, lines int, data binary"), "index")
+    blocks = materialize(by_key.mapInArrow(_blocks(lines), "block string, first_key string, last_key string, lines int, data binary"), "index")
     return Archive(root, blocks, blocks.select("block", "first_key", "last_key", "lines"))
 
 
