@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -115,13 +115,13 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 0) -> Iterator[pa.Rec
         i = j
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all rows, and each row's bounds in them."""
+def words(column: pa.Array, stem: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all rows, and each row's bounds in them; with ``stem``, of words cut to so many bytes."""
     data, off = text_buffer(column)
     out, counts = [], np.zeros(len(off), dtype=np.int64)
     for i, j, lo, hi in blocks(data, off):
         starts, ends, rows = spans(data, off, i, j, lo, hi)
-        out.append(hash_spans(data, lo, hi, starts, ends))
+        out.append(hash_spans(data, lo, hi, starts, ends if stem is None else np.minimum(ends, starts + stem)))
         counts[i + 1 : j + 1] += np.bincount(rows - i, minlength=j - i)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(counts)
 
@@ -129,9 +129,10 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingles(hashes: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Each row's set of ``n``-word shingles, sorted; fewer words are one shingle, none give the empty set."""
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
+        size = max(0, len(hashes) - n + 1)
+        acc = np.zeros(size, dtype=np.uint64)
         for k in range(n):
-            acc = mix(acc * _U(_BASE) + hashes[k : len(hashes) - n + 1 + k])
+            acc = mix(acc * _U(_BASE) + hashes[k : k + size])
         for a, b in zip(off[:-1], off[1:], strict=True):
             if b - a >= n:
                 yield np.unique(acc[a : b - n + 1])
