@@ -9,8 +9,8 @@ buckets would be empty otherwise. Sets between SPLIT and SPLIT / threshold get
 both, so two sets that can be linked always share a scheme.
 
 Bands of ``ROWS`` registers are hashed; documents that agree in one are
-candidates. At 0.8, 50 bands of five registers miss a pair with probability
-2e-9. Then
+candidates. At 0.8, 56 bands of six registers miss a pair with probability
+4e-8. Then
 
 1. equal sets are one node, named by its smallest doc_id;
 2. in a few rounds, every document is tried with one center of another
@@ -19,11 +19,11 @@ candidates. At 0.8, 50 bands of five registers miss a pair with probability
    standard deviations below the threshold, the full shingle sets confirm the
    rest, and confirmed links give components;
 3. buckets that still hold several components are searched for links between
-   *different* components. Documents of which too many shingles occur in no
-   other component can have none and leave (an exact bound); for the rest, the
-   registers of a bucket's members are compared in tiles of bounded size and
-   only likely links leave the task, to be confirmed as before. Groups of
-   copies are one component by then and cost nothing here.
+   *different* components, in tiles of bounded size: in small buckets by the
+   estimate from the registers, in large ones (over ``LARGE`` members) by
+   counting shared shingle fingerprints, so that what leaves a task are links
+   and not the many pairs just below the threshold. They are confirmed as
+   before. Groups of copies are one component by then and cost little here.
 
 Step 3 makes the components those of all links, whatever step 2 tried.
 """
@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
 from simweave.llm.components import components
+from simweave.llm.sifting import semi_join
 from simweave.scratch import discard, materialize
 
-BANDS, ROWS, MANTISSA = 50, 5, 10
+BANDS, ROWS, MANTISSA = 56, 6, 10
 REGISTERS = BANDS * ROWS
 SPLIT = 3 * REGISTERS
-TILE = 1024
-STAR_ROUNDS = 3
+TILE = 4096
+STAR_ROUNDS = 2
+LARGE = 32
 EMPTY = 0xFFFF
 
 _rng = np.random.default_rng(8)
@@ -193,6 +195,46 @@ def _tile_search(threshold: float):
                 out += [(int(ids[0][i]), int(x)) for x in ids[1][at[agree.argmax(axis=1) == a[i][7]]]]
         return out
 
+    return _by_runs(search, schema)
+
+
+def _tile_compare(threshold: float):
+    """Rows (key, ta, tb, side, id, comp, n, s), sorted by the first three -> likely links (a, b) between components.
+
+    ``s`` holds the upper halves of the shingle hashes. Shared ones are counted
+    for each row that is not of the run's commonest component, against all
+    others at once.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(run: list[tuple]) -> list[tuple[int, int]]:
+        ids, comps, ns, side = (np.array([r[k] for r in run]) for k in (4, 5, 6, 3))
+        two = side.any()
+        sets = [np.frombuffer(r[7], dtype=np.uint32) for r in run]
+        flat, where = np.unique(np.concatenate(sets), return_inverse=True)
+        bounds = np.cumsum([0] + [len(x) for x in sets])
+        names, times = np.unique(comps, return_counts=True)
+        common = names[times.argmax()]
+        mark = np.zeros(len(flat), dtype=np.int32)
+        out = []
+        for i in np.flatnonzero(comps != common):
+            mine = where[bounds[i] : bounds[i + 1]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[where], bounds[:-1])
+            mark[mine] = 0
+            # upper halves may coincide by chance, hence the margin
+            ok = (shared >= (threshold - 0.01) * (ns + ns[i] - shared)) & (comps != comps[i])
+            if two:
+                ok &= side != side[i]
+            out += [(int(ids[i]), int(x)) for x in ids[ok]]
+        return out
+
+    return _by_runs(search, schema)
+
+
+def _by_runs(search, schema: pa.Schema):
+    """Apply ``search`` to every run of rows that agree in their first three columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
@@ -209,21 +251,13 @@ def _tile_search(threshold: float):
     return run
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, comp, s) -> (shingle, id, comp), a row for each shingle of a set."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 250):
-            part = batch.slice(k, 250)
-            sets = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in part.column(2)]
-            lens = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), lens)), pa.array(np.repeat(part.column(1).to_numpy(), lens))], names=["shingle", "id", "comp"])
-
+def _sets(shingle: int, halves: bool = False):
+    """(id, text) -> (id, s): the sorted shingle hashes, or their upper halves, as bytes."""
 
-def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in tk.slices(b, 1)):
             hashes, off = tk.words(batch.column(1))
-            s = [x.tobytes() for x in tk.shingles(hashes, off, shingle)]
+            s = [((x >> np.uint64(32)).astype(np.uint32) if halves else x).tobytes() for x in tk.shingles(hashes, off, shingle)]
             for k in range(0, batch.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array(s[k : k + 500], type=pa.binary())], names=["id", "s"])
 
@@ -247,7 +281,7 @@ def _confirm(threshold: float):
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    return semi_join(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), ids.select("id"), "id")
 
 
 def links(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -284,11 +318,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -
     keys = reps.select("id", "part", "regs").mapInArrow(_band_keys, "key long, id long, part boolean, band int")
     shared = keys.groupBy("key", "part").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     members = materialize(keys.join(shared.select("key", "part"), ["key", "part"]), "members")
-    found, known = _star_rounds(docs, members, reps, threshold, shingle)
-    more = _search_rest(docs, members, reps, known, threshold, shingle)
+    # most documents share no bucket, and their registers are not needed any more
+    busy = materialize(semi_join(reps, members.select("id"), "id"), "busy")
+    found, known = _star_rounds(docs, members, busy, threshold, shingle)
+    more = _search_rest(docs, members, busy, known, threshold, shingle)
     if not more.isEmpty():
         known = materialize(components(found.unionAll(more)), "components")
-    discard(members)
+    discard(members, busy)
     final = known
 
     node = reps.select("k1", "k2", "id").distinct().join(final, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
@@ -319,24 +355,24 @@ def _star_rounds(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold
     return found, known
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members of a bucket in tiles of about half of TILE, a row for each pair of tiles that a member's is in."""
+    tiled = members.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    return tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "part", "band")
+
+
 def _search_rest(docs: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """All links between different components of ``known``."""
-    mixed = materialize(_mixed(members, known).select("key", "part", "band", "id", "comp"), "mixed")
-    # a document whose shingles are, to more than 1 - threshold, in no other component has no link to any
-    who = mixed.select("id", "comp").distinct()
-    sets = _texts_of(docs, who).mapInArrow(_sets(shingle), "id long, s binary").join(who, "id").select("id", "comp", "s")
-    spread = materialize(sets.mapInArrow(_shingle_rows, "shingle long, id long, comp long"), "shingles")
-    elsewhere = spread.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    able = spread.join(elsewhere, "shingle").groupBy("id").agg(F.count("*").alias("told")).join(reps.groupBy("id").agg(F.min("n").alias("n")), "id").where(F.col("told") * 100 >= F.col("n") * round(threshold * 100)).select("id")
-    able = materialize(able, "able")
-    discard(spread)
-    left = _mixed(mixed.drop("comp").join(able, "id"), known)
-    tiled = left.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    grid = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", "part", "band", "id", "comp", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = grid.join(reps.select("id", "part", "n", "regs"), ["id", "part"]).select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")
-    rows = rows.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
-    pairs = materialize(rows.mapInArrow(_tile_search(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    mixed = materialize(_mixed(members, known), "mixed")
+    place = lambda df: df.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
+    few = _tiles(mixed.where(F.col("size") <= LARGE)).join(reps.select("id", "part", "n", "regs"), ["id", "part"])
+    some = place(few.select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")).mapInArrow(_tile_search(threshold), "a long, b long")
+    large = mixed.where(F.col("size") > LARGE)
+    halves = materialize(_texts_of(docs, large.select("id").distinct()).mapInArrow(_sets(shingle, True), "id long, s binary"), "halves")
+    many = _tiles(large).join(halves.select("id", (F.octet_length("s") / 4).cast("long").alias("n"), "s"), "id")
+    more = place(many.select("key", "ta", "tb", "side", "id", "comp", "n", "s")).mapInArrow(_tile_compare(threshold), "a long, b long")
+    pairs = materialize(some.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = links(docs, pairs, threshold, shingle)
-    discard(mixed, able, pairs)
+    discard(mixed, halves, pairs)
     return found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from simweave.llm import hyperminhash as h
 from simweave.llm import textkit as tk
 from simweave.llm.components import components
+from simweave.llm.sifting import anti_join, semi_join
 from tests.llm import brute
 
 
@@ -76,3 +77,15 @@ def test_components_of_a_path(spark):
     got = {r["id"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_sifting(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(2000)] + [(3, "again"), (None, "null")], "doc_id long, row string").withColumn("near", F.lit(1))
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 7)] + [(3,), (3,)], "doc_id long")
+    want = {*range(0, 3000, 7), 3}
+    kept = semi_join(rows, ids, "doc_id")
+    assert kept.columns == rows.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([i for i in range(2000) if i in want] + [3])
+    rest = [r["doc_id"] for r in anti_join(rows, ids, "doc_id").collect()]
+    assert sorted(x for x in rest if x is not None) == [i for i in range(2000) if i not in want] and rest.count(None) == 1
+    assert semi_join(rows, ids.limit(0), "doc_id").count() == 0 and anti_join(rows, ids.limit(0), "doc_id").count() == 2002
