@@ -16,6 +16,7 @@ from simweave.llm.hyperminhash import near_duplicates
 from simweave.llm.mixing import mixed
 from simweave.llm.qgram import clean
 from simweave.llm.resharding import reshard
+from simweave.llm.sifting import anti_join
 from simweave.scratch import materialize
 from simweave.shipping import ship
 
@@ -34,7 +35,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id. Of rows that share a doc_id one stays."""
     ship(spark)
     gone = near_duplicates(docs, threshold=0.8, shingle=5).where("not kept").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = anti_join(docs, materialize(gone, "gone"), "doc_id")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return rest
