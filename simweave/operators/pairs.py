@@ -70,10 +70,7 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     t = Thresholds.of(threshold)
     limit = {"class": t.klass, "function": t.function, "block": t.block}
     known = with_parents(units, depth)
-    found = None
-    for kind in WEIGHTS:
-        some = similar_pairs(units.where(F.col("unit_type") == kind), self_bound(kind, limit[kind]) - 1e-9, dirty)
-        found = some if found is None else found.unionByName(some)
+    found = similar_pairs(units, {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in WEIGHTS}, dirty)
     side = lambda s: known.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("file_path", "start_line", "end_line", "function_id", "class_id")])
     pairs = found.withColumnRenamed("similarity", "self_similarity").join(side("left"), "left_id").join(side("right"), "right_id")
     pairs = pairs.where(~nested_blocks(F.col("unit_type"), F.col("left_file_path"), F.col("left_start_line"), F.col("left_end_line"), F.col("right_file_path"), F.col("right_start_line"), F.col("right_end_line")))

@@ -49,12 +49,13 @@ def _unit_rows(column: pa.Array) -> np.ndarray:
 _PAIRS = pa.schema([("left_id", pa.string()), ("right_id", pa.string()), ("unit_type", pa.string()), ("similarity", pa.float64())])
 
 
-def _multiply(threshold: float):
+def _multiply(thresholds: float | dict[str, float]):
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PAIRS.empty_table()
         side = table.column("side").to_numpy()
         kind = table.column("unit_type")[0].as_py()
+        threshold = thresholds[kind] if isinstance(thresholds, dict) else thresholds
         ids = np.array(table.column("id").to_pylist(), dtype=object)
         touched = table.column("dirty").to_numpy()
         x = _unit_rows(table.column("embedding").combine_chunks())
@@ -76,10 +77,11 @@ def _multiply(threshold: float):
     return run
 
 
-def similar_pairs(units: DataFrame, threshold: float, dirty: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """``units`` (id, unit_type, embedding) -> (left_id, right_id, unit_type, similarity) with left_id < right_id.
 
-    Units without a vector take no part; ids are unique. With ``dirty`` (id),
+    The threshold is one for all or one for each type. Units without a vector
+    take no part; ids are unique. With ``dirty`` (id),
     only pairs with a dirty side are formed, and tiles without any are not
     multiplied with each other. A vector of length zero has similarity 0.
     """

@@ -18,6 +18,7 @@ TABLES = {
     "units": (UNIT_DDL, ["id"]),
     "files": ("file_path string, checksum string, mtime double", ["file_path"]),
     "verdicts": ("pair_key string, verdict string, left_file string, right_file string, created_at long", ["pair_key"]),
+    "pairs": ("left_id string, right_id string, unit_type string, similarity double, left_file string, right_file string, left_label string, right_label string, pair_key string", ["left_id", "right_id"]),
     "reports": ("run_id string, generated_at timestamp, threshold double, grade string, score double, document string", ["run_id"]),
 }
 
