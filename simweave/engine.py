@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -12,28 +13,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simweave.functions.embed import hashed_terms
-from simweave.functions.labels import pair_key, short_id, unit_label
+from simweave.functions.labels import pair_key, short_id
 from simweave.operators import exclusions, incremental, pairs, score, verdicts
+from simweave.operators.similarity import similar_pairs
 from simweave.operators.units import within_context
 from simweave.plans import report
 from simweave.scratch import materialize
 from simweave.shipping import ship
 from simweave.sources import config as cfg
-from simweave.sources.files import extract_units, list_files
+from simweave.sources.files import extract_units, label_of, list_files
 from simweave.sources.store import Store
 
 Ask = Callable[[Column], Column]
 
 
+def relative_parts(path: str) -> list[str]:
+    """The parts of a relative path that stays below its root."""
+    parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
+    if path.startswith(("/", "\\")) or ".." in parts or ":" in path:
+        raise ValueError(f"not a path of the tree: {path}")
+    return parts
+
+
 class Engine:
     """``tree`` is the folder of sources, ``store`` the folder of tables.
 
     ``vectorize`` maps a column of code to vectors; ``ask`` maps a column of
     prompts to answers (null for a failed call), without it no pair is judged.
+    ``kernel`` finds the pairs of one type, as :func:`similar_pairs` does.
     """
 
-    def __init__(self, spark: SparkSession, tree: str, store: str | None = None, vectorize: Ask = hashed_terms, ask: Ask | None = None, ancestor_depth: int = 1):
-        self.spark, self.tree, self.vectorize, self.ask, self.depth = spark, tree.rstrip("/"), vectorize, ask, ancestor_depth
+    def __init__(self, spark: SparkSession, tree: str, store: str | None = None, vectorize: Ask = hashed_terms, ask: Ask | None = None, ancestor_depth: int = 1, kernel: Callable[..., DataFrame] = similar_pairs):
+        self.spark, self.tree, self.vectorize, self.ask, self.depth, self.kernel = spark, tree.rstrip("/"), vectorize, ask, ancestor_depth, kernel
         self.store = Store(spark, store or f"{self.tree}/.dry")
         ship(spark)
 
@@ -85,7 +96,7 @@ class Engine:
         return dirty
 
     def _labelled(self, found: DataFrame, units: DataFrame) -> DataFrame:
-        side = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.col("file_path").alias(f"{s}_file"), unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.col("code")).alias(f"{s}_label"))
+        side = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.col("file_path").alias(f"{s}_file"), label_of(F.col("unit_type"), F.col("name"), F.col("file_path"), F.col("code")).alias(f"{s}_label"))
         both = found.join(side("left"), "left_id").join(side("right"), "right_id")
         return both.withColumn("pair_key", pair_key(F.col("unit_type"), F.col("left_label"), F.col("right_label")))
 
@@ -110,11 +121,14 @@ class Engine:
         Pairs between clean files come from the last run if its threshold is
         the same and not ``full``; only pairs with a dirty side are computed.
         """
+        began = time.perf_counter()
         dirty = materialize(self.update(), "dirty")
+        indexed = time.perf_counter()
         c, at = self.config(), at or datetime.now(UTC)
         units = self.store.read("units")
         last = report.latest(self.store.read("reports")).select("threshold").first()
-        if units.limit(2).count() < 2:
+        enough = units.limit(2).count() == 2
+        if not enough:
             found = self.spark.createDataFrame([], "left_id string, right_id string, unit_type string, similarity double")
         elif last is not None and last["threshold"] == c.threshold and not full:
             reused = incremental.reusable_pairs(self.store.read("pairs"), units, dirty).select("left_id", "right_id", "unit_type", "similarity")
@@ -122,12 +136,12 @@ class Engine:
                 found = reused
             else:
                 touched = units.join(dirty, "file_path", "left_semi").select("id")
-                new = pairs.weighted_pairs(units, c.threshold, touched, self.depth).select(reused.columns)
+                new = pairs.weighted_pairs(units, c.threshold, touched, self.depth, self.kernel).select(reused.columns)
                 found = incremental.merge_pairs(reused, new)
         else:
-            found = pairs.weighted_pairs(units, c.threshold, None, self.depth).select("left_id", "right_id", "unit_type", "similarity")
+            found = pairs.weighted_pairs(units, c.threshold, None, self.depth, self.kernel).select("left_id", "right_id", "unit_type", "similarity")
         found = materialize(exclusions.exclude_pairs(self._labelled(found, units), list(c.excludedPairs)), "pairs")
-        kept = found
+        kept, judging = found, time.perf_counter()
         if c.enableLLMFilter and self.ask is not None:
             self.store.delete_paths("verdicts", dirty)
             asked = self._prompt(found, units)
@@ -136,10 +150,14 @@ class Engine:
             self.store.upsert("verdicts", done.where(F.col("verdict").isNotNull()).join(new.select("pair_key"), "pair_key", "left_semi").select("pair_key", "verdict", "left_file", "right_file", F.lit(int(at.timestamp() * 1000)).alias("created_at")))
             kept = verdicts.keep_true(done).drop("verdict")
         kept = materialize(kept.select(found.columns), "kept")
+        judged = time.perf_counter()
         members = pairs.with_members(kept, units).withColumn("short_id", short_id(F.col("id"))).join(kept.select(F.concat_ws("::", "left_id", "right_id").alias("id"), F.col("pair_key").alias("exclusion")), "id", "left")
         s = materialize(score.duplication_score(members, units), "score")
-        metrics = score.scan_metrics(units, self.store.read("files"), found, kept)
+        metrics = score.scan_metrics(units, self.store.read("files"), found, kept) if enough else None
         doc = report.document(members, s, c.threshold, at, metrics)
+        if metrics is not None:
+            now = time.perf_counter()
+            doc["metrics"]["seconds"] = {"index": indexed - began, "detect": judging - indexed + now - judged, "judge": judged - judging, "total": now - began}
         row = s.first()
         self.store.replace("pairs", kept)
         self.store.upsert("reports", self.spark.createDataFrame([(uuid.uuid4().hex, at, float(c.threshold), row["grade"], float(row["score"]), json.dumps(doc, ensure_ascii=False))], "run_id string, generated_at timestamp, threshold double, grade string, score double, document string"))
@@ -149,6 +167,12 @@ class Engine:
         row = report.latest(self.store.read("reports")).first()
         return None if row is None else json.loads(row["document"])
 
+    def source(self, file_path: str) -> str:
+        """The text of a file of the tree; a path that leads out of it raises ValueError."""
+        parts = relative_parts(file_path)
+        rows = self.spark.read.text("/".join([self.tree, *parts]), wholetext=True).collect()
+        return "".join(r["value"] for r in rows)
+
     def exclude(self, short: str) -> str | None:
         """Exclude the pair of the latest report with this short id; returns its key, null if there is none."""
         doc = self.latest_report() or {"duplicates": []}
@@ -162,7 +186,7 @@ class Engine:
         """Update, then drop exclusions that no pair of units matches: (kept, removed)."""
         self.update()
         c = self.config()
-        named = self.store.read("units").select("unit_type", unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.col("code")).alias("label"))
+        named = self.store.read("units").select("unit_type", label_of(F.col("unit_type"), F.col("name"), F.col("file_path"), F.col("code")).alias("label"))
         kept, removed = exclusions.clean_exclusions(list(c.excludedPairs), named)
         cfg.save(self.tree, replace(c, excludedPairs=kept))
         return kept, removed

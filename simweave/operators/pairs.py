@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,7 @@ def child_similarity(parents: DataFrame, units: DataFrame) -> DataFrame:
     return parents.select("lp", "rp").distinct().join(best, ["lp", "rp"], "left").fillna(0.0, ["similarity"])
 
 
-def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame | None = None, depth: int = 1) -> DataFrame:
+def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame | None = None, depth: int = 1, kernel: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
     """Pairs of units of one type whose weighted similarity reaches its threshold.
 
     ``units`` as UNIT_DDL -> (left_id, right_id, unit_type, self_similarity,
@@ -70,7 +71,7 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     t = Thresholds.of(threshold)
     limit = {"class": t.klass, "function": t.function, "block": t.block}
     known = with_parents(units, depth)
-    found = similar_pairs(units, {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in WEIGHTS}, dirty)
+    found = kernel(units, {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in WEIGHTS}, dirty)
     side = lambda s: known.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("file_path", "start_line", "end_line", "function_id", "class_id")])
     pairs = found.withColumnRenamed("similarity", "self_similarity").join(side("left"), "left_id").join(side("right"), "right_id")
     pairs = pairs.where(~nested_blocks(F.col("unit_type"), F.col("left_file_path"), F.col("left_start_line"), F.col("left_end_line"), F.col("right_file_path"), F.col("right_start_line"), F.col("right_end_line")))

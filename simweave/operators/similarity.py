@@ -99,10 +99,16 @@ def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty:
     return cells.groupBy("unit_type", "ta", "tb").applyInArrow(_multiply(threshold), "left_id string, right_id string, unit_type string, similarity double")
 
 
-def similar_pairs_by_expression(units: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None) -> DataFrame:
     """The same pairs as a join with a column expression, without Python."""
     rows = units.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0).select("id", "unit_type", "embedding", norm(F.col("embedding")).alias("size"))
     a, b = rows.alias("a"), rows.alias("b")
     both = F.col("a.size") * F.col("b.size")
     s = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col("a.embedding"), F.col("b.embedding")) / both)
-    return a.join(b, F.expr("a.unit_type = b.unit_type and a.id < b.id")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.unit_type").alias("unit_type"), s.alias("similarity")).where(F.col("similarity") >= threshold)
+    kind = F.col("unit_type")
+    least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(kind == k, F.lit(t)) for k, t in threshold.items()])
+    found = a.join(b, F.expr("a.unit_type = b.unit_type and a.id < b.id")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.unit_type").alias("unit_type"), s.alias("similarity")).where(F.col("similarity") >= least)
+    if dirty is None:
+        return found
+    mark = lambda c: dirty.select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))
+    return found.join(mark("left_id"), "left_id", "left").join(mark("right_id"), "right_id", "left").where(F.coalesce("_left_id", "_right_id").isNotNull()).select("left_id", "right_id", "unit_type", "similarity")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simweave.functions.labels import unit_label
 from simweave.functions.text import relative_path, supported
 from simweave.operators.units import UNIT_DDL, split_long
 from simweave.sources import java
@@ -21,8 +22,20 @@ Extractor = Callable[[str, str, int, int], list[dict]]
 EXTRACTORS: dict[str, Extractor] = {".java": java.extract}
 
 
-def register_extractor(suffix: str, extractor: Extractor) -> None:
+#: Labels by file suffix, as functions of the columns of type, name, path and code; where one gives null or nothing, the usual label stands.
+LABELS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {}
+
+
+def register_extractor(suffix: str, extractor: Extractor, label: Callable[[Column, Column, Column, Column], Column] | None = None) -> None:
     EXTRACTORS[suffix] = extractor
+    if label:
+        LABELS[suffix] = label
+
+
+def label_of(unit_type: Column, name: Column, path: Column, code: Column) -> Column:
+    usual = unit_label(unit_type, name, path, code)
+    own = [F.when(supported(path, (suffix,)), F.nullif(label(unit_type, name, path, code), F.lit(""))) for suffix, label in LABELS.items()]
+    return F.coalesce(*own, usual)
 
 
 def list_files(spark: SparkSession, base: str, ignores: list[str] | None = None) -> DataFrame:

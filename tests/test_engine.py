@@ -37,6 +37,11 @@ def test_life_of_an_index(spark, tree):
     assert e.update().count() == 0
     first = e.report(at=datetime(2024, 1, 1, tzinfo=UTC))
     assert ("A.total", "B.total") in ids(first) and not any("C." in n for p in ids(first) for n in p)
+    assert set(first["metrics"]["seconds"]) == {"index", "detect", "judge", "total"}
+    assert e.source("src/A.java") == source("A")
+    for bad in ("../x", "/etc/passwd", "src/../../x", "file:///x"):
+        with pytest.raises(ValueError):
+            e.source(bad)
     assert first["metrics"]["files_scanned"] == 3 and first["score"]["score"] > 0
     again = e.report(at=datetime(2024, 1, 2, tzinfo=UTC))
     assert [p["id"] for p in again["duplicates"]] == [p["id"] for p in first["duplicates"]]
@@ -78,6 +83,31 @@ def test_verdicts_are_asked_once(spark, tree):
     assert ids(off.report(at=datetime(2024, 1, 3, tzinfo=UTC))) == set()
 
 
+def test_nothing_to_compare(spark, tmp_path):
+    doc = Engine(spark, str(tmp_path)).report()
+    assert doc["duplicates"] == [] and "metrics" not in doc and doc["grade"] == "Excellent"
+
+
+def test_own_language_and_kernel(spark, tmp_path, monkeypatch):
+    from simweave.operators.similarity import similar_pairs_by_expression
+    from simweave.sources import files
+
+    monkeypatch.setitem(files.EXTRACTORS, ".toy", None)
+    monkeypatch.setitem(files.LABELS, ".toy", None)
+
+    def units(path, text, least, least_block):
+        return [{"id": f"function:{path}:{i}-{i}", "name": line.split()[0], "file_path": path, "start_line": i, "end_line": i, "code": line, "unit_type": "function", "parent_id": None} for i, line in enumerate(text.split("\n")) if line]
+
+    files.register_extractor(".toy", units, lambda kind, name, path, code: F.when(name == "f", F.concat(F.lit("toy-"), name)).otherwise(F.lit("")))
+    (tmp_path / "a.toy").write_text("f one two three\ng one two three\nh other words here\n")
+    e = Engine(spark, str(tmp_path), kernel=similar_pairs_by_expression)
+    e.init()
+    doc = e.report()
+    assert [p["exclusion"] for p in doc["duplicates"]] == ["function|g(arity:0)|toy-f"] or doc["duplicates"] == []
+    low = {r["left_id"] for r in similar_pairs_by_expression(e.store.read("units"), {"function": 0.5}).collect()}
+    assert low
+
+
 def test_command_line(spark, tree, capsys):
     assert main(["init", str(tree)]) == 0
     assert main(["dupes", str(tree), "--json"]) == 0
