@@ -60,15 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Delete scratch tables made by :func:`materialize` that nothing reads any more."""
-    for df in dfs:
-        spark = df.sparkSession
-        root = scratch_root(spark)
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if parent.split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
