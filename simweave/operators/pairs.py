@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from simweave.functions.labels import id_key
 from simweave.operators.similarity import cosine, similar_pairs
 from simweave.operators.units import embedded, with_parents
+from simweave.scratch import materialize
 
 #: The weight of a unit's own similarity and of its ancestors', by type.
 WEIGHTS = {"class": {"self": 1.0}, "function": {"self": 0.8, "class": 0.2}, "block": {"self": 0.7, "function": 0.2, "class": 0.1}}
@@ -75,6 +76,8 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     side = lambda s: known.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("file_path", "start_line", "end_line", "function_id", "class_id")])
     pairs = found.withColumnRenamed("similarity", "self_similarity").join(side("left"), "left_id").join(side("right"), "right_id")
     pairs = pairs.where(~nested_blocks(F.col("unit_type"), F.col("left_file_path"), F.col("left_start_line"), F.col("left_end_line"), F.col("right_file_path"), F.col("right_start_line"), F.col("right_end_line")))
+    # read once for each kind of ancestor and once more: the products are not to be formed again
+    pairs = materialize(pairs, "candidates")
     vectors = lambda s, of: units.select(F.col("id").alias(of), F.col("embedding").alias(f"{s}_v"))
     score, total = F.lit(0.0), F.lit(0.0)
     for kind in ("function", "class"):
