@@ -232,12 +232,13 @@ def _scorer(model):
             views = [x * c[0] + c[1] for x, c in zip(views, m["cal"], strict=True)]
             out.append(np.stack([views[0] * m["mix"][0] + views[1] * m["mix"][1] + m["mix"][2], *views]))
         scores = sigmoid(np.concatenate(out, axis=1)) if out else np.zeros((3, 0))
+        tk.release()
         return pa.StructArray.from_arrays([pa.array(x) for x in scores], fields=list(kind))
 
     return score
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 4000, max_pool: int = 4000, settings: CoTraining = CoTraining()) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 3000, max_pool: int = 3000, settings: CoTraining = CoTraining()) -> DataFrame:
     """``docs`` with a column ``out``: struct of score (the probability of good quality), text_score and meta_score.
 
     ``labels`` is (doc_id, quality). Learns from at most ``max_labelled``
@@ -253,7 +254,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds
     pool = docs.where("doc_id is not null and text is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id").join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti")
     ids = bounded(told, max_labelled, settings.seed).unionByName(bounded(pool, max_pool, settings.seed).withColumn("y", F.lit(None).cast("double")))
     # bounded by max_labelled + max_pool
-    sample = docs.select("doc_id", *ours).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text", "y").select("text", "lang", "source", "n_chars", "y")
+    sample = docs.select("doc_id", *ours).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
     model = docs.sparkSession.sparkContext.broadcast(fit_in_one_task(sample, _train(settings)))
     return docs.withColumn(out, _scorer(model)(*ours))
 

@@ -233,7 +233,7 @@ def _train(settings: CrfFit):
 def _fit(docs: DataFrame, folds: int, held_out: int, max_rows: int, settings: CrfFit) -> bytes:
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(fold(F.col("doc_id"), folds) != held_out)
     ids = bounded(known.select("doc_id", "lang"), max_rows, seed=5)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "lang").select("text", "lang")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
     return fit_in_one_task(sample, _train(settings))
 
 
@@ -305,11 +305,11 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int =
     """
     model = docs.sparkSession.sparkContext.broadcast(_fit(docs, folds, held_out, max_rows, settings))
     rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    found = rows.mapInArrow(_predict(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(tk.tidy(_predict(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score")
 
 
 def code_switches(docs: DataFrame, train: DataFrame | None = None, folds: int = 5, held_out: int = 0, max_rows: int = 4000, settings: CrfFit = CrfFit()) -> DataFrame:
     """(doc_id, segments): the runs of words (first, end, lang) that forward-backward gives one language."""
     model = docs.sparkSession.sparkContext.broadcast(_fit(train if train is not None else docs, folds, held_out, max_rows, settings))
-    return docs.select("doc_id", "text").mapInArrow(_segments(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, segments array<struct<first: long, end: long, lang: string>>")
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(_segments(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, segments array<struct<first: long, end: long, lang: string>>")

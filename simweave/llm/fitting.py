@@ -31,13 +31,14 @@ def bounded(ids: DataFrame, limit: int, seed: int = 0) -> DataFrame:
 
 
 def fit_in_one_task(sample: DataFrame, train: Callable[[pa.Table | None], bytes]) -> bytes:
-    """Run ``train`` on the bounded ``sample`` in one task; it gets None if there are no rows."""
+    """Run ``train`` on the bounded ``sample`` (doc_id, ...) in one task, in the order of its columns and without doc_id; it gets None if there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(got) if got else None)], type=pa.binary())], names=["model"])
 
-    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    # sorted inside the task: a sort before it would send keys, texts among them, to the driver
+    rows = sample.repartition(1).sortWithinPartitions(*sample.columns).drop("doc_id").mapInArrow(tk.tidy(run), "model binary").collect()
     return rows[0]["model"] if rows else train(None)
 
 

@@ -121,7 +121,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("y")).where(fold(F.col("doc_id"), folds) != held_out)
     # bounded by max_rows
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bounded(known, max_rows)), "doc_id").orderBy("doc_id").select("text", "y")
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bounded(known, max_rows)), "doc_id").select("doc_id", "text", "y")
     model = spark.sparkContext.broadcast(fit_in_one_task(sample, _train(settings)))
-    scored = docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tk.tidy(_score(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -287,9 +287,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def links(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets confirm the link, as (u, v)."""
     ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_texts_of(docs, ends).mapInArrow(_sets(shingle), "id long, s binary"), "sets")
+    sets = materialize(_texts_of(docs, ends).mapInArrow(tk.tidy(_sets(shingle)), "id long, s binary"), "sets")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    found = materialize(full.mapInArrow(_confirm(threshold), "u long, v long").distinct(), "links")
+    found = materialize(full.mapInArrow(tk.tidy(_confirm(threshold)), "u long, v long").distinct(), "links")
     discard(sets)
     return found
 
@@ -311,11 +311,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("the bands are laid out for thresholds from 0.5 to 1")
-    sketch = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(threshold, shingle), SKETCH_DDL), "sketch")
+    sketch = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tk.tidy(_sketch(threshold, shingle)), SKETCH_DDL), "sketch")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     used = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(used.groupBy("k1", "k2", "part").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "reps")
-    keys = reps.select("id", "part", "regs").mapInArrow(_band_keys, "key long, id long, part boolean, band int")
+    keys = reps.select("id", "part", "regs").mapInArrow(tk.tidy(_band_keys), "key long, id long, part boolean, band int")
     shared = keys.groupBy("key", "part").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     members = materialize(keys.join(shared.select("key", "part"), ["key", "part"]), "members")
     # most documents share no bucket, and their registers are not needed any more
@@ -344,14 +344,14 @@ def _star_rounds(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold
             ties = ties.join(tried, ["a", "id"], "left_anti")
         best = materialize(ties.groupBy("id").agg(F.max(F.struct("shared", -F.col("a"), "part")).alias("m")).select((-F.col("m.col2")).alias("a"), "id", F.col("m.part").alias("part")), "stars")
         likely = best.withColumnRenamed("id", "b").join(side("a"), ["a", "part"]).join(side("b"), ["b", "part"]).select("a", "b", "part", "na", "ra", "nb", "rb")
-        pairs = materialize(likely.mapInArrow(_keep_likely(threshold), "a long, b long").distinct(), "pairs")
+        pairs = materialize(likely.mapInArrow(tk.tidy(_keep_likely(threshold)), "a long, b long").distinct(), "pairs")
         new = links(docs, pairs, threshold, shingle)
         discard(pairs)
         tried = best.select("a", "id") if tried is None else tried.unionAll(best.select("a", "id"))
+        if known is not None and new.isEmpty():
+            break
         found = new if found is None else found.unionAll(new)
         known = materialize(components(found), "components")
-        if new.isEmpty():
-            break
     return found, known
 
 
@@ -367,11 +367,11 @@ def _search_rest(docs: DataFrame, members: DataFrame, reps: DataFrame, known: Da
     mixed = materialize(_mixed(members, known), "mixed")
     place = lambda df: df.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
     few = _tiles(mixed.where(F.col("size") <= LARGE)).join(reps.select("id", "part", "n", "regs"), ["id", "part"])
-    some = place(few.select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")).mapInArrow(_tile_search(threshold), "a long, b long")
+    some = place(few.select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")).mapInArrow(tk.tidy(_tile_search(threshold)), "a long, b long")
     large = mixed.where(F.col("size") > LARGE)
-    halves = materialize(_texts_of(docs, large.select("id").distinct()).mapInArrow(_sets(shingle, True), "id long, s binary"), "halves")
+    halves = materialize(_texts_of(docs, large.select("id").distinct()).mapInArrow(tk.tidy(_sets(shingle, True)), "id long, s binary"), "halves")
     many = _tiles(large).join(halves.select("id", (F.octet_length("s") / 4).cast("long").alias("n"), "s"), "id")
-    more = place(many.select("key", "ta", "tb", "side", "id", "comp", "n", "s")).mapInArrow(_tile_compare(threshold), "a long, b long")
+    more = place(many.select("key", "ta", "tb", "side", "id", "comp", "n", "s")).mapInArrow(tk.tidy(_tile_compare(threshold)), "a long, b long")
     pairs = materialize(some.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = links(docs, pairs, threshold, shingle)
     discard(mixed, halves, pairs)

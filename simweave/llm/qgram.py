@@ -213,7 +213,9 @@ def _finder(index):
     @F.arrow_udf(LEAKS)
     def find(text: pa.Array) -> pa.Array:
         data, off = tk.text_buffer(text)
-        return pa.array([[dict(zip(("item_id", "edits", "first", "end"), x, strict=True)) for x in index.value.leaks(data[a:b])] for a, b in zip(off[:-1], off[1:], strict=True)], type=kind)
+        found = pa.array([[dict(zip(("item_id", "edits", "first", "end"), x, strict=True)) for x in index.value.leaks(data[a:b])] for a, b in zip(off[:-1], off[1:], strict=True)], type=kind)
+        tk.release()
+        return found
 
     return find
 

@@ -9,7 +9,8 @@ depend on the longest text beyond its own bytes and word hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,5 +146,21 @@ def shingles(hashes: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def pa_bytes(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, type=pa.binary())
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with its memory released at the end of the task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
