@@ -18,6 +18,8 @@ windows run over blocks, and documents are sorted only inside the cut blocks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from simweave.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_DOCS = 256
+#: Rows of a shard that the number of shards aims at, from 16 shards on.
+SHARD_ROWS = 50_000
 
 
 def _key(seed: int) -> Column:
@@ -80,22 +84,28 @@ def split_tree(counts: DataFrame, depth: int, seed: int) -> DataFrame:
     u = f"(pmod(xxhash64({seed}, node, size(a.out)), 4503599627370496L) + 0.5D) / 4503599627370496D"
     step = f"transform(array({_hypergeometric('a.pop', 'k', 'a.draws', u)}), y -> named_struct('pop', a.pop - k, 'draws', a.draws - y, 'out', concat(a.out, array(y))))[0]"
     left = f"aggregate(n, named_struct('pop', {total}, 'draws', {total} div 2, 'out', cast(array() as array<bigint>)), (a, k) -> {step}, a -> a.out)"
-    for _ in range(depth):
+    for level in range(depth):
+        if level == 6:
+            node = node.repartition("node")  # deeper trees are many nodes
         node = node.selectExpr(f"inline(transform(array(0L, 1L), side -> named_struct('node', 2 * node + side, 'n', transform(array({left}), l -> if(side = 0, l, zip_with(n, l, (x, y) -> x - y)))[0])))")
     return node.select((F.col("node") - F.lit(1 << depth)).cast("int").alias("shard"), "n")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int = 4, seed: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs`` (doc_id, text, source) -> (rows, sources, blocks).
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int | None = None, seed: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``docs`` (doc_id, text, source) -> (rows, sources, blocks, depth).
 
     ``rows``: doc_id, source, size in words, hash key. ``sources``: totals,
     targets and the number of blocks. ``blocks``: how often each block is drawn
     (passes), whether the last pass takes it (part: all, cut or none), up to
     which key and how many words at that key, and the output shard of every draw.
+    ``depth``: of the tree; by default it grows with the rows, so that shards do not.
     """
     rows = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key(seed).alias("key")), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = materialize(targets(totals, weights, max_repeats).withColumn("n_blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long")).withColumn("quota", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")), "sources")
+    if depth is None:
+        n = sources.agg(F.sum("docs")).first()[0] or 0
+        depth = max(4, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
     placed = in_blocks(rows, sources)
     by_block = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
@@ -114,10 +124,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     counts = units.groupBy("rank").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("s"))
     leaves = split_tree(counts.select(F.col("s.n").alias("n"), F.col("s.rank").alias("ranks")).select("n"), depth, seed + 3)
     ranks = counts.select(F.posexplode("s.rank").alias("i", "rank"))
-    ends = leaves.select("shard", F.posexplode("n").alias("i", "n")).withColumn("end", F.sum("n").over(Window.partitionBy("i").orderBy("shard"))).groupBy("i").agg(F.sort_array(F.collect_list("end")).alias("ends")).join(ranks, "i").select("rank", "ends")
-    shards = at.join(ends, "rank").withColumn("shard", F.expr("size(filter(ends, e -> e < place))")).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("d")).select("source", "block", F.col("d.shard").alias("shards"))
+    # a draw's shard is the number of shards that end before its place
+    by_shard = Window.partitionBy("i").orderBy("shard")
+    ends = leaves.select("shard", F.posexplode("n").alias("i", "n")).withColumn("place", F.sum("n").over(by_shard)).join(ranks, "i").select("rank", "place", F.lit(1).alias("end"))
+    along = at.select("rank", "place", F.lit(0).alias("end"), F.struct("source", "block", "pass").alias("draw")).unionByName(ends, allowMissingColumns=True)
+    counted = along.withColumn("shard", F.sum("end").over(Window.partitionBy("rank").orderBy("place", "end").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where("end = 0")
+    shards = counted.select("draw.*", "shard").groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("d")).select("source", "block", F.col("d.shard").alias("shards"))
     blocks = drawn.alias("b").join(cuts.alias("c"), F.expr("b.source <=> c.source and b.block = c.block"), "left").join(shards.alias("h"), F.expr("b.source <=> h.source and b.block = h.block"), "left").select("b.source", "b.block", "passes", "part", "cut_key", "cut_words", "shards")
-    return rows, sources, materialize(blocks, "draws")
+    return rows, sources, materialize(blocks, "draws"), depth
 
 
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -137,17 +151,17 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     a key, hence if the cut falls on them each is cut alike. An empty table
     gives an empty one; other columns are ignored.
     """
-    rows, sources, blocks = plan(docs, weights, max_repeats, seed=seed)
+    rows, sources, blocks, _ = plan(docs, weights, max_repeats, seed=seed)
     last = F.expr("case when part = 'all' or key < cut_key then size when key = cut_key then least(size, cut_words) else 0 end")
     return _with_blocks(rows, sources, blocks).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(last, F.lit(0))).cast("long").alias("taken"), "shards")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int = 4, seed: int = 4) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int | None = None, seed: int = 4) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is drawn, dealt to 2**depth shards and shuffled in each.
 
     The one document of a source on which its cut falls is put out whole.
     """
-    _, sources, blocks = plan(docs, weights, max_repeats, depth, seed)
+    _, sources, blocks, depth = plan(docs, weights, max_repeats, depth, seed)
     keyed = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("source"), _key(seed).alias("key"))
     full = _with_blocks(keyed, sources, blocks)
     times = F.col("passes") + F.when((F.col("part") == "all") | ((F.col("part") == "cut") & (F.col("key") <= F.col("cut_key"))), 1).otherwise(0)

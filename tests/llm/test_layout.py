@@ -59,6 +59,22 @@ def test_mix(spark, docs, seed, monkeypatch):
             assert times.get(r["doc_id"], 0) == math.ceil(r["taken"] / r["size"])
 
 
+def test_shards_are_disjoint_and_full(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    df = docs([(i, "w " * 10, "en", "ab"[i % 3 == 0]) for i in range(900)])
+    _, _, blocks, depth = mixing.plan(df)
+    assert depth == 7
+    rows = [r for r in blocks.collect() if r["shards"]]
+    counts = {}
+    for r in rows:
+        assert len(r["shards"]) == r["passes"] + (r["part"] != "none") and all(0 <= s < 128 for s in r["shards"])
+        for s in r["shards"]:
+            counts[s] = counts.get(s, 0) + 1
+    draws = sum(counts.values())
+    assert max(counts.values()) - draws / 128 <= 8 and len(counts) > 100
+
+
 def test_mix_of_odd_rows(spark, odd):
     rows = mixing.taken_words(odd).collect()
     assert len(rows) == odd.count() and all(r["taken"] == 0 for r in rows if r["size"] == 0)
