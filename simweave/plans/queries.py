@@ -12,6 +12,7 @@ from simweave.functions import text as tx
 from simweave.operators import exclusions, incremental, pairs, score, similarity, units, verdicts
 from simweave.plans import report
 from simweave.plans import tables as t
+from simweave.scratch import materialize
 from simweave.streaming.edits import debounced, real_edits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,19 +203,19 @@ SELECT left_id, right_id, unit_type, round(self, 6) AS self_similarity, round(si
 
 @query(_WEIGHTED.format(kind="function", own=0.8, thr=0.3))
 def weighted_function_similarity(spark, d):
-    u = t.units(spark, d).where(F.col("unit_type").isin("function", "class"))
+    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "class")), "units")
     return _rounded(pairs.weighted_pairs(u, 0.3).where(F.col("unit_type") == "function"), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="block", own=0.7, thr=0.8))
 def weighted_block_similarity(spark, d):
-    u = t.units(spark, d).where(F.col("unit_type").isin("function", "block"))
+    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "block")), "units")
     return _rounded(pairs.weighted_pairs(u, 0.8).where(F.col("unit_type") == "block"), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="class", own=1.0, thr=0.2))
 def weighted_class_similarity(spark, d):
-    u = t.units(spark, d).where(F.col("unit_type") == "class")
+    u = materialize(t.units(spark, d).where(F.col("unit_type") == "class"), "units")
     return _rounded(pairs.weighted_pairs(u, 0.2), "self_similarity", "similarity")
 
 
