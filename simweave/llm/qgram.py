@@ -13,13 +13,16 @@ diagonals that differ by at most k.
    wide, every k), and windows of the item with enough distinct q-grams kept.
 3. A banded alignment of each such window confirms it or not.
 
-The benchmark's index is broadcast in parts of at most ``PART_BYTES`` of item
-text; a larger benchmark takes several passes over the documents.
+The benchmark's index is broadcast in parts of about ``PART_BYTES`` of item
+text, ``GROUP`` of them in a pass over the documents; a larger benchmark takes
+several passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
+from simweave.scratch import materialize
 
 Q = 8
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
+#: Parts that one pass over the documents holds at once.
+GROUP = 4
 BLOOM_BITS = 22
 STRETCH = 1 << 16
 
@@ -220,19 +226,20 @@ def _finder(index):
     return find
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), text: str = "text") -> Column:
-    """A column for ``docs``: the benchmark items (item_id, text) that leak into a row's text, each with the edits and the bytes of one place."""
+def leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), text: str = "text") -> Iterator[Column]:
+    """Columns for ``docs``, one a pass: the benchmark items (item_id, text) that leak into a row's text, each with the edits and the bytes of one place."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
-    found: list[Column] = []
-    for k in range(parts):
-        # about PART_BYTES of text
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).distinct().orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(GramIndex([(r["item_id"], r["text"]) for r in rows], budget))
-        found.append(_finder(index)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return F.concat(*found) if len(found) > 1 else found[0]
+    for first in range(0, parts, GROUP):
+        found: list[Column] = []
+        for k in range(first, min(parts, first + GROUP)):
+            # about PART_BYTES of text
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).distinct().orderBy("item_id", "text").collect()
+            index = spark.sparkContext.broadcast(GramIndex([(r["item_id"], r["text"]) for r in rows], budget))
+            found.append(_finder(index)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        yield F.concat(*found) if len(found) > 1 else found[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
@@ -241,9 +248,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(
     Null and blank texts hold no leak, null items are left out; items that
     share an id or a text are each looked for. Repeated rows give repeated rows.
     """
-    return docs.select("doc_id", F.explode(leaks(docs, benchmark, budget)).alias("l")).select("doc_id", "l.*")
+    passes = [docs.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.*") for found in leaks(docs, benchmark, budget)]
+    return reduce(DataFrame.unionAll, passes)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaks, with their columns."""
-    return docs.where(F.size(leaks(docs, benchmark, budget)) == 0)
+    for n, found in enumerate(leaks(docs, benchmark, budget)):
+        # a pass of its own for each group, so that a worker holds one group's index
+        docs = (materialize(docs, "clean") if n else docs).where(F.size(found) == 0)
+    return docs

@@ -146,3 +146,7 @@ def test_benchmark_in_parts(spark, docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs([(i, "before " + t + " after", "en", "s") for i, t in items])
     assert {(r["doc_id"], r["item_id"]) for r in qgram.contaminated(df, bench).collect()} == {(i, i) for i in range(6)}
+    assert qgram.clean(df, bench).count() == 0
+    monkeypatch.setattr(qgram, "GROUP", 1)
+    assert {(r["doc_id"], r["item_id"]) for r in qgram.contaminated(df, bench).collect()} == {(i, i) for i in range(6)}
+    assert qgram.clean(df.unionAll(docs([(9, "nothing here", "en", "s")])), bench).count() == 1
