@@ -4,24 +4,29 @@ The text view sees words, word pairs, the shapes of words and immediate
 repetition, as shares of the words, hashed to 2**BITS features. The metadata
 view sees what a crawler's page record holds: source, declared language,
 sizes, line layout and shares of kinds of characters, each cut into bins.
-Both are logistic regressions. Over a few rounds each labels a pool of
-unlabelled documents, and its most confident labels join the *other* view's
-training rows. Then each view's logits are calibrated on labelled rows kept
-aside, and a logistic combination of both scores every document.
+Both are logistic regressions. Over a few rounds each labels all unlabelled
+documents, where they lie, and its most confident labels join the *other*
+view's training rows. Then each view's logits are calibrated on labelled rows
+kept aside, and a logistic combination of both scores every document. The task
+that trains gets hashed features, not texts.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
 from simweave.llm.fitting import bounded, fit_in_one_task, fold, row_of, sigmoid, word_grams
+from simweave.llm.sifting import near
+from simweave.scratch import discard, materialize
 
 BITS = 16
 BINS = 10
@@ -115,15 +120,19 @@ def meta_view(dense: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> tuple[
 
 
 class View:
-    """Logistic regression over sparse rows (in ascending order), by Adagrad."""
+    """Logistic regression over sparse rows, by Adagrad."""
 
-    def __init__(self, row: np.ndarray, feat: np.ndarray, value: np.ndarray, n: int, size: int):
-        self.feat, self.value = feat, value
-        self.bounds = np.searchsorted(row, np.arange(n + 1))
+    def __init__(self, bounds: np.ndarray, feat: np.ndarray, value: np.ndarray, size: int):
+        self.bounds, self.feat, self.value = bounds, feat, value
         self.w, self.size = np.zeros(size + 1), size
 
-    def logits(self) -> np.ndarray:
-        return np.bincount(row_of(self.bounds), weights=self.w[self.feat] * self.value, minlength=len(self.bounds) - 1) + self.w[-1]
+    def _rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pick = np.concatenate([np.arange(self.bounds[r], self.bounds[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+        return np.repeat(np.arange(len(rows)), self.bounds[rows + 1] - self.bounds[rows]), self.feat[pick], self.value[pick]
+
+    def logits(self, at: np.ndarray) -> np.ndarray:
+        of, f, v = self._rows(at)
+        return np.bincount(of, weights=self.w[f] * v, minlength=len(at)) + self.w[-1]
 
     def fit(self, at: np.ndarray, y: np.ndarray, s: CoTraining) -> None:
         self.w, g2 = np.zeros(self.size + 1), np.full(self.size + 1, 1e-3)
@@ -132,13 +141,11 @@ class View:
             order = rng.permutation(len(at))
             for k in range(0, len(order), 64):
                 rows = at[order[k : k + 64]]
-                pick = np.concatenate([np.arange(self.bounds[r], self.bounds[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-                of = np.repeat(np.arange(len(rows)), self.bounds[rows + 1] - self.bounds[rows])
-                f, v = self.feat[pick], self.value[pick]
+                of, f, v = self._rows(rows)
                 z = np.bincount(of, weights=self.w[f] * v, minlength=len(rows)) + self.w[-1]
                 e = sigmoid(z) - y[order[k : k + 64]]
-                u, back = np.unique(f, return_inverse=True)
-                g = np.bincount(back, weights=e[of] * v, minlength=len(u)) / len(rows) + s.l2 * self.w[u]
+                u = np.flatnonzero(np.bincount(f, minlength=self.size))
+                g = np.bincount(f, weights=e[of] * v, minlength=self.size)[u] / len(rows) + s.l2 * self.w[u]
                 g2[u] += g * g
                 self.w[u] -= s.rate * g / np.sqrt(g2[u])
                 b = e.mean()
@@ -160,76 +167,133 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c
 
 
-def _train(s: CoTraining):
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text, lang, source, n_chars, y) -> (doc_id, key, feats, vals, dense, kinds, y): a text's distinct features with their summed values, as bytes."""
+    names = ["doc_id", "key", "feats", "vals", "dense", "kinds", "y"]
+    for batch in batches:
+        for part in tk.slices(batch, 2):
+            row, feat, value = text_view(part.column(2))
+            code, back = np.unique(row.astype(np.int64) << BITS | feat, return_inverse=True)
+            value = np.bincount(back, weights=value, minlength=len(code)).astype(np.float32)
+            bounds = np.searchsorted(code, np.arange(part.num_rows + 1) << BITS)
+            feat = (code & ((1 << BITS) - 1)).astype(np.uint16)
+            cells = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in (feat, value)]
+            cells += [[r.tobytes() for r in x] for x in metadata(*part.columns[2:6])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, type=pa.binary()) for c in cells], part.column(6)], names=names)
+
+
+def _train(s: CoTraining, taught: dict[int, list[float]]):
+    """Fit both views on the labelled rows and on those that the other view taught: ``taught`` has a row's label for each view, or nan."""
+
     def run(table: pa.Table | None) -> bytes:
         out = io.BytesIO()
-        y = table.column("y").to_numpy(zero_copy_only=False).astype(float) if table is not None else np.zeros(0)
+        y = table.column("y").to_numpy().astype(float) if table is not None else np.zeros(0)
         if not {0.0, 1.0} <= set(y[~np.isnan(y)]):  # one class or none: nothing to tell apart
-            np.savez(out, text=np.zeros((1 << BITS) + 1), meta=np.zeros(DENSE * (BINS + 1) + 2 * KINDS + 1), edges=np.zeros((DENSE, BINS)), cal=np.zeros((2, 2)), mix=np.zeros(3))
+            np.savez(out, text=np.zeros((1 << BITS) + 1), meta=np.zeros(DENSE * (BINS + 1) + 2 * KINDS + 1), edges=np.zeros((DENSE, BINS)), cal=np.zeros((2, 2)), mix=np.zeros(3), rate=np.nan)
             return out.getvalue()
         n = len(y)
-        parts, first = [], 0
-        for part in (x for c in table.to_batches() for x in tk.slices(c, 0)):
-            row, feat, value = text_view(part.column(0))
-            order = np.argsort(row, kind="stable")
-            parts.append(((row[order] + first).astype(np.int32), feat[order].astype(np.int32), value[order].astype(np.float32)))
-            first += part.num_rows
-        row, feat, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        del parts
-        cols = [table.column(c).combine_chunks() for c in ("text", "lang", "source", "n_chars")]
-        some = [metadata(*x.columns) for x in tk.slices(pa.RecordBatch.from_arrays(cols, names=["text", "lang", "source", "n_chars"]), 0)]
-        dense, kinds = (np.concatenate([m[k] for m in some]) for k in (0, 1))
+        cells = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("feats")).to_numpy() // 2, dtype=np.int64)])
+        dense, kinds = cells("dense", np.float64).reshape(n, DENSE), cells("kinds", np.int64).reshape(n, 2)
         edges = np.quantile(dense, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
-        text = View(row, feat, value, n, 1 << BITS)
-        meta = View(*meta_view(dense, kinds, edges), n, DENSE * (BINS + 1) + 2 * KINDS)
+        text = View(bounds, cells("feats", np.uint16), cells("vals", np.float32), 1 << BITS)
+        row, feat, value = meta_view(dense, kinds, edges)
+        meta = View(np.searchsorted(row, np.arange(n + 1)), feat, value, DENSE * (BINS + 1) + 2 * KINDS)
         rng = np.random.default_rng(s.seed)
-        known = rng.permutation(np.flatnonzero(~np.isnan(y)))
+        known = rng.permutation(np.flatnonzero(~np.isnan(y)))  # the same split in every round
         aside, labelled = np.split(known, [max(1, len(known) // 5)])
-        pool = np.flatnonzero(np.isnan(y))
-        sets = [(labelled, y[labelled]), (labelled, y[labelled])]
-        given = [np.zeros(n, bool), np.zeros(n, bool)]
-        for _ in range(s.rounds):
-            logits = []
-            for view, (at, t) in zip((text, meta), sets, strict=True):
-                view.fit(at, t, s)
-                logits.append(view.logits())
-            for k in (0, 1):  # view k teaches view 1 - k
-                left = pool[~given[1 - k][pool]]
-                p = sigmoid(logits[k][left])
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    rate = y[labelled].mean() if label else 1 - y[labelled].mean()
-                    best = np.argsort(-sure, kind="stable")[: int(np.ceil(s.share * rate * len(pool)))]
-                    best = left[best[sure[best] >= s.sure]]
-                    given[1 - k][best] = True
-                    sets[1 - k] = (np.concatenate([sets[1 - k][0], best]), np.concatenate([sets[1 - k][1], np.full(len(best), label)]))
+        keys = table.column("key").to_numpy()
+        given = np.array([taught.get(int(x), (np.nan, np.nan)) if np.isnan(t) else (np.nan, np.nan) for x, t in zip(keys, y, strict=True)])
         logits = []
-        for view, (at, t) in zip((text, meta), sets, strict=True):
-            view.fit(at, t, s)
-            logits.append(view.logits()[aside])
+        for k, view in enumerate((text, meta)):
+            more = np.flatnonzero(~np.isnan(given[:, k]))
+            view.fit(np.concatenate([labelled, more]), np.concatenate([y[labelled], given[more, k]]), s)
+            logits.append(view.logits(aside))
         cal = np.stack([_platt(x[:, None], y[aside]) for x in logits])
         both = np.stack([x * c[0] + c[1] for x, c in zip(logits, cal, strict=True)], axis=1)
-        np.savez(out, text=text.w, meta=meta.w, edges=edges, cal=cal, mix=_platt(both, y[aside]))
+        np.savez(out, text=text.w, meta=meta.w, edges=edges, cal=cal, mix=_platt(both, y[aside]), rate=y[labelled].mean() if len(labelled) else np.nan)
         return out.getvalue()
 
     return run
 
 
+def _views(m: dict, part: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views' logits of (text, lang, source, n_chars)."""
+    n = part.num_rows
+    row, feat, value = text_view(part.column(0))
+    text = np.bincount(row, weights=m["text"][feat] * value, minlength=n) + m["text"][-1]
+    row, feat, value = meta_view(*metadata(*part.columns), m["edges"])
+    return [text, np.bincount(row, weights=m["meta"][feat] * value, minlength=n) + m["meta"][-1]]
+
+
+def _sure(model, least: float):
+    """(doc_id, key, text, lang, source, n_chars) -> (doc_id, key, z0, z1): the rows of whose label a view is sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = dict(np.load(io.BytesIO(model.value)))
+        for batch in batches:
+            for part in tk.slices(batch, 2):
+                z = np.stack(_views(m, pa.RecordBatch.from_arrays(part.columns[2:], names=["text", "lang", "source", "n_chars"])))
+                at = pa.array(np.flatnonzero((np.abs(z) >= least).any(axis=0)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(x).take(at) for x in z]], names=["doc_id", "key", "z0", "z1"])
+
+    return run
+
+
+def _fit(docs: DataFrame, ids: DataFrame, pool: DataFrame, held_out: Column, max_taught: int, s: CoTraining) -> bytes:
+    """The model from ``docs`` (doc_id, text, ...), the labelled ``ids`` (doc_id, y) and the unlabelled ``pool`` (doc_id)."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "lang", "source", "n_chars")
+    shape = f"doc_id {kind}, key long, feats binary, vals binary, dense binary, kinds binary, y double"
+    # bounded by max_labelled, and by 2 * max_taught a round
+    rows = [materialize(keyed.join(F.broadcast(ids), "doc_id").select(*keyed.columns, "y").mapInArrow(tk.tidy(_features), shape), "labelled")]
+    pool = materialize(pool, "unlabelled")
+    n_pool, least = pool.count(), float(np.log(s.sure / (1 - s.sure)))
+    taught: dict[int, list[float]] = {}
+
+    def fitted() -> bytes:
+        sample = rows[0]
+        for x in rows[1:]:
+            sample = sample.unionByName(x)
+        return fit_in_one_task(sample, _train(s, taught))
+
+    model = fitted()
+    rate = float(np.load(io.BytesIO(model))["rate"])
+    for _ in range(s.rounds if n_pool and not np.isnan(rate) else 0):
+        seen = spark.sparkContext.broadcast(model)
+        # a bitmap leaves out most other rows before they are scored, an exact join of ids the rest
+        mine = near(keyed.where(~held_out & F.col("text").isNotNull()), pool, "doc_id")
+        sure = mine.mapInArrow(tk.tidy(_sure(seen, least)), f"doc_id {kind}, key long, z0 double, z1 double").join(pool, "doc_id", "left_semi")
+        sure = materialize(sure.select("key", "z0", "z1").dropDuplicates(["key"]), "sure")
+        known, before = set(taught), {k: [x for x, t in taught.items() if not np.isnan(t[k])] for k in (0, 1)}
+        for k in (0, 1):  # view k teaches view 1 - k
+            for label, part in ((1.0, rate), (0.0, 1 - rate)):
+                z = F.col(f"z{k}") * (1 if label else -1)
+                best = sure.where((z >= least) & ~F.col("key").isin(before[1 - k])).orderBy(z.desc(), "key").limit(int(np.ceil(part * min(s.share * n_pool, max_taught))))
+                for r in best.select("key").collect():
+                    taught.setdefault(r["key"], [np.nan, np.nan])[1 - k] = label
+        discard(sure)
+        new = sorted(set(taught) - known)
+        if new:
+            found = keyed.where(F.col("key").isin(new)).dropDuplicates(["key"]).withColumn("y", F.lit(None).cast("double"))
+            rows.append(materialize(found.mapInArrow(tk.tidy(_features), shape), "taught"))
+        model = fitted()
+        seen.destroy()
+    discard(pool, *rows)
+    return model
+
+
 def _scorer(model):
     kind = pa.struct([("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64())])
 
     @F.arrow_udf("struct<score: double, text_score: double, meta_score: double>")
     def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
-        m = np.load(io.BytesIO(model.value))
-        w, v = m["text"], m["meta"]
+        m = dict(np.load(io.BytesIO(model.value)))
         out = []
         whole = pa.RecordBatch.from_arrays([text, lang, source, n_chars], names=["text", "lang", "source", "n_chars"])
         for part in tk.slices(whole, 0):
-            n = part.num_rows
-            row, feat, value = text_view(part.column(0))
-            views = [np.bincount(row, weights=w[feat] * value, minlength=n) + w[-1]]
-            row, feat, value = meta_view(*metadata(*part.columns), m["edges"])
-            views.append(np.bincount(row, weights=v[feat] * value, minlength=n) + v[-1])
-            views = [x * c[0] + c[1] for x, c in zip(views, m["cal"], strict=True)]
+            views = [x * c[0] + c[1] for x, c in zip(_views(m, part), m["cal"], strict=True)]
             out.append(np.stack([views[0] * m["mix"][0] + views[1] * m["mix"][1] + m["mix"][2], *views]))
         scores = sigmoid(np.concatenate(out, axis=1)) if out else np.zeros((3, 0))
         tk.release()
@@ -238,24 +302,23 @@ def _scorer(model):
     return score
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 3000, max_pool: int = 3000, settings: CoTraining = CoTraining()) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 6000, max_taught: int = 600, settings: CoTraining = CoTraining()) -> DataFrame:
     """``docs`` with a column ``out``: struct of score (the probability of good quality), text_score and meta_score.
 
     ``labels`` is (doc_id, quality). Learns from at most ``max_labelled``
-    labelled documents outside the held-out fold and a pool of at most
-    ``max_pool`` others, those with the smallest hash of doc_id; each document
-    is read whole. Every row is scored, null and blank texts too; without both
+    labelled documents outside the held-out fold, those with the smallest hash
+    of doc_id. All other documents outside that fold are labelled anew in every
+    round, and each view teaches the other those it is surest of: ``share`` of
+    them, at most ``max_taught`` a round. Each document is read whole. Every row is scored, null and blank texts too; without both
     classes among the labels every score is 0.5. Columns lang, source and
     n_chars may be absent. A document labelled twice counts twice.
     """
     absent = lambda c, t: F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)
     ours = [F.col("text").cast("string").alias("text"), absent("lang", "string").alias("lang"), absent("source", "string").alias("source"), absent("n_chars", "long").alias("n_chars")]
     told = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y")).where(fold(F.col("doc_id"), folds) != held_out)
-    pool = docs.where("doc_id is not null and text is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id").join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti")
-    ids = bounded(told, max_labelled, settings.seed).unionByName(bounded(pool, max_pool, settings.seed).withColumn("y", F.lit(None).cast("double")))
-    # bounded by max_labelled + max_pool
-    sample = docs.select("doc_id", *ours).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
-    model = docs.sparkSession.sparkContext.broadcast(fit_in_one_task(sample, _train(settings)))
+    pool = docs.where("doc_id is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id").join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti").distinct()
+    found = _fit(docs.select("doc_id", *ours), bounded(told, max_labelled, settings.seed), pool, fold(F.col("doc_id"), folds) == held_out, max_taught, settings)
+    model = docs.sparkSession.sparkContext.broadcast(found)
     return docs.withColumn(out, _scorer(model)(*ours))
 
 

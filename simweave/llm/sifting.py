@@ -24,6 +24,11 @@ def _near(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return marked.withColumn("bucket", F.bitmap_bucket_number("slot")).join(F.broadcast(bitmap), "bucket", "left").select("row", "id", told.alias("near"))
 
 
+def near(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """All rows of which ``column`` is among ``ids`` (no nulls in it), and a few more: rows stay where they are."""
+    return _near(rows, ids, column).where("near").select("row.*")
+
+
 def semi_join(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of which ``column`` is among ``ids``'s column of that name (no nulls in it).
 

@@ -83,6 +83,36 @@ def test_quality(spark, docs, mixed_quality):
     assert {r["doc_id"] for r in left.collect()} == {i for i, r in got.items() if r["keep"]}
 
 
+def test_quality_learns_from_all_unlabelled_rows(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    good = lambda: " ".join(words(rng, 60, "abcdefghijklmnop"))
+    bad = lambda: " ".join(w.upper() + "!!" for w in words(rng, 60, "abcdefghijklmnop"))
+    rows = [(i, good() if i % 2 else bad(), "en", f"s{i % 3}") for i in range(7000)]
+    read = spark.sparkContext.accumulator(0)
+    real = cotrain._sure
+
+    def counting(model, least):
+        run = real(model, least)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    read.add(b.num_rows)
+                    yield b
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(cotrain, "_sure", counting)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    settings = cotrain.CoTraining(rounds=2, epochs=2)
+    got = cotrain.quality(docs(rows), labels, max_taught=20, settings=settings).collect()
+    pool = sum(fold(i, 5) != 0 for i in range(200, 7000))
+    assert 2 * pool <= read.value <= 2.1 * pool
+    assert np.mean([r["keep"] == bool(r["doc_id"] % 2) for r in got]) > 0.95
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (8, 0), (1, 1)], "doc_id long, quality int")
     for some in (labels, labels.limit(0)):
