@@ -2,8 +2,8 @@
 
 Segments that are plainly variable (numbers, hexadecimal names, long names with
 digits) become wildcards by their form. Then each host's tree is walked level by
-level over the aggregated paths: where a node has many children that are each
-seen about once, the segment is variable and becomes ``*``; of the other
+level over the aggregated paths: where a node has many children, those that are
+seen about once are values of a variable segment and become ``*``; of the other
 children, those whose share of good labels does not differ significantly from
 their siblings' merge into ``*``, and those that differ stay apart. A template
 is rejected if its smoothed purity - good labels over all, shrunk towards the
@@ -79,8 +79,9 @@ def templates(urls: DataFrame, settings: TreeSettings = TreeSettings()) -> DataF
     for level in range(deepest):
         at = now.withColumn("child", F.get("segs", F.lit(level)))
         children = at.where("child is not null").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
-        node = children.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.count("*").alias("kinds"), F.sum("l").alias("nl"), F.sum("g").alias("ng"))
-        variable = (F.col("kinds") >= settings.many) & (F.col("nn") < settings.repeats * F.col("kinds"))
+        node = children.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.count("*").alias("kinds"), F.count_if(F.col("n") < settings.repeats).alias("rare"), F.sum("l").alias("nl"), F.sum("g").alias("ng"))
+        # many children that come about once are a variable segment's values; a sibling that comes often is judged like any other
+        variable = (F.col("rare") >= settings.many) & (F.col("n") < settings.repeats)
         rest_l, rest_g = F.col("nl") - F.col("l"), F.col("ng") - F.col("g")
         pooled = F.try_divide("ng", "nl")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), rest_l)))

@@ -88,6 +88,15 @@ def test_tree(spark):
     assert {r["template"] for r in got if r["page_id"] % 3 == 1} == {"/spam/*", "/spam/*/<n>.html"}
 
 
+def test_a_hot_branch_among_singletons_stays_apart(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:06d}")
+    for many in (1500, 900):
+        rows = [(i, f"http://s.net/{name(i)}") for i in range(1000)] + [(1000 + i, f"http://s.net/spam/{name(i)}") for i in range(many)]
+        labels = [(i, int(i < 1000)) for i, _ in rows]
+        got = pathtree.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), []).collect()
+        assert {(r["page_id"] >= 1000, r["template"], r["verdict"]) for r in got} == {(False, "/*", "allow"), (True, "/spam/*", "block")}
+
+
 def brute_leak(text, item, budget):
     """Some window of the item occurs in the text within the budget (Sellers' algorithm)."""
     norm = lambda s: re.sub(r"[\x20\x09-\x0D]+", " ", s.translate(LOWER)).encode()
