@@ -15,7 +15,7 @@ from simweave.llm.cotrain import kept
 from simweave.llm.hyperminhash import near_duplicates
 from simweave.llm.mixing import mixed
 from simweave.llm.qgram import clean
-from simweave.llm.resharding import reshard
+from simweave.llm.resharding import resharded
 from simweave.llm.sifting import anti_join
 from simweave.scratch import materialize
 from simweave.shipping import ship
@@ -54,9 +54,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix, which is written as shards to the shared folder."""
     ship(spark)
-    return reshard(docs, new_shards=24, old_shards=16)
+    return resharded(docs, new_shards=24, old_shards=16)
 
 
 STAGES = [("quality", quality), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]

@@ -15,7 +15,7 @@ from simweave.llm.mih import nearest
 from simweave.llm.mixing import taken_words
 from simweave.llm.pathtree import Rule, host_and_path, judge
 from simweave.llm.qgram import contaminated
-from simweave.llm.resharding import reshard
+from simweave.llm.resharding import resharded
 from simweave.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_min_cost_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshard(_table(spark, sf_dir, "documents"), new_shards=24, old_shards=16)
+    return resharded(_table(spark, sf_dir, "documents"), new_shards=24, old_shards=16)
 
 
 #: The rules that the query must apply: fixed values.

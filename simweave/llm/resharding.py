@@ -18,7 +18,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simweave.scratch import materialize
+from simweave.scratch import materialize, scratch_path, small_batches
 
 BLOCK_DOCS = 1024
 FINE = 64
@@ -81,7 +81,7 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int]]
     return [sorted(((j, x) for j, x in enumerate(row) if x), key=lambda p: (p[0] != i, p[0])) for i, row in enumerate(flow)]
 
 
-def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.Column | None = None) -> DataFrame:
+def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.Column | None = None, path: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard), a row for each of its rows.
 
     ``old`` gives the present shard of a row, 0 to old_shards - 1; by default
@@ -90,12 +90,18 @@ def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.
     ``FINE``-th of a share as long as documents are smaller than that. Null
     texts count 8 bytes. Equal texts are not kept together: a shard may not
     hold more than its share. An empty table gives an empty one.
+
+    With ``path``, the affected shards are written below it as (row, slot,
+    old_shard) by shard, ``row`` being the whole row of ``docs``, and what is
+    returned of them is read off these files. Rows are placed as they are, not
+    looked up by doc_id, so null and repeated doc_ids are kept. Other shards
+    keep their old files.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     present = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(old_shards)).cast("int"), F.lit(0)) if old is None else old
-    sizes = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.alias("old"), F.xxhash64("doc_id", "text").alias("key"))
-    sizes = materialize(sizes, "sizes")
+    columns = ["doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.alias("old"), F.xxhash64("doc_id", "text").alias("key")]
+    sizes = materialize(docs.select(*columns), "sizes")
     totals = {r["old"]: (r["bytes"], r["rows"]) for r in sizes.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
     bytes_of = [totals.get(i, (0, 0))[0] for i in range(old_shards)]
     total = sum(bytes_of)
@@ -112,20 +118,44 @@ def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.
 
     # how often a document doubles a FINE-th of a share: the largest come first
     doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") * FINE * new_shards / max(total, 1)))).cast("long")
-    placed = sizes.join(F.broadcast(cuts.select("old", "n_blocks")), "old").withColumn("block", F.pmod("key", "n_blocks") - F.col("n_blocks") * doublings)
+    def blocked(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(cuts.select("old", "n_blocks")), "old").withColumn("block", F.pmod("key", "n_blocks") - F.col("n_blocks") * doublings)
+
     ahead = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("old", "block").agg(F.sum("size").alias("b"), F.count("*").alias("n")).select("old", "block", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("bytes_ahead"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_ahead"))
+    sums = blocked(sizes).groupBy("old", "block").agg(F.sum("size").alias("b"), F.count("*").alias("n")).select("old", "block", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("bytes_ahead"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_ahead"))
     within = Window.partitionBy("old", "block").orderBy("key", "doc_id", "size")
-    line = placed.withColumn("inside", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(within))
-    line = line.join(sums, ["old", "block"]).join(F.broadcast(cuts.select("old", "ends")), "old")
     middle = F.col("bytes_ahead") + F.col("inside") - F.col("size") / 2
-    line = line.withColumn("middle", middle).withColumn("shard", F.expr("coalesce(filter(ends, e -> e.upto >= middle)[0].shard, ends[size(ends) - 1].shard)"))
-    line = materialize(line.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("rows_ahead") + F.col("nth")).alias("row")), "line")
+
+    def lined(rows: DataFrame) -> DataFrame:
+        line = blocked(rows).withColumn("inside", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(within))
+        line = line.join(sums, ["old", "block"]).join(F.broadcast(cuts.select("old", "ends")), "old")
+        line = line.withColumn("middle", middle).withColumn("shard", F.expr("coalesce(filter(ends, e -> e.upto >= middle)[0].shard, ends[size(ends) - 1].shard)"))
+        return line.withColumn("row", F.col("rows_ahead") + F.col("nth"))
+
+    line = materialize(lined(sizes).select("doc_id", "size", "text_crc32", "old", "shard", "row"), "line")
     first = line.groupBy("shard", "old").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     first = first.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a row for each (new shard, old shard): at most their product
-    out = line.join(F.broadcast(first.drop("n")), ["shard", "old"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+    slotted = lambda rows: rows.join(F.broadcast(first.drop("n")), ["shard", "old"]).withColumn("slot", F.col("ahead") + F.col("row") - F.col("first")).withColumnRenamed("old", "old_shard")
+    shown = lambda rows: rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    out = shown(slotted(line))
+    names = [] if path is None else [r["shard"] for r in affected(out).select("shard").collect()]
+    if not names:
+        return out
+    # rows alike in (key, doc_id, size) may swap places between the two orderings: they have the same text
+    whole = slotted(lined(docs.select(*columns, F.struct("*").alias("whole"))).where(F.col("shard").isin(names)))
+    whole = whole.select(F.col("whole").alias("row"), "slot", "old_shard", "shard")
+    with small_batches(spark):
+        whole.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    files = spark.read.schema(whole.schema).parquet(path)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    read = files.select(F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot", "old_shard")
+    return shown(read).unionByName(out.where(~F.col("shard").isin(names)))
+
+
+def resharded(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.Column | None = None) -> DataFrame:
+    """:func:`reshard`, with the affected shards written to the shared folder."""
+    return reshard(docs, new_shards, old_shards, old, scratch_path(docs.sparkSession, "shards"))
 
 
 def affected(plan: DataFrame) -> DataFrame:

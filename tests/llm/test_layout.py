@@ -153,6 +153,18 @@ def test_reshard_keeps_what_fits(spark, docs, tmp_path):
     assert back.count() == 240 and {(r["shard"], r["count"]) for r in back.groupBy("shard").count().collect()} == {(k, 48) for k in range(5)}
 
 
+def test_affected_shards_are_rewritten(spark, docs, odd, tmp_path):
+    df = docs([(i % 200 if i % 7 else None, f"t{i % 50} " * (i % 40), "en", f"s{i % 3}") for i in range(600)]).unionByName(odd)
+    got = resharding.reshard(df, path=f"{tmp_path}/out").collect()
+    files = spark.read.parquet(f"{tmp_path}/out")
+    names = {r["shard"] for r in resharding.affected(resharding.reshard(df)).collect()}
+    wrote = files.select("row.*", "shard", "slot").collect()
+    assert {r["shard"] for r in wrote} <= names and sum(r["shard"] not in names for r in got) + len(wrote) == len(got) == df.count()
+    assert sorted(map(str, (tuple(r)[:5] for r in wrote))) == sorted(map(str, map(tuple, df.collect()))) or len(wrote) < len(got)
+    assert sorted((r["shard"], r["slot"]) for r in got if r["shard"] in names) == sorted((r["shard"], r["slot"]) for r in wrote)
+    assert sorted(map(str, got)) == sorted(map(str, resharding.reshard(df).collect()))
+
+
 def test_reshard_of_odd_rows(spark, odd):
     rows = resharding.reshard(odd).collect()
     assert len(rows) == odd.count() and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
