@@ -41,7 +41,6 @@ class CrfFit:
     steps: int = 400
     rate: float = 0.25
     switch: float = 0.5
-    passage: int = 240
 
 
 def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,16 +185,29 @@ def _train(settings: CrfFit):
             return out.getvalue()
         rng, k, c = np.random.default_rng(5), len(langs), settings.chunk
         flat, first, labels = [], [], []  # features of chunks of c words: one row a chunk, with bounds by word
+        over: list[list[np.ndarray]] = [[] for _ in langs]  # words of short texts and of tails, spliced into chunks of one language
+
+        def add(per: list[np.ndarray], lang: int) -> None:
+            flat.append(np.concatenate(per))
+            first.append(np.repeat(np.arange(c, dtype=np.int32), [len(x) for x in per]))
+            labels.append(lang)
+
         for text, lang in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
             data, off = tk.text_buffer(pa.array([text]))
             grams, span, extra, _ = word_features(data, off)
-            words = len(span[0])
-            start = int(rng.integers(0, max(1, words - settings.passage + 1)))
-            for s in range(start, min(words, start + settings.passage) - c + 1, c):
-                per = [np.concatenate([grams[0, span[0, w] : span[1, w]], grams[1, span[0, w] : span[1, w]], extra[:, w]]) for w in range(s, s + c)]
-                flat.append(np.concatenate(per))
-                first.append(np.repeat(np.arange(c), [len(x) for x in per]))
-                labels.append(langs.index(lang))
+            words, at = len(span[0]), langs.index(lang)
+            for s in range(0, words, c):
+                per = [np.concatenate([grams[0, span[0, w] : span[1, w]], grams[1, span[0, w] : span[1, w]], extra[:, w]]) for w in range(s, min(words, s + c))]
+                if len(per) == c:
+                    add(per, at)
+                    continue
+                over[at] += per
+                if len(over[at]) >= c:
+                    add(over[at][:c], at)
+                    over[at] = over[at][c:]
+        for at, per in enumerate(over):
+            if per:  # the last words of a language, repeated to a chunk
+                add([per[i % len(per)] for i in range(c)], at)
         w, trans = np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))
         gw, gt = np.full((1 << BITS, k), 1e-6, np.float32), np.full((k, k), 1e-6)
         labels = np.array(labels)
@@ -298,8 +310,8 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int =
     """``docs`` (doc_id, text, lang) -> (doc_id, held_out, lang_pred, score), a row for each of its rows.
 
     Learns from at most ``max_rows`` rows with a text and a language outside
-    the held-out fold: those with the smallest hash of doc_id, a passage of
-    each. Prediction reads whole texts and nothing else. A null text, or one
+    the held-out fold: those with the smallest hash of doc_id, each
+    read whole. Prediction reads whole texts and nothing else. A null text, or one
     without a letter, is ``und`` with score 0; so is all if nothing could be
     learned. The score is the share of the words' posteriors.
     """

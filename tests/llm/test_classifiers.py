@@ -145,6 +145,13 @@ def test_language(spark, docs):
     assert abs(runs[0]["end"] - 30) <= 2 and abs(runs[1]["end"] - 80) <= 2 and runs[2]["end"] == 100
 
 
+def test_language_of_short_texts(spark, docs):
+    rng = random.Random(13)
+    rows = [(i, " ".join(voice(rng, lang, rng.randint(2, 9) if lang == "zz" else 60)), lang, "s") for i in range(180) for lang in [list(VOICES)[i % 3]]]
+    got = {r["doc_id"]: r["lang_pred"] for r in crf.identify(docs(rows), settings=crf.CrfFit(steps=40)).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows if fold(r[0], 5) == 0 and r[2] == "zz"]) > 0.9
+
+
 def test_language_of_odd_rows(spark, odd):
     fit = crf.CrfFit(steps=5)
     rows = crf.identify(odd, settings=fit).collect()
