@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simweave.scratch import discard, materialize
+from simweave.scratch import discard, materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,6 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeSettings:
-    depth: int = 6
     many: int = 20
     repeats: float = 3.0
     z: float = 1.96
@@ -60,25 +59,27 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<name: string, verdict: string>")
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The path's segments with variable forms generalised; what lies deeper than ``depth`` is one ``**``."""
+def segments(path: Column) -> Column:
+    """The path's segments with variable forms generalised."""
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
 
     def form(s: Column) -> Column:
         number = F.regexp_replace(s, r"[0-9]+", "<n>")
         return F.when(s.rlike(r"^[0-9a-fA-F-]{12,}$"), F.lit("<x>")).when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.concat(F.lit("<n>"), F.regexp_extract(s, r"(\.[A-Za-z0-9]+)?$", 0))).when((F.length(s) > 24) & s.rlike("[0-9]"), F.lit("<x>")).otherwise(number)
 
-    kept = F.transform(F.slice(parts, 1, depth), form)
-    return F.when(F.size(parts) > depth, F.concat(kept, F.array(F.lit("**")))).otherwise(kept)
+    return F.transform(parts, form)
 
 
 def templates(urls: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """``urls`` (host, segs, labelled, good: the counts of labels that a URL has) -> (host, segs, template, purity), a row for each path form of a host."""
     now = materialize(urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("template", F.array().cast("array<string>")), "paths")
-    deepest = now.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(deepest):
+    # path forms that end, or that are alone below their node, leave the walk
+    ready, level = scratch_path(urls.sparkSession, "ready"), 0
+    now.limit(0).write.parquet(ready)
+    columns = now.columns
+    while not now.isEmpty():
         at = now.withColumn("child", F.get("segs", F.lit(level)))
-        children = at.where("child is not null").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+        children = at.where("child is not null").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.count("*").alias("forms"))
         node = children.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.count("*").alias("kinds"), F.count_if(F.col("n") < settings.repeats).alias("rare"), F.sum("l").alias("nl"), F.sum("g").alias("ng"))
         # many children that come about once are a variable segment's values; a sibling that comes often is judged like any other
         variable = (F.col("rare") >= settings.many) & (F.col("n") < settings.repeats)
@@ -88,10 +89,17 @@ def templates(urls: DataFrame, settings: TreeSettings = TreeSettings()) -> DataF
         gap = F.abs(F.try_divide("g", "l") - F.try_divide(rest_g, rest_l))
         # no label on one side, or all labels alike: nothing tells them apart
         similar = F.coalesce((error == 0) | (gap < settings.z * error), F.lit(True))
-        chosen = children.join(node, ["host", "template"]).select("host", "template", "child", F.when(variable | ((F.col("kinds") > 1) & similar), F.lit("*")).otherwise(F.col("child")).alias("to"))
-        new = materialize(at.join(chosen, ["host", "template", "child"], "left").withColumn("template", F.when(F.col("to").isNotNull(), F.concat("template", F.array("to"))).otherwise(F.col("template"))).select(now.columns), "paths")
+        chosen = children.join(node, ["host", "template"]).select("host", "template", "child", F.when(variable | ((F.col("kinds") > 1) & similar), F.lit("*")).otherwise(F.col("child")).alias("to"), "forms")
+        alone = (F.col("forms") == 1) & (F.col("to") == F.col("child")) & (F.col("child") != "*")
+        rest = F.when(alone, F.slice("segs", level + 2, F.greatest(F.size("segs"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        open_ = ~alone & (F.size("segs") > level + 1)
+        new = materialize(at.join(chosen, ["host", "template", "child"]).select(*[c for c in columns if c != "template"], F.concat("template", F.array("to"), rest).alias("template"), open_.alias("open")), "paths")
+        new.where("not open").select(columns).write.mode("append").parquet(ready)
         discard(now)
-        now = new
+        left = materialize(new.where("open").select(columns), "paths")
+        discard(new)
+        now, level = left, level + 1
+    now = urls.sparkSession.read.schema(now.schema).parquet(ready)
     share = lambda good, labelled, prior: (F.col(good) + settings.prior * prior) / (F.col(labelled) + settings.prior)
     overall = now.agg((F.try_divide(F.sum("good"), F.sum("labelled"))).alias("p")).first()["p"]
     hosts = now.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hl")).withColumn("host_share", share("hg", "hl", F.lit(1.0 if overall is None else float(overall)))).select("host", "host_share")
@@ -109,7 +117,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], settings: Tree
     """
     host, path = host_and_path(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    split = segments(F.col("path"), settings.depth)
+    split = segments(F.col("path"))
     told = labels.where("good is not null and page_id is not null").groupBy("page_id").agg(F.count("*").alias("labelled"), F.sum("good").alias("good"))
     urls = parsed.join(told, "page_id", "left").select("host", split.alias("segs"), F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("good", F.lit(0)).alias("good"))
     tree = materialize(templates(urls, settings), "templates")

@@ -97,6 +97,14 @@ def test_a_hot_branch_among_singletons_stays_apart(spark):
         assert {(r["page_id"] >= 1000, r["template"], r["verdict"]) for r in got} == {(False, "/*", "allow"), (True, "/spam/*", "block")}
 
 
+def test_branches_below_six_segments_are_told_apart(spark):
+    rows = [(i, f"http://s.net/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/x/y/{'tail' if i < 90 else i}") for i in range(100)] + [(100, "http://s.net/a/q/r/s/t/u/v/w"), (101, "http://t.net/a/")]
+    labels = [(i, int(i % 2 == 0)) for i in range(100)]
+    got = pathtree.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), []).collect()
+    assert len(got) == len(rows)
+    assert all((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in got if r["page_id"] < 100)
+
+
 def brute_leak(text, item, budget):
     """Some window of the item occurs in the text within the budget (Sellers' algorithm)."""
     norm = lambda s: re.sub(r"[\x20\x09-\x0D]+", " ", s.translate(LOWER)).encode()
