@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
-from simweave.llm.fitting import bounded, fit_in_one_task, fold, row_of, sigmoid, word_grams
+from simweave.llm.fitting import fit_in_one_task, fold, one_each, row_of, rows_of, sample, sigmoid, word_grams
 from simweave.llm.sifting import near
 from simweave.scratch import discard, materialize
 
@@ -240,14 +240,15 @@ def _sure(model, least: float):
     return run
 
 
-def _fit(docs: DataFrame, ids: DataFrame, pool: DataFrame, held_out: Column, max_taught: int, s: CoTraining) -> bytes:
-    """The model from ``docs`` (doc_id, text, ...), the labelled ``ids`` (doc_id, y) and the unlabelled ``pool`` (doc_id)."""
+def _fit(docs: DataFrame, told: DataFrame, pool: DataFrame, held_out: Column, max_labelled: int, max_taught: int, max_bytes: int, s: CoTraining) -> bytes:
+    """The model from ``docs`` (doc_id, text, ...), the labels ``told`` (doc_id, y) and the unlabelled ``pool`` (doc_id)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "lang", "source", "n_chars")
     shape = f"doc_id {kind}, key long, feats binary, vals binary, dense binary, kinds binary, y double"
-    # bounded by max_labelled, and by 2 * max_taught a round
-    rows = [materialize(keyed.join(F.broadcast(ids), "doc_id").select(*keyed.columns, "y").mapInArrow(tk.tidy(_features), shape), "labelled")]
+    # a row's features are at most 2**BITS numbers; rows are bounded by max_labelled, and by 2 * max_taught a round
+    first = rows_of(docs, sample(docs, told, max_labelled, max_bytes, s.seed)).withColumn("key", F.xxhash64("doc_id", "text")).select(*keyed.columns, "y")
+    rows = [materialize(one_each(first.mapInArrow(tk.tidy(_features), shape)), "labelled")]
     pool = materialize(pool, "unlabelled")
     n_pool, least = pool.count(), float(np.log(s.sure / (1 - s.sure)))
     taught: dict[int, list[float]] = {}
@@ -263,7 +264,7 @@ def _fit(docs: DataFrame, ids: DataFrame, pool: DataFrame, held_out: Column, max
     for _ in range(s.rounds if n_pool and not np.isnan(rate) else 0):
         seen = spark.sparkContext.broadcast(model)
         # a bitmap leaves out most other rows before they are scored, an exact join of ids the rest
-        mine = near(keyed.where(~held_out & F.col("text").isNotNull()), pool, "doc_id")
+        mine = near(keyed.where(~held_out & (F.octet_length("text") <= max_bytes // 64)), pool, "doc_id")
         sure = mine.mapInArrow(tk.tidy(_sure(seen, least)), f"doc_id {kind}, key long, z0 double, z1 double").join(pool, "doc_id", "left_semi")
         sure = materialize(sure.select("key", "z0", "z1").dropDuplicates(["key"]), "sure")
         known, before = set(taught), {k: [x for x, t in taught.items() if not np.isnan(t[k])] for k in (0, 1)}
@@ -276,8 +277,8 @@ def _fit(docs: DataFrame, ids: DataFrame, pool: DataFrame, held_out: Column, max
         discard(sure)
         new = sorted(set(taught) - known)
         if new:
-            found = keyed.where(F.col("key").isin(new)).dropDuplicates(["key"]).withColumn("y", F.lit(None).cast("double"))
-            rows.append(materialize(found.mapInArrow(tk.tidy(_features), shape), "taught"))
+            found = keyed.where(F.col("key").isin(new)).withColumn("y", F.lit(None).cast("double"))
+            rows.append(materialize(one_each(found.mapInArrow(tk.tidy(_features), shape), "key").select(*rows[0].columns), "taught"))
         model = fitted()
         seen.destroy()
     discard(pool, *rows)
@@ -302,22 +303,26 @@ def _scorer(model):
     return score
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 6000, max_taught: int = 600, settings: CoTraining = CoTraining()) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality", folds: int = 5, held_out: int = 0, max_labelled: int = 6000, max_taught: int = 600, max_bytes: int = 256 << 20, settings: CoTraining = CoTraining()) -> DataFrame:
     """``docs`` with a column ``out``: struct of score (the probability of good quality), text_score and meta_score.
 
     ``labels`` is (doc_id, quality). Learns from at most ``max_labelled``
-    labelled documents outside the held-out fold, those with the smallest hash
-    of doc_id. All other documents outside that fold are labelled anew in every
-    round, and each view teaches the other those it is surest of: ``share`` of
-    them, at most ``max_taught`` a round. Each document is read whole. Every row is scored, null and blank texts too; without both
-    classes among the labels every score is 0.5. Columns lang, source and
-    n_chars may be absent. A document labelled twice counts twice.
+    labelled documents with ``max_bytes`` of text outside the held-out fold,
+    see :func:`simweave.llm.fitting.sample`: null labels, texts and ids and
+    documents with contradicting labels are not learned from, and a doc_id
+    counts once. All other documents outside that fold with texts up to a 64th
+    of ``max_bytes`` are labelled anew in every round, and each view teaches
+    the other those it is surest of: ``share`` of them, at most ``max_taught``
+    a round. Each document is read whole. Every row is scored, null and blank
+    texts too; without both classes among the labels every score is 0.5.
+    Columns lang, source and n_chars may be absent; a column that is named
+    like ``out`` is replaced, others are kept. An empty table gives an empty one.
     """
     absent = lambda c, t: F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)
     ours = [F.col("text").cast("string").alias("text"), absent("lang", "string").alias("lang"), absent("source", "string").alias("source"), absent("n_chars", "long").alias("n_chars")]
     told = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y")).where(fold(F.col("doc_id"), folds) != held_out)
     pool = docs.where("doc_id is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id").join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti").distinct()
-    found = _fit(docs.select("doc_id", *ours), bounded(told, max_labelled, settings.seed), pool, fold(F.col("doc_id"), folds) == held_out, max_taught, settings)
+    found = _fit(docs.select("doc_id", *ours), told, pool, fold(F.col("doc_id"), folds) == held_out, max_labelled, max_taught, max_bytes, settings)
     model = docs.sparkSession.sparkContext.broadcast(found)
     return docs.withColumn(out, _scorer(model)(*ours))
 

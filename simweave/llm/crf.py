@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
-from simweave.llm.fitting import bounded, fit_in_one_task, fold
+from simweave.llm.fitting import fit_in_one_task, fold, one_each, rows_of, sample
 
 BITS = 17
 PIECE = 64
@@ -242,11 +242,12 @@ def _train(settings: CrfFit):
     return run
 
 
-def _fit(docs: DataFrame, folds: int, held_out: int, max_rows: int, settings: CrfFit) -> bytes:
-    known = docs.where("lang is not null and doc_id is not null and text is not null").where(fold(F.col("doc_id"), folds) != held_out)
-    ids = bounded(known.select("doc_id", "lang"), max_rows, seed=5)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
-    return fit_in_one_task(sample, _train(settings))
+def _fit(docs: DataFrame, folds: int, held_out: int, max_rows: int, max_bytes: int, settings: CrfFit) -> bytes:
+    known = docs.where("lang is not null and doc_id is not null").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id", F.col("lang").alias("y"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows_of(texts, sample(texts, known, max_rows, max_bytes, seed=5, even=True)).select("doc_id", "text", F.col("y").alias("lang"))
+    # equal rows are one before the texts travel
+    return fit_in_one_task(one_each(rows), _train(settings))
 
 
 def _read(model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -306,22 +307,26 @@ def _segments(model):
     return run
 
 
-def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 4000, settings: CrfFit = CrfFit()) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = 4000, max_bytes: int = 32 << 20, settings: CrfFit = CrfFit()) -> DataFrame:
     """``docs`` (doc_id, text, lang) -> (doc_id, held_out, lang_pred, score), a row for each of its rows.
 
-    Learns from at most ``max_rows`` rows with a text and a language outside
-    the held-out fold: those with the smallest hash of doc_id, each
-    read whole. Prediction reads whole texts and nothing else. A null text, or one
-    without a letter, is ``und`` with score 0; so is all if nothing could be
-    learned. The score is the share of the words' posteriors.
+    Learns from at most ``max_rows`` documents with ``max_bytes`` of text
+    outside the held-out fold, as many of each language as there are, see
+    :func:`simweave.llm.fitting.sample`: documents without text, language or id
+    or with several languages are not learned from, and a doc_id counts once.
+    Each is read whole, short ones too. Prediction reads whole texts and
+    nothing else. A null text, or one without a letter, is ``und`` with score
+    0; so is all if nothing could be learned. The score is the share of the
+    words' posteriors. Other columns are ignored; an empty table gives an
+    empty one.
     """
-    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, folds, held_out, max_rows, settings))
+    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, folds, held_out, max_rows, max_bytes, settings))
     rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     found = rows.mapInArrow(tk.tidy(_predict(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def code_switches(docs: DataFrame, train: DataFrame | None = None, folds: int = 5, held_out: int = 0, max_rows: int = 4000, settings: CrfFit = CrfFit()) -> DataFrame:
+def code_switches(docs: DataFrame, train: DataFrame | None = None, folds: int = 5, held_out: int = 0, max_rows: int = 4000, max_bytes: int = 32 << 20, settings: CrfFit = CrfFit()) -> DataFrame:
     """(doc_id, segments): the runs of words (first, end, lang) that forward-backward gives one language."""
-    model = docs.sparkSession.sparkContext.broadcast(_fit(train if train is not None else docs, folds, held_out, max_rows, settings))
+    model = docs.sparkSession.sparkContext.broadcast(_fit(train if train is not None else docs, folds, held_out, max_rows, max_bytes, settings))
     return docs.select("doc_id", "text").mapInArrow(tk.tidy(_segments(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, segments array<struct<first: long, end: long, lang: string>>")

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
-from simweave.llm.fitting import bounded, fit_in_one_task, fold, row_of, sigmoid, word_grams
+from simweave.llm.fitting import fit_in_one_task, fold, one_each, row_of, rows_of, sample, sigmoid, word_grams
+from simweave.scratch import discard, materialize
 
 BITS = 20
 STEM = 4
@@ -76,12 +77,18 @@ def features(text: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, y) -> (doc_id, feats, y): a text's distinct features, as bytes."""
+    for part in (x for b in batches for x in tk.slices(b, 1)):
+        cells = [x.astype(np.int32).tobytes() for x in features(part.column(1))]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, type=pa.binary()), part.column(2)], names=["doc_id", "feats", "y"])
+
+
 def _train(settings: Ftrl):
     def run(table: pa.Table | None) -> bytes:
         rows, y = [], np.zeros(0)
         if table is not None:
-            for part in (x for b in table.to_batches() for x in tk.slices(b, 0)):
-                rows += features(part.column(0))
+            rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column(0)]
             y = table.column(1).to_numpy().astype(np.float64)
         w, bias = settings.fit(rows, y, 1 << BITS)
         at = np.flatnonzero(w)
@@ -109,19 +116,22 @@ def _score(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, max_rows: int = 20000, settings: Ftrl = Ftrl()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, max_rows: int = 20000, max_bytes: int = 256 << 20, settings: Ftrl = Ftrl()) -> DataFrame:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic) -> (doc_id, held_out, score, predicted), a row for each document.
 
-    Learns from at most ``max_rows`` labelled documents (those with the smallest
-    hash of doc_id) outside the held-out fold; null labels, texts and ids are
-    not learned from. Every text is scored whole; null and blank texts get the
-    score of no features. Without any labels every score is 0.5. Nothing but
-    the text enters a score.
+    Learns from at most ``max_rows`` labelled documents with ``max_bytes`` of
+    text outside the held-out fold, see :func:`simweave.llm.fitting.sample`:
+    null labels, texts and ids and documents with contradicting labels are not
+    learned from, and a doc_id counts once however often it comes. Every text
+    is scored whole; null and blank texts get the score of no features. Without
+    any labels every score is 0.5. Nothing but the text enters a score.
     """
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("y")).where(fold(F.col("doc_id"), folds) != held_out)
-    # bounded by max_rows
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bounded(known, max_rows)), "doc_id").select("doc_id", "text", "y")
-    model = spark.sparkContext.broadcast(fit_in_one_task(sample, _train(settings)))
-    scored = docs.select("doc_id", "text").mapInArrow(tk.tidy(_score(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    texts, kind = docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
+    rows = rows_of(texts, sample(texts, known, max_rows, max_bytes)).select("doc_id", "text", "y")
+    rows = materialize(one_each(rows.mapInArrow(tk.tidy(_features), f"doc_id {kind}, feats binary, y double")), "features")
+    model = spark.sparkContext.broadcast(fit_in_one_task(rows, _train(settings)))
+    discard(rows)
+    scored = texts.mapInArrow(tk.tidy(_score(model)), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simweave.llm import cotrain, crf, ftrl
+from simweave.llm import cotrain, crf, fitting, ftrl
 
 
 def fold(i, n):
@@ -204,3 +204,55 @@ def test_sequences_gradient():
             d = np.zeros((3, 3))
             d[i, j] = 1e-5
             assert (likelihood(trans + d) - likelihood(trans - d)) / 2e-5 == pytest.approx(g[i, j], abs=1e-4)
+
+
+def test_the_sample_is_bounded_where_one_id_has_most_rows(spark, docs):
+    rows = spark.range(50000).selectExpr("7L as doc_id", "concat('row ', id) as text").unionAll(spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(300)] + [(7, 1.0)] * 40000 + [(8, 1.0)], "doc_id long, y double")
+    picked = fitting.sample(rows, labels, 100, 1 << 20)
+    got = picked.collect()
+    assert len(got) == 100 and len({r["doc_id"] for r in got}) == 100 and 8 not in {r["doc_id"] for r in got}
+    assert fitting.one_each(fitting.rows_of(rows, picked)).count() == 100
+    everything = fitting.sample(rows, labels, 1000, 1 << 20)
+    assert everything.count() == 299  # all but the one with two labels
+    assert fitting.one_each(fitting.rows_of(rows, everything)).count() == 299
+
+
+def test_the_sample_is_bounded_in_bytes_and_even(spark):
+    rows = spark.createDataFrame([(i, "x" * (2000 if i % 10 == 0 else 50)) for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "rare" if i % 100 == 1 else "often") for i in range(1000)], "doc_id long, y string")
+    picked = fitting.sample(rows, labels, 40, 64 * 500, even=True).join(rows, "doc_id").collect()
+    assert sum(r["y"] == "rare" for r in picked) == 10 and len(picked) == 40 and all(len(r["text"]) == 50 for r in picked)
+    few = fitting.sample(rows, labels, 1000, 64 * 100).join(rows, "doc_id").collect()
+    assert 6400 - 50 < sum(len(r["text"]) for r in few) <= 6400
+    assert fitting.sample(rows, labels.limit(0), 40, 6400, even=True).count() == 0
+
+
+def test_ftrl_follows_the_published_update(spark):
+    """The update by coordinate, one number at a time, against the vectorised one."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, size=rng.integers(1, 9))) for _ in range(60)]
+    y = rng.integers(0, 2, size=60).astype(float)
+    s = ftrl.Ftrl(alpha=0.5, beta=1.0, l1=0.3, l2=0.7, passes=3)
+    w, bias = s.fit(rows, y, 40)
+    z, n, start = [0.0] * 40, [0.0] * 40, float(np.log((y.sum() + 1) / (60 - y.sum() + 1)))
+    b, z0, n0 = start, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - np.sign(z[i]) * s.l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    order = np.random.default_rng(2)
+    for _ in range(s.passes):
+        for k in order.permutation(60):
+            now = {i: weight(i) for i in rows[k]}
+            g = 1 / (1 + np.exp(-(b + sum(now.values())))) - y[k]
+            for i, wi in now.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha
+                z[i] += g - sigma * wi
+                n[i] += g * g
+            sigma = ((n0 + g * g) ** 0.5 - n0**0.5) / s.alpha
+            z0 += g - sigma * (b - start)
+            n0 += g * g
+            b = start - z0 / ((s.beta + n0**0.5) / s.alpha)
+    assert np.allclose(w, [weight(i) for i in range(40)]) and bias == pytest.approx(b)
+    assert 0 < np.count_nonzero(w) < 40
