@@ -10,10 +10,14 @@ the output shards by a binary tree: each node splits its counts of draws by
 source into halves with the multivariate hypergeometric distribution, so every
 shard gets an exact quota of every source, and quotas add up to the draws. The
 draws of a source, permuted, are handed out along these quotas: shards are
-disjoint. Inside a shard, rows are ordered by hash.
+disjoint. Inside a shard, rows are ordered by hash. What a document gives to
+the mix is counted from the draws that its block got from the tree.
 
-No task holds a source: the per-document pass needs the document's block only,
-windows run over blocks, and documents are sorted only inside the cut blocks.
+No task holds a source: running sums go by ranges of the permuted order, first
+over the ranges' sums and then inside each range, and documents are sorted only
+inside the cut blocks, by their distinct keys.
+
+Hashes are the leading 60 bits of MD5, which other engines have too.
 """
 
 from __future__ import annotations
@@ -23,16 +27,45 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simweave.scratch import materialize
+from simweave.scratch import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_DOCS = 256
-#: Rows of a shard that the number of shards aims at, from 16 shards on.
-SHARD_ROWS = 50_000
+#: Rows of a shard that the number of shards aims at.
+SHARD_ROWS = 16384
+#: Ranges of the permuted order, by the hash's upper bits.
+RANGES = 12
+#: Places of a range of draws.
+PLACES = 1 << 14
+SALTS = 256
+
+
+def _hash(seed: int, *columns: str) -> Column:
+    """60 bits of the MD5 of the seed and the columns as text, null as ``-``."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
 
 
 def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return _hash(seed, "doc_id", "text")
+
+
+def running(rows: DataFrame, group: list[str], part: Column, order: list, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the group's rows before this one in ``order``, of which ``part`` is a coarse prefix.
+
+    The first window runs over the parts' sums, the second inside a part. ``rows`` should be a written table: it is read twice.
+    """
+    rows = rows.withColumn("_part", part)
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "_part").agg(F.sum(value).alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*group, "_part"]).withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_part", "_ahead", "_inside")
+
+
+def numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Adds ``nth``, from 0 in each group: rows (..., id) of a group are interchangeable, and no task numbers a whole group."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_one", F.lit(1))
+    return running(salted, group, F.col("_salt"), ["id"], "_one", "nth").drop("_salt", "_one")
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
@@ -94,77 +127,92 @@ def split_tree(counts: DataFrame, depth: int, seed: int) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int | None = None, seed: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """``docs`` (doc_id, text, source) -> (rows, sources, blocks, depth).
 
-    ``rows``: doc_id, source, size in words, hash key. ``sources``: totals,
-    targets and the number of blocks. ``blocks``: how often each block is drawn
-    (passes), whether the last pass takes it (part: all, cut or none), up to
-    which key and how many words at that key, and the output shard of every draw.
-    ``depth``: of the tree; by default it grows with the rows, so that shards do not.
+    ``rows``: a number of the row, doc_id, source, size in words, hash key.
+    ``sources``: totals, targets, rank and the number of blocks. ``blocks``: for
+    each block that is drawn the output shard of every draw, whether the last
+    draw takes it (part: all or cut; none if the last pass does not draw it), up
+    to which key and how many words at that key. ``depth``: of the tree; by
+    default it grows with the rows, so that shards do not.
     """
-    rows = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key(seed).alias("key")), "sizes")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key(seed).alias("key")), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = materialize(targets(totals, weights, max_repeats).withColumn("n_blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long")).withColumn("quota", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")), "sources")
     if depth is None:
         n = sources.agg(F.sum("docs")).first()[0] or 0
-        depth = max(4, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
+        depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
     placed = in_blocks(rows, sources)
-    by_block = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
-    # <=> for the null source
-    joined = by_block.alias("b").join(sources.alias("s"), F.expr("b.source <=> s.source")).select("b.*", "rank", "passes", "rest")
-    drawn = joined.withColumn("before", F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("part", F.expr("case when before >= rest then 'none' when before + words <= rest then 'all' else 'cut' end"))
+    by_block = materialize(placed.groupBy("rank", "block").agg(F.sum("size").alias("words")).withColumn("h", _hash(seed + 1, "block")), "words")
+    before = running(by_block, ["rank"], F.shiftright("h", 60 - RANGES), ["h", "block"], "words", "before")
+    drawn = before.join(sources.select("rank", "passes", "rest"), "rank").withColumn("part", F.expr("case when before >= rest then 'none' when before + words <= rest then 'all' else 'cut' end"))
     drawn = materialize(drawn, "blocks")
 
-    cut = drawn.where("part = 'cut'").select("source", "block", (F.col("rest") - F.col("before")).alias("open"))
-    inside = placed.alias("p").join(cut.alias("c"), F.expr("p.source <=> c.source and p.block = c.block")).select("p.source", "p.block", "key", "size", "open").groupBy("source", "block", "open", "key").agg(F.sum("size").alias("size"))
-    running = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source", "block").orderBy("key")))
-    cuts = running.where("upto >= open").groupBy("source", "block").agg(F.min(F.struct("key", (F.col("open") - F.col("upto") + F.col("size")).alias("w"))).alias("m")).select("source", "block", F.col("m.key").alias("cut_key"), F.col("m.w").alias("cut_words"))
+    cut = drawn.where("part = 'cut'").select("rank", "block", (F.col("rest") - F.col("before")).alias("open"))
+    inside = placed.join(cut, ["rank", "block"]).groupBy("rank", "block", "open", "key").agg(F.sum("size").alias("size"))
+    running_ = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("rank", "block").orderBy("key")))
+    cuts = running_.where("upto >= open").groupBy("rank", "block").agg(F.min(F.struct("key", (F.col("open") - F.col("upto") + F.col("size")).alias("w"))).alias("m")).select("rank", "block", F.col("m.key").alias("cut_key"), F.col("m.w").alias("cut_words"))
 
-    units = drawn.withColumn("draws", F.col("passes") + F.when(F.col("part") == "none", 0).otherwise(1)).where("draws > 0").select("source", "rank", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("pass"))
-    at = units.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block", "pass"), "block", "pass")))
+    units = drawn.withColumn("draws", F.col("passes") + F.when(F.col("part") == "none", 0).otherwise(1)).where("draws > 0").select("rank", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("pass"))
+    units = materialize(units.withColumn("h", _hash(seed + 2, "block", "pass")).withColumn("one", F.lit(1)), "units")
+    at = running(units, ["rank"], F.shiftright("h", 60 - RANGES), ["h", "block", "pass"], "one", "place")
     counts = units.groupBy("rank").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("s"))
     leaves = split_tree(counts.select(F.col("s.n").alias("n"), F.col("s.rank").alias("ranks")).select("n"), depth, seed + 3)
     ranks = counts.select(F.posexplode("s.rank").alias("i", "rank"))
-    # a draw's shard is the number of shards that end before its place
+    # a draw's shard is the number of shards that end at or before its place
     by_shard = Window.partitionBy("i").orderBy("shard")
     ends = leaves.select("shard", F.posexplode("n").alias("i", "n")).withColumn("place", F.sum("n").over(by_shard)).join(ranks, "i").select("rank", "place", F.lit(1).alias("end"))
-    along = at.select("rank", "place", F.lit(0).alias("end"), F.struct("source", "block", "pass").alias("draw")).unionByName(ends, allowMissingColumns=True)
-    counted = along.withColumn("shard", F.sum("end").over(Window.partitionBy("rank").orderBy("place", "end").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where("end = 0")
-    shards = counted.select("draw.*", "shard").groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("d")).select("source", "block", F.col("d.shard").alias("shards"))
-    blocks = drawn.alias("b").join(cuts.alias("c"), F.expr("b.source <=> c.source and b.block = c.block"), "left").join(shards.alias("h"), F.expr("b.source <=> h.source and b.block = h.block"), "left").select("b.source", "b.block", "passes", "part", "cut_key", "cut_words", "shards")
-    return rows, sources, materialize(blocks, "draws"), depth
+    along = materialize(at.select("rank", "place", F.lit(0).alias("end"), "block", "pass").unionByName(ends, allowMissingColumns=True), "along")
+    counted = running(along, ["rank"], F.floor(F.col("place") / PLACES), ["place", F.desc("end"), "block", "pass"], "end", "shard").where("end = 0")
+    shards = counted.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("d")).select("rank", "block", F.col("d.shard").alias("shards"))
+    blocks = materialize(shards.join(drawn.select("rank", "block", "part"), ["rank", "block"]).join(cuts, ["rank", "block"], "left"), "draws")
+    discard(by_block, drawn, units, along)
+    return rows, sources, blocks, depth
 
 
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds the block of each row; ``sources`` is one row a source."""
-    return rows.alias("r").join(sources.select("source", "n_blocks", "source_size", "target").alias("s"), F.expr("r.source <=> s.source")).select("r.*", "source_size", "target", F.pmod(F.col("key"), F.col("n_blocks")).alias("block"))
+    """Adds the source's rank, size and target and the block of each row; ``sources`` is one row a source."""
+    # <=> for the null source
+    return rows.alias("r").join(sources.select("source", "rank", "n_blocks", "source_size", "target").alias("s"), F.expr("r.source <=> s.source")).select("r.*", "rank", "source_size", "target", F.pmod(F.col("key"), F.col("n_blocks")).alias("block"))
+
 
+def _with_draws(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Adds the block's ``shards``, the number of whole ``passes`` among them, and ``last``: how many words the last one takes.
 
-def _with_blocks(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
-    return in_blocks(rows, sources).alias("p").join(blocks.alias("b"), F.expr("p.source <=> b.source and p.block = b.block")).select("p.*", "passes", "part", "cut_key", "cut_words", "shards")
+    Rows that agree in the key on which a cut falls are numbered, and taken
+    whole until one is cut.
+    """
+    joined = rows.join(blocks, ["rank", "block"], "left").withColumn("passes", F.coalesce(F.size("shards"), F.lit(0)) - F.when(F.col("part").isin("all", "cut"), 1).otherwise(0))
+    on_cut = F.coalesce((F.col("part") == "cut") & (F.col("key") == F.col("cut_key")), F.lit(False))
+    last = F.expr("case when part = 'all' or key < cut_key then size else 0 end")
+    alike = numbered(materialize(joined.where(on_cut), "cut"), ["rank", "block", "key"])
+    share = F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut_words") - F.col("nth") * F.col("size")))
+    return joined.where(~on_cut).withColumn("last", last).unionByName(alike.withColumn("last", share).drop("nth"))
 
 
 def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 4) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shards) for each row of ``docs``.
 
     A null or blank text has size 0 and nothing is taken of it. Null sources
-    are one source, the last. Rows that repeat in all of doc_id and text share
-    a key, hence if the cut falls on them each is cut alike. An empty table
-    gives an empty one; other columns are ignored.
+    are one source, the last. Rows that repeat in all of doc_id and text are
+    rows of their own: where the cut falls on them, some are taken whole, one
+    is cut, and the others get nothing more. An empty table gives an empty one;
+    other columns are ignored.
     """
     rows, sources, blocks, _ = plan(docs, weights, max_repeats, seed=seed)
-    last = F.expr("case when part = 'all' or key < cut_key then size when key = cut_key then least(size, cut_words) else 0 end")
-    return _with_blocks(rows, sources, blocks).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce(last, F.lit(0))).cast("long").alias("taken"), "shards")
+    return _with_draws(in_blocks(rows, sources), blocks).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("last")).cast("long").alias("taken"), "shards")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int | None = None, seed: int = 4) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is drawn, dealt to 2**depth shards and shuffled in each.
 
-    The one document of a source on which its cut falls is put out whole.
+    The one document of a source on which its cut falls is put out whole; rows
+    of size 0 come with the passes of their block. Nulls, repeats and an empty
+    table are as for :func:`taken_words`; the columns of ``docs`` may have any names.
     """
     _, sources, blocks, depth = plan(docs, weights, max_repeats, depth, seed)
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("source"), _key(seed).alias("key"))
-    full = _with_blocks(keyed, sources, blocks)
-    times = F.col("passes") + F.when((F.col("part") == "all") | ((F.col("part") == "cut") & (F.col("key") <= F.col("cut_key"))), 1).otherwise(0)
-    draws = full.withColumn("times", times.cast("int")).where("times > 0").select("doc", "key", F.posexplode(F.slice("shards", F.lit(1), F.col("times"))).alias("pass", "shard"))
-    dealt = draws.repartition(1 << depth, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 4), "key", "pass"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _key(seed).alias("key"))
+    drawn = _with_draws(in_blocks(keyed, sources), blocks)
+    with_last = (F.col("last") > 0) | ((F.col("size") == 0) & F.coalesce((F.col("part") == "all") | (F.col("key") <= F.col("cut_key")), F.lit(False)))
+    times = F.col("passes") + F.when(with_last, 1).otherwise(0)
+    draws = drawn.withColumn("times", times.cast("int")).where("times > 0").select("doc", "key", F.posexplode(F.slice("shards", F.lit(1), F.col("times"))).alias("pass", "shard"))
+    dealt = draws.repartitionById(1 << depth, F.col("shard")).sortWithinPartitions("shard", _hash(seed + 4, "key", "pass"))
     return dealt.select("doc.*")
