@@ -4,11 +4,13 @@ Old shards offer their bytes, new shards ask for equal shares; a byte that
 stays costs nothing, one that moves costs one. The optimum of this
 transportation problem (a graph of old and new shards, small whatever the data)
 says how many bytes each old shard keeps and sends where. Along a fixed order
-of its documents every old shard is then cut accordingly: large documents
-first by classes of size, so that the cuts fall between small ones, then blocks of about
-``BLOCK_DOCS`` documents by hash. A document goes where the middle of its bytes
-falls. Positions come from sums over blocks and, within a block, over its
-documents, so no task ever sorts a shard.
+of its groups of equal texts every old shard is then cut accordingly: large
+groups first by classes of size, so that the cuts fall between small ones, then
+by hash. A group goes where the middle of its bytes falls, hence stays
+together; one beyond a ``FINE``-th of a share is cut between its documents
+where a cut falls into it. Positions come from running sums over ranges of the
+order, then over groups, then over salted parts of a group, so no task ever
+sorts a shard or a large group.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simweave.llm.lines import SALTS, running
 from simweave.scratch import materialize, scratch_path, small_batches
 
-BLOCK_DOCS = 1024
 FINE = 64
+#: Bits of the ranges of an old shard's order.
+RANGES = 12
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -75,21 +79,56 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
     return flow
 
 
-def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int]]]:
-    """For each old shard the (new shard, bytes) pieces that move the fewest bytes; what stays comes first."""
-    flow = min_cost_flow(old, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(len(old))])
+def transfers(old: list[int], capacity: list[int], elsewhere: int | None = None) -> list[list[tuple[int, int]]]:
+    """For each old shard the (new shard, bytes) pieces that move the fewest bytes; what stays comes first. Nothing of the old shard ``elsewhere`` can stay."""
+    flow = min_cost_flow(old, capacity, [[int(i != j or i == elsewhere) for j in range(len(capacity))] for i in range(len(old))])
     return [sorted(((j, x) for j, x in enumerate(row) if x), key=lambda p: (p[0] != i, p[0])) for i, row in enumerate(flow)]
 
 
+def _options(cut: int, start: int, size: int, each: int, total: int, new_shards: int) -> tuple[int, int]:
+    """The ends next to a cut of what stays together there: a group of ``size`` bytes from ``start`` on, or one of its documents."""
+    if size * FINE * new_shards <= total:
+        return start, start + size
+    lo = start + (cut - start) // each * each
+    return lo, lo + each * (lo < cut)
+
+
+def _round_cuts(pieces: list[list[list[int]]], options: dict[tuple[int, int], tuple[int, int]]) -> None:
+    """Move every cut to one of its two options, such that the new shards keep their sizes as nearly as can be: widest first, then in passes until none changes."""
+    off: dict[int, int] = {}
+    moves = []
+    for i, ends in enumerate(pieces):
+        for k, (cut, shard) in enumerate(ends[:-1]):
+            lo, hi = options.get((i, cut), (cut, cut))
+            moves.append((hi - lo, i, k, shard, ends[k + 1][1], (lo - cut, hi - cut)))
+    now = {}
+    for _ in range(9):
+        before = dict(now)
+        for _, i, k, left, right, ways in sorted(moves, reverse=True):
+            gone = now.get((i, k), 0)
+            a, b = off.get(left, 0) - gone, off.get(right, 0) + gone
+            now[i, k] = best = min(ways, key=lambda w, a=a, b=b: (a + w) ** 2 + (b - w) ** 2)
+            off[left], off[right] = a + best, b - best
+        if now == before:
+            break
+    for (i, k), by in now.items():
+        pieces[i][k][0] += by
+    for ends in pieces:  # two cuts in one group
+        for k in range(1, len(ends)):
+            ends[k][0] = max(ends[k][0], ends[k - 1][0])
+
+
 def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.Column | None = None, path: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard), a row for each of its rows.
 
     ``old`` gives the present shard of a row, 0 to old_shards - 1; by default
-    crc32(doc_id) mod old_shards, with null doc_ids in shard 0. Law ``bytes``:
+    the text's crc32 mod old_shards. A row with another number or null lies in
+    no shard yet (old_shard null) and is placed like the others. Law ``bytes``:
     every new shard gets an equal share of all bytes, to within about a
     ``FINE``-th of a share as long as documents are smaller than that. Null
-    texts count 8 bytes. Equal texts are not kept together: a shard may not
-    hold more than its share. An empty table gives an empty one.
+    texts count 8 bytes. Equal texts of one old shard stay together, but for
+    groups beyond a ``FINE``-th of a share, which are cut where a shard is full:
+    a shard may not hold more than its share. An empty table gives an empty one.
 
     With ``path``, the affected shards are written below it as (row, slot,
     old_shard) by shard, ``row`` being the whole row of ``docs``, and what is
@@ -99,50 +138,54 @@ def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    present = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(old_shards)).cast("int"), F.lit(0)) if old is None else old
-    columns = ["doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.alias("old"), F.xxhash64("doc_id", "text").alias("key")]
+    given = F.pmod(F.crc32(text), F.lit(old_shards)).cast("int") if old is None else old
+    present = F.when(given.between(0, old_shards - 1), given).otherwise(old_shards).cast("int")
+    columns = ["doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), present.alias("old"), F.xxhash64(text).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")]
     sizes = materialize(docs.select(*columns), "sizes")
-    totals = {r["old"]: (r["bytes"], r["rows"]) for r in sizes.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-    bytes_of = [totals.get(i, (0, 0))[0] for i in range(old_shards)]
+    # a row for each old shard
+    bytes_by = {r["old"]: r["bytes"] for r in sizes.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}
+    bytes_of = [bytes_by.get(i, 0) for i in range(old_shards + 1)]
     total = sum(bytes_of)
     capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
-    pieces, blocks = [], []
-    for i, moves in enumerate(transfers(bytes_of, capacity)):
-        upto, ends = 0, []
-        for j, x in moves:
-            upto += x
-            ends.append((float(upto), j))
-        pieces.append((i, ends or [(0.0, i)]))
-        blocks.append((i, max(1, -(-totals.get(i, (0, 0))[1] // BLOCK_DOCS))))
-    cuts = spark.createDataFrame([(i, e, b[1]) for (i, e), b in zip(pieces, blocks, strict=True)], "old int, ends array<struct<upto: double, shard: int>>, n_blocks long")
-
-    # how often a document doubles a FINE-th of a share: the largest come first
-    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") * FINE * new_shards / max(total, 1)))).cast("long")
-    def blocked(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(cuts.select("old", "n_blocks")), "old").withColumn("block", F.pmod("key", "n_blocks") - F.col("n_blocks") * doublings)
-
-    ahead = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked(sizes).groupBy("old", "block").agg(F.sum("size").alias("b"), F.count("*").alias("n")).select("old", "block", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("bytes_ahead"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_ahead"))
-    within = Window.partitionBy("old", "block").orderBy("key", "doc_id", "size")
-    middle = F.col("bytes_ahead") + F.col("inside") - F.col("size") / 2
+    pieces = [[[sum(x for _, x in moves[: k + 1]), j] for k, (j, _) in enumerate(moves)] for moves in transfers(bytes_of, capacity, old_shards)]
+
+    # where each group, and each salted part of it, begins along its old shard
+    units = materialize(sizes.groupBy("old", "key", "size", "salt").agg(F.count("*").alias("n")), "units")
+    groups = units.groupBy("old", "key", "size").agg(F.sum("n").alias("n")).withColumn("bytes", F.col("n") * F.col("size"))
+    # how often a group doubles a FINE-th of a share: the largest come first
+    rank = -F.greatest(F.lit(0), F.ceil(F.log2(F.col("bytes") * FINE * new_shards / max(total, 1)))).cast("long")
+    groups = materialize(groups.withColumn("rank", rank), "groups")
+    coarse = F.struct(F.col("rank"), F.shiftright("key", 64 - RANGES))
+    by = running(groups, ["old"], coarse, ["rank", "key", "size"], "bytes", "bytes_ahead").select("old", "key", "size", "bytes", "bytes_ahead")
+    by = materialize(by.join(running(groups, ["old"], coarse, ["rank", "key", "size"], "n", "rows_ahead").select("old", "key", "size", "rows_ahead"), ["old", "key", "size"]), "ahead")
+    inner = spark.createDataFrame([(i, float(upto)) for i, ends in enumerate(pieces) for upto, _ in ends[:-1]], "old int, cut double")
+    # a row for each cut: there are fewer than old and new shards
+    hit = by.join(F.broadcast(inner), "old").where("bytes_ahead < cut and cut < bytes_ahead + bytes").select("old", "cut", "bytes_ahead", "bytes", "size").collect()
+    _round_cuts(pieces, {(r["old"], int(r["cut"])): _options(int(r["cut"]), r["bytes_ahead"], r["bytes"], r["size"], total, new_shards) for r in hit})
+    cuts = spark.createDataFrame([(i, [(float(upto), j) for upto, j in ends] or [(0.0, i % new_shards)]) for i, ends in enumerate(pieces)], "old int, ends array<struct<upto: double, shard: int>>")
+    salted = Window.partitionBy("old", "key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    units = materialize(units.withColumn("before", F.coalesce(F.sum("n").over(salted), F.lit(0))).join(by, ["old", "key", "size"]), "places")
+
+    within = Window.partitionBy("old", "key", "size", "salt").orderBy("doc_id")
+    nth = F.col("before") + F.col("nth") - 1
+    middle = F.col("bytes_ahead") + F.when(F.col("bytes") * FINE * new_shards <= total, F.col("bytes") / 2).otherwise((nth + 0.5) * F.col("size"))
 
     def lined(rows: DataFrame) -> DataFrame:
-        line = blocked(rows).withColumn("inside", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(within))
-        line = line.join(sums, ["old", "block"]).join(F.broadcast(cuts.select("old", "ends")), "old")
-        line = line.withColumn("middle", middle).withColumn("shard", F.expr("coalesce(filter(ends, e -> e.upto >= middle)[0].shard, ends[size(ends) - 1].shard)"))
-        return line.withColumn("row", F.col("rows_ahead") + F.col("nth"))
+        line = rows.join(units, ["old", "key", "size", "salt"]).withColumn("nth", F.row_number().over(within))
+        line = line.withColumn("middle", middle).withColumn("row", F.col("rows_ahead") + nth).join(F.broadcast(cuts), "old")
+        return line.withColumn("shard", F.expr("coalesce(filter(ends, e -> e.upto >= middle)[0].shard, ends[size(ends) - 1].shard)"))
 
     line = materialize(lined(sizes).select("doc_id", "size", "text_crc32", "old", "shard", "row"), "line")
     first = line.groupBy("shard", "old").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    first = first.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = materialize(first.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "first")
     # a row for each (new shard, old shard): at most their product
-    slotted = lambda rows: rows.join(F.broadcast(first.drop("n")), ["shard", "old"]).withColumn("slot", F.col("ahead") + F.col("row") - F.col("first")).withColumnRenamed("old", "old_shard")
+    slotted = lambda rows: rows.join(F.broadcast(first.drop("n")), ["shard", "old"]).withColumn("slot", F.col("ahead") + F.col("row") - F.col("first")).withColumn("old_shard", F.when(F.col("old") < old_shards, F.col("old")))
     shown = lambda rows: rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
     out = shown(slotted(line))
     names = [] if path is None else [r["shard"] for r in affected(out).select("shard").collect()]
     if not names:
         return out
-    # rows alike in (key, doc_id, size) may swap places between the two orderings: they have the same text
+    # rows with equal doc_id and text may swap places between the two orderings
     whole = slotted(lined(docs.select(*columns, F.struct("*").alias("whole"))).where(F.col("shard").isin(names)))
     whole = whole.select(F.col("whole").alias("row"), "slot", "old_shard", "shard")
     with small_batches(spark):
@@ -160,13 +203,6 @@ def resharded(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old:
 
 def affected(plan: DataFrame) -> DataFrame:
     """The shards whose files change: (shard, rows_in, rows_out), in ascending order of shard."""
-    moved = plan.where("shard <> old_shard")
-    both = moved.select("shard", F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(moved.select("old_shard", F.lit(0), F.lit(1)))
+    moved = plan.where("not shard <=> old_shard")
+    both = moved.select("shard", F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(moved.where("old_shard is not null").select("old_shard", F.lit(0), F.lit(1)))
     return both.groupBy("shard").agg(F.sum("i").alias("rows_in"), F.sum("o").alias("rows_out")).orderBy("shard")
-
-
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> None:
-    """Write the files of the affected shards below ``path``; shards that :func:`affected` does not name keep their old ones. ``doc_id`` must be unique."""
-    names = [r["shard"] for r in affected(plan).select("shard").collect()]
-    rows = docs.join(plan.where(F.col("shard").isin(names)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)

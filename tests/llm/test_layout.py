@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from simweave.llm import mixing, resharding
+from simweave.llm import lines, mixing, resharding
 from tests.llm.brute import WORD
 
 
@@ -76,15 +76,15 @@ def test_shards_are_disjoint_and_full(spark, docs, monkeypatch):
 
 
 def test_running_sums_equal_one_window(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SALTS", 3)
+    monkeypatch.setattr(lines, "SALTS", 3)
     rng = random.Random(9)
     rows = [(rng.randint(0, 2), rng.randint(0, 99), i, rng.randint(0, 5)) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, h long, id long, v long")
-    got = mixing.running(df, ["g"], F.shiftright("h", 4), ["h", "id"], "v", "before").collect()
+    got = lines.running(df, ["g"], F.shiftright("h", 4), ["h", "id"], "v", "before").collect()
     for g, h, i, before in ((r["g"], r["h"], r["id"], r["before"]) for r in got):
         assert before == sum(v for a, b, j, v in rows if a == g and (b, j) < (h, i))
     numbers = {}
-    for r in mixing.numbered(df, ["g"]).collect():
+    for r in lines.numbered(df, ["g"]).collect():
         numbers.setdefault(r["g"], []).append(r["nth"])
     assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
 
@@ -165,6 +165,7 @@ def test_reshard(spark, docs):
     old = [sum(r["size"] for r in got if r["old_shard"] == k) for k in range(16)]
     moved = sum(r["size"] for r in got if r["old_shard"] != r["shard"])
     assert moved == pytest.approx(sum(max(0, x - total / 24) for x in old), rel=0.05)
+    assert all(r["old_shard"] == r["text_crc32"] % 16 for r in got)
     again = {r["doc_id"]: (r["shard"], r["slot"]) for r in resharding.reshard(df.repartition(5)).collect()}
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
 
@@ -176,11 +177,42 @@ def test_reshard_keeps_what_fits(spark, docs, tmp_path):
     grown = resharding.reshard(df, 5, 4, old=(F.col("doc_id") % 4).cast("int"))
     assert grown.where("shard <> old_shard").count() == 48
     assert {r["shard"]: (r["rows_in"], r["rows_out"]) for r in resharding.affected(grown).collect()} == {0: (0, 12), 1: (0, 12), 2: (0, 12), 3: (0, 12), 4: (48, 0)}
-    resharding.rewrite(df, grown, f"{tmp_path}/out")
+    resharding.reshard(df, 5, 4, old=(F.col("doc_id") % 4).cast("int"), path=f"{tmp_path}/out").count()
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 240 and {(r["shard"], r["count"]) for r in back.groupBy("shard").count().collect()} == {(k, 48) for k in range(5)}
 
 
+def test_rows_of_no_shard_are_placed(spark, docs):
+    df = docs([(i, "x" * (i % 50), "en", "s") for i in range(100)])
+    old = F.when(F.col("doc_id") % 5 < 3, F.col("doc_id") % 4).when(F.col("doc_id") % 5 == 3, F.lit(99)).cast("int")
+    got = resharding.reshard(df, 6, 4, old=old).collect()
+    assert len(got) == 100 and {r["old_shard"] for r in got} == {0, 1, 2, 3, None}
+    sums = {}
+    for r in got:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+    assert len(sums) == 6 and max(sums.values()) - min(sums.values()) <= 2 * 58
+
+
+def test_equal_texts_stay_together(spark, docs):
+    rng = random.Random(8)
+    rows, i = [], 0
+    for g in range(600):
+        for _ in range(rng.choice([1, 1, 1, 2, 5, 9])):
+            rows.append((i, f"text {g} " + "y" * rng.randint(1, 5) * (g % 30), "en", "s"))
+            i += 1
+    rows += [(i + k, "a text with very many copies", "en", "s") for k in range(1500)]
+    got = resharding.reshard(docs(rows)).collect()
+    where, size = {}, {}
+    for r in got:
+        where.setdefault(r["text_crc32"], set()).add(r["shard"])
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+    share = sum(size.values()) / 24
+    assert max(abs(x - share) for x in size.values()) <= share / 8
+    most = zlib.crc32(b"a text with very many copies")
+    assert all(len(shards) == 1 for text, shards in where.items() if text != most)
+    assert len(where[most]) <= 16  # cut where shards are full only
+
+
 def test_affected_shards_are_rewritten(spark, docs, odd, tmp_path):
     df = docs([(i % 200 if i % 7 else None, f"t{i % 50} " * (i % 40), "en", f"s{i % 3}") for i in range(600)]).unionByName(odd)
     got = resharding.reshard(df, path=f"{tmp_path}/out").collect()
