@@ -13,7 +13,7 @@ def _slot(column: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), column), F.lit(1 << BITS))
 
 
-def _near(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """(row, id, near): whether the bitmap has a row's id; null ids are not near."""
     bitmap = ids.select(_slot(column).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
     marked = rows.select(F.struct("*").alias("row"), F.col(column).alias("id"), _slot(column).alias("slot"))
@@ -26,7 +26,7 @@ def _near(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 def near(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """All rows of which ``column`` is among ``ids`` (no nulls in it), and a few more: rows stay where they are."""
-    return _near(rows, ids, column).where("near").select("row.*")
+    return marked(rows, ids, column).where("near").select("row.*")
 
 
 def semi_join(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -37,12 +37,12 @@ def semi_join(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     With very many ids the bitmap fills and only that join remains.
     """
     # an inner join with distinct ids: a semi-join would be pushed below the bitmap
-    return _near(rows, ids, column).where("near").join(ids.select(F.col(column).alias("id")).distinct(), "id").select("row.*")
+    return marked(rows, ids, column).where("near").join(ids.select(F.col(column).alias("id")).distinct(), "id").select("row.*")
 
 
 def anti_join(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The other rows, those with a null in ``column`` among them: rows that the bitmap lacks stay where they are."""
-    near = _near(rows, ids, column)
+    near = marked(rows, ids, column)
     gone = ids.select(F.col(column).alias("id")).distinct().withColumn("gone", F.lit(True))
     # an outer join, for the same reason
     kept = near.where("near").join(gone, "id", "left").where(F.col("gone").isNull())

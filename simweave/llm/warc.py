@@ -6,10 +6,13 @@ uses; only archives that the index names count. Of records with equal payloads
 the one with the largest id is the response, the others are revisits that refer
 to it.
 
-Index: captures are sorted by key (reversed host, then path and query) over the
-whole table and cut into blocks of ``LINES`` lines, each compressed; a sparse
-directory keeps the first and last key of every block. A lookup bisects the
-directory, then the lines of a block, and reads only the records' byte ranges.
+Index: captures are sorted by key (reversed host, then path and query) and
+page over the whole table and cut into blocks of ``LINES`` lines, each
+compressed; a sparse directory keeps the first and last key of every block. A
+lookup bisects the directory, then the lines of a block, and reads only the
+records' byte ranges. For many captures the directory is broadcast, thinned to
+``DIRECTORY_ROWS`` entries if it has more, requests meet the blocks that they
+were bisected to, and archives are read in a task each.
 """
 
 from __future__ import annotations
@@ -26,19 +29,24 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simweave.llm.sifting import marked
 from simweave.scratch import materialize, scratch_path
 
 LINES = 3000
 ARCHIVE_BYTES = 64 << 20
-#: A directory of up to so many blocks is searched in memory, a larger one by a filter over its table.
+#: A directory of up to so many blocks is searched in memory, a larger one by a filter over its table, or by every k-th of its rows.
 DIRECTORY_ROWS = 1_000_000
+READERS = 100_000
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard one for URLs
 
 ENTRY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("type", pa.string())])
 ENTRY_DDL = "key string, page_id long, url string, file string, offset long, length long, digest string, type string"
+BLOCK = pa.schema([("block", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("first_key", pa.string()), ("first_page", pa.int64()), ("last_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())])
+BLOCK_DDL = "block string, part int, number int, first_key string, first_page long, last_key string, lines int, data binary"
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -131,25 +139,63 @@ def _write(root: str, date: str):
 
 
 def _blocks(size: int):
-    """Sorted entries -> compressed blocks of ``size`` JSON lines."""
+    """Sorted entries -> compressed blocks of ``size`` JSON lines, numbered inside their range of keys (the task)."""
 
-    def block(rows: list[list]) -> pa.RecordBatch:
+    def block(rows: list[list], part: int, number: int) -> pa.RecordBatch:
         data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode(), 6)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], type=pa.int32()), pa.array([data], type=pa.binary())], names=["block", "first_key", "last_key", "lines", "data"])
+        columns = [[uuid.uuid4().hex], [part], [number], [rows[0][0]], [rows[0][1]], [rows[-1][0]], [len(rows)], [data]]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, BLOCK, strict=True)], schema=BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             held += [list(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             while len(held) >= size:
-                yield block(held[:size])
-                held = held[size:]
+                yield block(held[:size], part, number)
+                held, number = held[size:], number + 1
         if held:
-            yield block(held)
+            yield block(held, part, number)
 
     return run
 
 
+def _place(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """The order of the index; a null page comes first."""
+    return key, page_id is not None, page_id or 0
+
+
+def _route(directory, every: int):
+    """(url, page_id) -> (part, part_of, key, page_id): the runs of ``every`` blocks in which the capture may lie, by bisecting their first lines."""
+    schema = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("key", pa.string()), ("page_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [_place(*d[:2]) for d in directory.value]
+        for batch in batches:
+            rows = []
+            for url, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = capture_key(url)
+                at = _place(key, page_id)
+                for i in range(max(0, bisect.bisect_left(firsts, at) - 1), bisect.bisect_right(firsts, at)):
+                    rows.append((directory.value[i][2], directory.value[i][3] // every, key, page_id))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _find(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The byte ranges (file, offset, length) of the wanted (key, page_id), by bisecting the lines of a run of blocks."""
+    lines = []
+    for _, data in sorted(zip(blocks.column("number").to_pylist(), blocks.column("data").to_pylist(), strict=True)) if wanted.num_rows else []:
+        lines += [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+    order = [_place(*x[:2]) for x in lines]
+    found = []
+    for at in sorted({_place(k, i) for k, i in zip(wanted.column("key").to_pylist(), wanted.column("page_id").to_pylist(), strict=True)}):
+        found += lines[bisect.bisect_left(order, at) : bisect.bisect_right(order, at)]
+    return pa.table({"file": pa.array([x[3] for x in found], pa.string()), "offset": pa.array([x[4] for x in found], pa.int64()), "length": pa.array([x[5] for x in found], pa.int64())})
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
@@ -159,11 +205,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Archive:
-    """Archives below ``root``, the index's ``blocks`` and the sparse ``directory`` (block, first_key, last_key, lines) of them."""
+    """``archives`` files below ``root``, the index's ``blocks`` and the sparse ``directory`` (block, part, number, first_key, first_page, last_key, lines) of them."""
 
     root: str
     blocks: DataFrame
     directory: DataFrame
+    archives: int
 
     def entries(self) -> DataFrame:
         """All captures, read from the index."""
@@ -196,13 +243,31 @@ class Archive:
                         out.append({"url": e[2], "page_id": e[1], "type": e[7], "headers": headers, "payload": payload})
         return sorted(out, key=lambda x: (x["url"], x["page_id"] is None, x["page_id"] or 0))
 
-    def read(self) -> DataFrame:
-        """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every capture in the index, from the archives' byte ranges.
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the captures of ``wanted`` (url, page_id), a row for each capture that the index has.
 
-        A response's payload is measured and hashed anew, and must agree with its header.
+        Requests are bisected into the directory and then into the blocks they
+        fall in; repeated ones count once. A response's payload is measured and
+        hashed anew, and must agree with its header.
         """
-        ranges = self.entries().select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-        return ranges.mapInArrow(_read(self.root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        spark = wanted.sparkSession
+        every = -(-max(1, self.directory.count()) // DIRECTORY_ROWS)
+        sparse = self.directory.where(F.col("number") % every == 0).select("first_key", "first_page", "part", "number")
+        # at most DIRECTORY_ROWS rows and one for each task that wrote blocks
+        rows = sorted((tuple(r) for r in sparse.collect()), key=lambda r: r[2:])
+        routed = wanted.select("url", "page_id").mapInArrow(_route(spark.sparkContext.broadcast(rows), every), "part int, run int, key string, page_id long").distinct()
+        blocks = self.blocks.select("part", F.floor(F.col("number") / every).cast("int").alias("run"), "number", "data")
+        ranges = blocks.groupBy("part", "run").cogroup(routed.groupBy("part", "run")).applyInArrow(_find, "file string, offset long, length long")
+        return self._records(ranges)
+
+    def read(self) -> DataFrame:
+        """:meth:`fetch` of all captures, without a search."""
+        return self._records(self.entries().select("file", "offset", "length"))
+
+    def _records(self, ranges: DataFrame) -> DataFrame:
+        # a number of tasks is given, as the ranges are small and what they stand for is not
+        placed = ranges.repartition(max(1, min(self.archives, READERS)), "file").sortWithinPartitions("file", "offset")
+        return placed.mapInArrow(_read(self.root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _read(root: str):
@@ -246,15 +311,21 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "2024-0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload).alias("sha"))
     groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha", "last")
     groups = materialize(groups, "payloads")
-    typed = rows.join(groups, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers"))
+    # rows of which the bitmap lacks the payload stay where they are; the others meet their reference by page, so that a frequent payload is not one key
+    sifted = marked(rows, groups, "sha")
+    alone = sifted.where("not near").select("row.page_id", "row.url", "row.html", F.lit(None).cast("long").alias("refers"))
+    near = sifted.where("near").select("row.*")
+    refers = near.select("page_id", "sha").distinct().join(groups, "sha").where("page_id < last").select("page_id", "sha", F.col("last").alias("refers"))
+    typed = alone.unionByName(near.join(refers, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers"))
     fs, base = _open(root)
     fs.create_dir(base, recursive=True)
     entries = materialize(typed.mapInArrow(_write(root, date), ENTRY_DDL), "captures")
     by_key = entries.repartitionByRange("key", "page_id", "url").sortWithinPartitions("key", "page_id", "url")
-    blocks = materialize(by_key.mapInArrow(_blocks(lines), "block string, first_key string, last_key string, lines int, data binary"), "index")
-    return Archive(root, blocks, blocks.select("block", "first_key", "last_key", "lines"))
+    blocks = materialize(by_key.mapInArrow(_blocks(lines), BLOCK_DDL), "index")
+    return Archive(root, blocks, blocks.drop("data"), entries.select("file").distinct().count())
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read all of them back through the index: see :meth:`Archive.read`."""
-    return write(pages, scratch_path(pages.sparkSession, "warc")).read()
+    """Write ``pages`` to archives in the shared folder and read all of them back, each by its url and id through the directory: see :meth:`Archive.fetch`."""
+    ours = pages.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id"))
+    return write(pages, scratch_path(pages.sparkSession, "warc")).fetch(ours)

@@ -31,6 +31,20 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_blocks_that_equal_pages_span(spark, tmp_path):
+    rows = [(i // 20, f"http://a.org/{i // 20}", f"text {i}") for i in range(100)] + [(None, "http://a.org/2", "x")] * 15
+    df = spark.createDataFrame(rows, PAGES)
+    archive = warc.write(df, f"file://{tmp_path}/arc", lines=7)
+    assert sorted(r["page_id"] if r["page_id"] is not None else -1 for r in archive.fetch(df).collect()) == sorted(-1 if i is None else i for i, _, _ in rows)
+
+
+def test_archives_are_read_in_several_tasks(spark, tmp_path):
+    df = spark.range(400).selectExpr("id as page_id", "concat('http://a.org/', id) as url", "repeat(cast(id as string), 50) as html").repartition(8)
+    archive = warc.write(df, f"file://{tmp_path}/arc")
+    got = archive.fetch(df)
+    assert archive.archives >= 4 and got.rdd.getNumPartitions() == archive.archives and got.count() == 400
+
+
 def test_lookup(spark, tmp_path, monkeypatch):
     rows = [(i, f"http://h{i % 9}.example.org/p{i % 30}?q=1", f"text {i % 40}") for i in range(300)]
     archive = warc.write(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/arc", lines=7)
@@ -42,6 +56,11 @@ def test_lookup(spark, tmp_path, monkeypatch):
             assert x["headers"]["warc-type"] == x["type"]
             if x["type"] == "response":
                 assert x["payload"].decode() == rows[x["page_id"]][2]
+    wanted = spark.createDataFrame([(u, i) for i, u, _ in rows[:50]] + [(rows[0][1], 0)] * 3 + [("http://none/", 1), (rows[0][1], 7), (None, None)], "url string, page_id long")
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(warc, "DIRECTORY_ROWS", most)
+        assert sorted(r["page_id"] for r in archive.fetch(wanted).collect()) == list(range(50))
+    assert sorted(r["page_id"] for r in archive.read().collect()) == list(range(300))
     monkeypatch.setattr(warc, "DIRECTORY_ROWS", 1)
     assert len(archive.lookup(["http://h3.example.org/p12?q=1"])) == sum(u == "http://h3.example.org/p12?q=1" for _, u, _ in rows)
 
