@@ -37,12 +37,14 @@ PART_BYTES = 1 << 20
 #: Parts that one pass over the documents holds at once.
 GROUP = 4
 BLOOM_BITS = 22
+#: What a word is not made of.
+WHITE = " \t\n\v\f\r"
 STRETCH = 1 << 16
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Items shorter than ``window`` are one window; those shorter than ``least`` must occur unchanged, those under q characters are never found."""
+    """Items shorter than ``window`` are one window; those shorter than ``least`` must occur unchanged, those under q characters as whole words."""
 
     window: int = 100
     rate: float = 0.08
@@ -80,6 +82,15 @@ def grams(b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _runs(b: np.ndarray, size: int) -> np.ndarray:
+    """Each run of fewer than Q bytes as an integer."""
+    n = max(0, len(b) - size + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(size):
+        x = (x << np.uint64(8)) | b[k : k + n]
+    return x
+
+
 def _slot(g: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)
@@ -90,8 +101,11 @@ class GramIndex:
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
         self.ids, self.text, self.plan = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length, by bytes: item ids
         for i, t in items:
-            b, _ = normal(np.frombuffer(t.strip().encode(), dtype=np.uint8))
+            b, _ = normal(np.frombuffer(t.strip(WHITE).encode(), dtype=np.uint8))
+            if 0 < len(b) < Q:
+                self.short.setdefault(len(b), {}).setdefault(int(_runs(b, len(b))[0]), []).append(i)
             if len(b) >= Q:
                 self.ids.append(i)
                 self.text.append(b)
@@ -131,21 +145,33 @@ class GramIndex:
     def leaks(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, edits, first byte, end byte) of the items of which a window leaks into a text, one each, by item."""
         b, origin = normal(data)
+        exact = list(self._short_leaks(b, origin))
         g = grams(b)
         if not len(g) or not len(self.gram):
-            return []
+            return sorted(exact)
         at = np.flatnonzero(self.stretches(g))
         found: dict[int, tuple[int, int, int]] = {}
         reach = max(p[0] + p[1] for p in self.plan)
         while len(at):
             # stretches of bounded size, overlapping by the longest window
-            n = max(int(np.searchsorted(at, at[0] + STRETCH)), 1)
+            n = max(int(np.searchsorted(at, at[0] + max(STRETCH, 2 * reach))), 1)
             self._stretch(b, origin, g, at[:n], found)
             if n == len(at):
                 break
             m = int(np.searchsorted(at, at[n - 1] - reach))
             at = at[max(m, 1):]
-        return sorted((self.ids[i], *v) for i, v in found.items())
+        return sorted(exact + [(self.ids[i], *v) for i, v in found.items()])
+
+    def _short_leaks(self, b: np.ndarray, origin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The items under Q bytes that occur between white space or ends, each at its first place."""
+        border = np.concatenate([[True], b == 0x20, [True]])  # before byte p: border[p]
+        for size, items in self.short.items():
+            x = _runs(b, size)
+            at = np.flatnonzero(np.isin(x, np.fromiter(items, np.uint64, len(items))) & border[: len(x)] & border[size + 1 : size + 1 + len(x)])
+            values, first = np.unique(x[at], return_index=True)
+            for v, p in zip(values, at[first], strict=True):
+                for i in items[int(v)]:
+                    yield i, 0, int(origin[p]), int(origin[p + size - 1]) + 1
 
     def _stretch(self, b, origin, g, at, found) -> None:
         where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)

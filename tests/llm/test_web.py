@@ -141,6 +141,33 @@ def brute_leak(text, item, budget):
     return False
 
 
+def test_short_items_are_found_as_words():
+    items = [(1, "ab"), (2, "a b"), (3, "  Seven7 "), (4, "\t\n "), (5, ""), (6, "ab"), (7, "é")]
+    index = qgram.GramIndex(items, qgram.Budget())
+    for text in ("ab", "x ab y", "cab abc", "a  B", "SEVEN7!", "seven7", "a\nb ab", "é è", "", " ", "eé"):
+        words = f" {re.sub(r'[\x20\x09-\x0D]+', ' ', text.translate(LOWER))} "
+        want = {i for i, t in items if t.strip() and f" {t.strip().translate(LOWER)} " in words}
+        found = index.leaks(np.frombuffer(text.encode(), dtype=np.uint8))
+        assert {f[0] for f in found} == want
+        assert all(text.encode()[a:b].decode().split() == next(t for i, t in items if i == k).lower().split() or text.lower() != text for k, _, a, b in found)
+
+
+def test_long_stretches_equal_brute_force(monkeypatch):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    budget = qgram.Budget(window=50, rate=0.08, least=30)
+    items = [(k, " ".join(word() for _ in range(14))) for k in range(3)]
+    index = qgram.GramIndex(items, budget)
+    for stretch in (1, 20, 90, 1 << 16):
+        monkeypatch.setattr(qgram, "STRETCH", stretch)
+        for _ in range(12):
+            # pieces of items that are no leak, side by side, and now and then a leak
+            parts = [items[rng.randrange(3)][1][(a := rng.randint(0, 30)) : a + rng.choice([20, 35, 45, 52])] for _ in range(rng.randint(1, 12))]
+            text = "".join(parts)
+            want = {i for i, t in items if brute_leak(text, t, budget)}
+            assert {f[0] for f in index.leaks(np.frombuffer(text.encode(), dtype=np.uint8))} == want
+
+
 def test_leaks_equal_brute_force():
     rng = random.Random(8)
     budget = qgram.Budget(window=50, rate=0.08, least=30)
