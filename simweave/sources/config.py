@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
-from pathlib import Path
+
+import pyarrow.fs as pafs
+
+from simweave.sources.fs import kind, open_fs, read_text, write_text
 
 FILE = "dryconfig.json"
 
 
 @dataclass(frozen=True)
 class Config:
-    # defaults: fixed values
+    # defaults: fixed values, but for the source of vectors, which works offline
     excludedPaths: list[str] = field(default_factory=lambda: ["**/test/**"])
     excludedPairs: list[str] = field(default_factory=list)
     minLines: float = 3
     minBlockLines: float = 5
     threshold: float = 0.8
-    embeddingSource: str = "http://localhost:11434"
+    embeddingSource: str = "hashed"
     contextLength: float = 2048
     enableLLMFilter: bool = True
 
@@ -39,21 +42,21 @@ def validate(raw: object) -> dict:
 
 
 def load(folder: str) -> Config:
-    """The folder's file over the defaults; no file is all defaults."""
-    path = Path(folder) / FILE
-    raw = validate(json.loads(path.read_text())) if path.exists() else {}
+    """The folder's file over the defaults; no file is all defaults. Any file system that :func:`open_fs` knows."""
+    text = read_text(f"{folder}/{FILE}")
+    raw = validate(json.loads(text)) if text is not None else {}
     known = {f.name for f in fields(Config)}
     return replace(Config(), **{k: v for k, v in raw.items() if k in known})
 
 
 def save(folder: str, config: Config) -> None:
-    (Path(folder) / FILE).write_text(json.dumps(validate(asdict(config)), indent=2))
+    write_text(f"{folder}/{FILE}", json.dumps(validate(asdict(config)), indent=2))
 
 
 def ensure(folder: str) -> bool:
     """Write the defaults where the folder exists and has no file."""
-    path = Path(folder) / FILE
-    if not Path(folder).is_dir() or path.exists():
+    fs, path = open_fs(folder)
+    if kind(fs, path) != pafs.FileType.Directory or kind(fs, f"{path}/{FILE}") != pafs.FileType.NotFound:
         return False
     save(folder, Config())
     return True

@@ -3,13 +3,16 @@
 A tokenizer that knows comments, strings, text blocks and characters feeds a
 structural parser: it tells declarations from statements and block statements
 from class bodies, switch bodies and array initialisers, which is all that unit
-extraction needs. It never fails on a file; unbalanced source ends early.
+extraction needs. It never fails on a file; unbalanced source ends early, and
+depth is bounded by memory only.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from simweave.operators.units import LEAST_BLOCK_LINES
@@ -41,7 +44,9 @@ class _Parser:
                 self.comments.append(m.span())
             else:
                 self.toks.append((m[0], m.start(), m.end()))
+        self.deepest = 0
         self.close = self._match()
+        self.braces: dict[int, str] = {}
 
     def _match(self) -> dict[int, int]:
         pairs, stack = {}, []
@@ -49,6 +54,7 @@ class _Parser:
         for i, (t, _, _) in enumerate(self.toks):
             if t in "([{" and len(t) == 1:
                 stack.append(i)
+                self.deepest = max(self.deepest, len(stack))
             elif t in opens:
                 while stack and self.toks[stack[-1]][0] != opens[t]:
                     pairs[stack.pop()] = i
@@ -216,6 +222,11 @@ class _Parser:
 
     def brace(self, i: int) -> str:
         """What the brace at token i opens: block, class_body, switch_block or array_initializer."""
+        if i not in self.braces:
+            self.braces[i] = self._brace(i)
+        return self.braces[i]
+
+    def _brace(self, i: int) -> str:
         before = self.tok(i - 1)
         if before in ("->", "else", "do", "try", "finally", ";", "}", ":"):
             return "block"
@@ -290,6 +301,26 @@ def extract(path: str, text: str, min_lines: int = 3, min_block_lines: int = 5)
     if not text.strip():
         return []
     parser = _Parser(text)
+    with _depth(FRAMES * parser.deepest):
+        return _units(parser, path, text, min_lines, min_block_lines)
+
+
+#: Calls that one level of nesting may take.
+FRAMES = 8
+
+
+@contextmanager
+def _depth(more: int):
+    """Room for so many nested calls more: they live on the heap."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(before + more)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _units(parser: _Parser, path: str, text: str, min_lines: int, min_block_lines: int) -> list[dict]:
     line_starts = [0] + [m.end() for m in re.finditer("\n", text)]
     line = lambda pos: bisect_right(line_starts, pos) - 1
     units: dict[str, dict] = {}

@@ -110,6 +110,43 @@ def test_files_and_rules(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "none"))
 
 
+def test_names_bytes_and_nesting_of_a_real_tree(spark, tmp_path):
+    for name in ("_gen/A.java", "ok/_C.java", "ok/deep/er/D.java"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(SAMPLE)
+    (tmp_path / "ok/Latin.java").write_bytes("class L {\n void f() {\n  a(\"é\");\n  b();\n  c();\n }\n}".encode("latin-1"))
+    (tmp_path / "ok/Nest.java").write_text("class N {\n void f() {\n" + "{\n" * 2000 + "}\n" * 2000 + " }\n}")
+    (tmp_path / "ok/Lock.java").write_text("class X {}")
+    (tmp_path / "ok/Gone.java").symlink_to(tmp_path / "nowhere")
+    found = files.list_files(spark, str(tmp_path))
+    assert sorted(r["file_path"] for r in found.collect()) == ["_gen/A.java", "ok/Latin.java", "ok/Lock.java", "ok/Nest.java", "ok/_C.java", "ok/deep/er/D.java"]
+    units = files.extract_units(found).collect()
+    assert {r["file_path"] for r in units if r["unit_type"] == "function"} >= {"ok/Latin.java", "ok/Nest.java", "_gen/A.java"}
+    assert sum(r["file_path"] == "ok/Nest.java" and r["unit_type"] == "block" for r in units) > 1900
+    some = spark.createDataFrame([("ok/_C.java",), ("ok/none.java",)], "file_path string")
+    assert [r["file_path"] for r in files.listing(spark, str(tmp_path), paths=some).collect()] == ["ok/_C.java"]
+
+
+def test_rules_of_the_folders_above_some_paths(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for n in ("a/b/X.java", "a/b/Y.java", "a/Z.java"):
+        (tmp_path / n).write_text("class A {}")
+    (tmp_path / "a/.gitignore").write_text("b/*\n")
+    (tmp_path / "a/b/.gitignore").write_text("!Y.java\n")
+    paths = spark.createDataFrame([("a/b/X.java",), ("a/b/Y.java",), ("a/Z.java",)], "file_path string")
+    want = ["a/Z.java", "a/b/Y.java"]
+    assert sorted(r["file_path"] for r in files.listing(spark, str(tmp_path), paths=paths).collect()) == want == sorted(r["file_path"] for r in files.listing(spark, str(tmp_path)).collect())
+
+
+def test_a_file_on_which_its_extractor_fails_has_no_units(spark, monkeypatch):
+    def fails(path, text, least, least_block):
+        raise ValueError(path)
+
+    monkeypatch.setitem(files.EXTRACTORS, ".bad", fails)
+    rows = spark.createDataFrame([("x.bad", "x"), ("src/Sample.java", SAMPLE)], "file_path string, text string")
+    assert {r["file_path"] for r in files.extract_units(rows).collect()} == {"src/Sample.java"}
+
+
 def test_chunks_add_up(spark, tmp_path):
     text = "class A {\n void f() {\n" + "".join(f"  call{i}();\n" for i in range(60)) + " }\n}"
     rows = spark.createDataFrame([("A.java", text)], "file_path string, text string")
