@@ -20,19 +20,25 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("id")
         s.add_argument("tree", nargs="?", default=".")
         s.add_argument("--store")
+        s.add_argument("--debug", action="store_true")
         if verb == "dupes":
             s.add_argument("--json", action="store_true")
             s.add_argument("--html")
             s.add_argument("--full", action="store_true")
+            s.add_argument("--no-llm", action="store_true")
+            s.add_argument("--save", metavar="FOLDER")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("simweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if a.debug else "ERROR")
     e = Engine(spark, a.tree, a.store)
     if a.verb == "init":
         e.init()
     elif a.verb == "update":
         print("\n".join(sorted(r["file_path"] for r in e.update().collect())))
     elif a.verb == "dupes":
-        doc = e.report(full=a.full)
+        doc = e.report(full=a.full, judge=not a.no_llm)
+        if a.save:
+            e.save(a.save)
         if a.html:
             with open(a.html, "w", encoding="utf-8") as f:
                 f.write(report.as_html(doc))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.operators.incremental import delete_by_either
+from simweave.scratch import materialize
 
 PROMPT = "Two units of {type} were found alike ({similarity}).\n\nFirst, {left_name} in {left_path}:\n{left_code}\n\nSecond, {right_name} in {right_path}:\n{right_code}\n\nFiles:\n{left_file}\n---\n{right_file}\n\nShould they be merged into one? Answer yes or no."
 
@@ -39,10 +40,11 @@ def classify(pairs: DataFrame, verdicts: DataFrame, dirty: DataFrame, ask: Calla
     """(pairs with ``verdict``, new verdicts to store): cached verdicts for clean pairs, ``ask`` for the rest.
 
     ``ask`` maps a prompt column to an answer column (null: the call failed);
-    failed calls keep the pair but are not stored.
+    failed calls keep the pair but are not stored. The answers are written
+    down once: a call costs, and what is kept and what is stored must agree.
     """
     todo = pending(pairs, verdicts, dirty)
-    asked = todo.withColumn("answer", ask(prompt)).withColumn("verdict", parse_answer(F.col("answer")))
+    asked = materialize(todo.withColumn("answer", ask(prompt)), "answers").withColumn("verdict", parse_answer(F.col("answer")))
     done = with_cached(pairs.join(todo.select("pair_key"), "pair_key", "left_anti"), verdicts)
     new = asked.where(F.col("answer").isNotNull()).select("pair_key", "verdict", "left_file", "right_file", F.unix_millis(F.current_timestamp()).alias("created_at"))
     return done.unionByName(asked.select(*done.columns)), new

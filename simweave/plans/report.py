@@ -41,15 +41,27 @@ def file_name(at: datetime) -> str:
     return "dupes-" + stamp.replace(":", "-").replace(".", "-") + ".json"
 
 
-def document(pairs: DataFrame, score: DataFrame, threshold: float, at: datetime, metrics: DataFrame | None = None) -> dict:
-    """The report as one object; its pairs are collected, as a report is for reading."""
+def counted_page(pairs: DataFrame, offset: int = 0, limit: int = PAGE) -> dict:
+    """{total, offset, limit, rows}: a page and the number of all pairs."""
+    rows = [r.asDict(recursive=True) for r in page(pairs, offset, limit).collect()]
+    return {"total": pairs.count(), "offset": max(0, offset), "limit": max(1, limit), "rows": rows}
+
+
+def document(pairs: DataFrame, score: DataFrame, threshold: float, at: datetime, metrics: DataFrame | None = None, shown: int = SHOWN) -> dict:
+    """The report as one object, with its best ``shown`` pairs and the number of all; the others stay in their table."""
     s = score.first().asDict()
-    out = {"version": 1, "generatedAt": at.astimezone(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "threshold": threshold, "grade": s["grade"], "score": s, "duplicates": [r.asDict(recursive=True) for r in ranked(pairs).collect()]}
+    first = counted_page(pairs, 0, shown)
+    out = {"version": 1, "generatedAt": at.astimezone(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "threshold": threshold, "grade": s["grade"], "score": s, "pairs": first["total"], "duplicates": first["rows"]}
     if metrics is not None:
         out["metrics"] = metrics.first().asDict()
     return out
 
 
+def write_json(pairs: DataFrame, path: str) -> None:
+    """All pairs, best first, as JSON lines below ``path``."""
+    pairs.orderBy(F.desc("similarity"), "id").write.json(path)
+
+
 def as_json(report: dict) -> str:
     return json.dumps(report, ensure_ascii=False, indent=2)
 
@@ -75,4 +87,4 @@ def as_text(report: dict) -> str:
 def as_html(report: dict, shown: int = SHOWN) -> str:
     rows = "".join(f"<tr><td>{p['similarity'] * 100:.1f}%</td>" + "".join(f"<td><code>{html.escape(p[s]['file_path'])}:{p[s]['start_line']}</code><pre>{html.escape(p[s]['code'])}</pre></td>" for s in ("left", "right")) + "</tr>" for p in report["duplicates"][:shown])
     s = report["score"]
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Duplicates</title></head><body><h1>{s['grade']}: {s['score']:.2f}%</h1><p>{len(report['duplicates'])} pairs, {min(shown, len(report['duplicates']))} shown</p><table>{rows}</table></body></html>"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Duplicates</title></head><body><h1>{s['grade']}: {s['score']:.2f}%</h1><p>{report.get('pairs', len(report['duplicates']))} pairs, {min(shown, len(report['duplicates']))} shown</p><table>{rows}</table></body></html>"

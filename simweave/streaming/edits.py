@@ -20,12 +20,15 @@ def debounced(events: DataFrame, key: str, quiet: str = "500 milliseconds", late
     return rows.groupBy(key, F.session_window("ts", quiet).alias("session")).agg(F.count("*").alias("edits"))
 
 
-def refresh_on_edits(events: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str, quiet: str = "500 milliseconds", late: str = "10 seconds"):
-    """Call ``refresh`` with the distinct dirty paths of every batch of finished sessions, one batch at a time."""
+def refresh_on_edits(events: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str, quiet: str = "500 milliseconds", late: str = "10 seconds", every: str | None = None):
+    """Call ``refresh`` with the distinct dirty paths of every batch of finished sessions, one batch at a time.
+
+    Without ``every`` it stops when all that is there has been read; with it, it goes on in such steps.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
         paths = batch.select("file_path").distinct()
         if not paths.isEmpty():
             refresh(paths)
 
-    return debounced(events, "file_path", quiet, late).writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return debounced(events, "file_path", quiet, late).writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
