@@ -19,11 +19,12 @@ candidates. At 0.8, 56 bands of six registers miss a pair with probability
    standard deviations below the threshold, the full shingle sets confirm the
    rest, and confirmed links give components;
 3. buckets that still hold several components are searched for links between
-   *different* components, in tiles of bounded size: in small buckets by the
-   estimate from the registers, in large ones (over ``LARGE`` members) by
-   counting shared shingle fingerprints, so that what leaves a task are links
-   and not the many pairs just below the threshold. They are confirmed as
-   before. Groups of copies are one component by then and cost little here.
+   *different* components: in small buckets by the estimate from the registers,
+   in large ones (over ``LARGE`` members) by counting shared shingle
+   fingerprints in tiles of bounded members and bytes, so that what leaves a
+   task are links and not the many pairs just below the threshold. They are
+   confirmed as before. Groups of copies are one component by then: a bucket's
+   largest component does not meet itself.
 
 Step 3 makes the components those of all links, whatever step 2 tried.
 """
@@ -45,7 +46,9 @@ from simweave.scratch import discard, materialize
 BANDS, ROWS, MANTISSA = 56, 6, 10
 REGISTERS = BANDS * ROWS
 SPLIT = 3 * REGISTERS
-TILE = 4096
+TILE = 2048
+#: Bytes of fingerprints in half a tile.
+HALF_BYTES = 8 << 20
 STAR_ROUNDS = 2
 LARGE = 32
 EMPTY = 0xFFFF
@@ -170,8 +173,8 @@ def _keep_likely(threshold: float):
 def _tile_search(threshold: float):
     """Rows (key, ta, tb, side, id, comp, n, band, part, regs), sorted by the first three -> likely links (a, b) between components.
 
-    A run of rows with one (key, ta, tb) holds about TILE rows. A link comes
-    out of the first band that its two sides share, hence once a scheme.
+    A run of rows with one (key, ta, tb) is a bucket of LARGE members at most. A
+    link comes out of the first band that its two sides share, hence once a scheme.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -355,22 +358,39 @@ def _star_rounds(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold
     return found, known
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Members of a bucket in tiles of about half of TILE, a row for each pair of tiles that a member's is in."""
-    tiled = members.withColumn("tiles", F.ceil(F.col("size") / (TILE // 2)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    return tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "part", "band")
+def _tiles(members: DataFrame, half: int | None = None, half_bytes: int = HALF_BYTES) -> DataFrame:
+    """Members (key, part, id, comp, n, band) of buckets as rows of tiles (key, ta, tb, side, ...), such that two members of different components meet in one tile.
+
+    A bucket's largest component need not meet itself: its members lie in tiles
+    of their own, and each meets the tiles of the others only. So a bucket in
+    which most belong to one component is copied a few times however large it
+    is. Half a tile holds about ``half`` members and ``half_bytes`` of fingerprints.
+    """
+    half = half or TILE // 2
+    sizes = members.groupBy("key", "part", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    rows, size = lambda m: F.coalesce(F.sum(m), F.lit(0)), F.col("s") * 4
+    # the largest component, ties to the smallest name
+    main = sizes.groupBy("key", "part").agg(F.max(F.struct("m", -F.col("comp"))).alias("top"), F.sum("m").alias("members"), F.sum(size).alias("bytes"))
+    main = main.join(sizes.select("key", "part", F.col("comp").alias("main"), F.col("m").alias("mm"), size.alias("mb")), ["key", "part"]).where("main = -top.col2")
+    tiles = lambda m, b: F.greatest(F.ceil(m / half), F.ceil(b / half_bytes), F.lit(1)).cast("int")
+    grid = main.select("key", "part", "main", tiles(F.col("mm"), F.col("mb")).alias("mt"), tiles(F.col("members") - F.col("mm"), F.col("bytes") - F.col("mb")).alias("ot"))
+    placed = members.join(grid, ["key", "part"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    # tiles 0 to ot - 1 hold the others, the next mt the largest component
+    placed = placed.withColumn("tile", F.when(F.col("is_main"), F.col("ot") + F.pmod(F.xxhash64("id"), F.col("mt"))).otherwise(F.pmod(F.xxhash64("id"), F.col("ot"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("ot") - 1).otherwise(F.col("ot") + F.col("mt") - 1))
+    return placed.withColumn("other", F.explode(meets)).select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "n", "part", "band")
 
 
 def _search_rest(docs: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """All links between different components of ``known``."""
-    mixed = materialize(_mixed(members, known), "mixed")
+    mixed = materialize(_mixed(members, known).join(reps.select("id", "part", "n"), ["id", "part"]), "mixed")
     place = lambda df: df.repartition(F.col("key"), F.col("ta"), F.col("tb")).sortWithinPartitions("key", "ta", "tb")
-    few = _tiles(mixed.where(F.col("size") <= LARGE)).join(reps.select("id", "part", "n", "regs"), ["id", "part"])
+    # a small bucket is one tile
+    few = mixed.where(F.col("size") <= LARGE).join(reps.select("id", "part", "regs"), ["id", "part"]).withColumns({"ta": F.lit(0), "tb": F.lit(0), "side": F.lit(0)})
     some = place(few.select("key", "ta", "tb", "side", "id", "comp", "n", "band", "part", "regs")).mapInArrow(tk.tidy(_tile_search(threshold)), "a long, b long")
     large = mixed.where(F.col("size") > LARGE)
     halves = materialize(_texts_of(docs, large.select("id").distinct()).mapInArrow(tk.tidy(_sets(shingle, True)), "id long, s binary"), "halves")
-    many = _tiles(large).join(halves.select("id", (F.octet_length("s") / 4).cast("long").alias("n"), "s"), "id")
+    many = _tiles(large).join(halves, "id")
     more = place(many.select("key", "ta", "tb", "side", "id", "comp", "n", "s")).mapInArrow(tk.tidy(_tile_compare(threshold)), "a long, b long")
     pairs = materialize(some.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = links(docs, pairs, threshold, shingle)

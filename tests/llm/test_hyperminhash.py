@@ -89,3 +89,34 @@ def test_sifting(spark):
     rest = [r["doc_id"] for r in anti_join(rows, ids, "doc_id").collect()]
     assert sorted(x for x in rest if x is not None) == [i for i in range(2000) if i not in want] and rest.count(None) == 1
     assert semi_join(rows, ids.limit(0), "doc_id").count() == 0 and anti_join(rows, ids.limit(0), "doc_id").count() == 2002
+
+
+def test_tiles_bring_components_together_and_stay_small(spark):
+    rng = random.Random(3)
+    rows = [(1, False, i, 0 if i < 900 else rng.randint(1, 40), 10, 0) for i in range(1000)]  # most are of one component
+    rows += [(2, True, i, i, 10, 0) for i in range(60)]  # all differ
+    rows += [(3, True, i, i % 2, 20_000, 0) for i in range(40)]  # long texts
+    members = spark.createDataFrame(rows, "key long, part boolean, id long, comp long, n long, band int")
+    cells, copies = {}, {}
+    for r in h._tiles(members, 50, 400_000).collect():
+        cells.setdefault((r["key"], r["ta"], r["tb"]), []).append(r)
+        copies[r["key"]] = copies.get(r["key"], 0) + 1
+    met = set()
+    for (key, ta, tb), rs in cells.items():
+        assert len(rs) <= 160 and sum(4 * r["n"] for r in rs) <= 2_000_000
+        met |= {(key, a["id"], b["id"]) for a in rs for b in rs if ta == tb or a["side"] != b["side"]}
+    for key in (1, 2, 3):
+        mine = [r for r in rows if r[0] == key]
+        assert all((key, a[2], b[2]) in met for a in mine for b in mine if a[3] != b[3])
+    assert copies[1] <= 2 * 900 + 100 * 25 and len([c for c in cells if c[0] == 3]) >= 4
+
+
+def test_a_bucket_of_long_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(h, "LARGE", 4)
+    monkeypatch.setattr(h, "STAR_ROUNDS", 1)
+    rng = random.Random(15)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(20_000)]
+    rows = [(i, " ".join(noisy(rng, base, [0.01, 0.05, 0.09, 0.3][i % 4], vocabulary)), "en", "s") for i in range(16)]
+    want, _ = brute.components([(r[0], r[1]) for r in rows], 2, 80)
+    assert {r["doc_id"]: r["component_id"] for r in h.near_duplicates(docs(rows), 0.8, 2).collect()} == want
