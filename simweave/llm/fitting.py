@@ -71,14 +71,14 @@ def one_each(rows: DataFrame, by: str = "doc_id") -> DataFrame:
 
 
 def fit_in_one_task(rows: DataFrame, train: Callable[[pa.Table | None], bytes]) -> bytes:
-    """Run ``train`` on the bounded ``rows`` (doc_id, ...) in one task, in the order of the hash of doc_id and without it; it gets None if there are no rows."""
+    """Run ``train`` on the bounded ``rows`` (doc_id, ...) in one task, in the order of its columns and without doc_id; it gets None if there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(got) if got else None)], type=pa.binary())], names=["model"])
 
     # sorted inside the task: a sort before it would send keys to the driver
-    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *rows.columns).drop("doc_id").mapInArrow(tk.tidy(run), "model binary").collect()
+    found = rows.repartition(1).sortWithinPartitions(*rows.columns).drop("doc_id").mapInArrow(tk.tidy(run), "model binary").collect()
     return found[0]["model"] if found else train(None)
 
 

@@ -50,3 +50,23 @@ def test_repeated_rows(spark, docs):
     text = " ".join(f"w{i}" for i in range(50))
     df = docs([(1, text, "en", "a"), (1, text, "en", "a"), (2, text, "en", "b"), (3, "other text", "en", "b"), (None, None, None, None)])
     assert sorted((r["doc_id"] or 0) for r in cp.deduplicate(spark, df, "").collect()) == [0, 1, 3]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, docs):
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(1, one, "en", "a"), (5, one + " end", "en", "a"), (5, other, "en", "b"), (5, other, "de", "a"), (6, "plain text", "en", "b"), (7, None, "en", "b"), (7, None, "en", "b"), (8, "", None, None), (None, one, "en", "a"), (None, one, "en", "a")]
+    want = sorted(map(str, [(1, one, "en", "a"), (5, other, "de", "a"), (6, "plain text", "en", "b"), (7, None, "en", "b"), (8, "", None, None), (None, one, "en", "a"), (None, one, "en", "a")]))
+    for df in (docs(rows), docs(rows[::-1]).repartition(5)):
+        got = cp.deduplicate(spark, df, "")
+        assert got.columns == df.columns and sorted(str(tuple(r)[:4]) for r in got.collect()) == want
+    extra = docs(rows).selectExpr("*", "1 as name", "2 as again", "3 as row")
+    assert cp.deduplicate(spark, extra, "").columns == extra.columns
+
+
+def test_run_on_odd_and_empty_tables(spark, odd, tmp_path):
+    for name, df in (("odd", odd), ("none", odd.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 0, None)], "doc_id long, quality int, toxic int").limit(3 if name == "odd" else 0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = cp.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(0 <= r["shard"] < 24 for r in got) and (len(got) == 0 if name == "none" else len(got) > 0)
