@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simweave.llm import oracles
 from simweave.llm.cotrain import quality
 from simweave.llm.crf import identify
 from simweave.llm.ftrl import toxicity
@@ -59,10 +60,14 @@ URL_RULES = [
 ]
 
 
+#: A number of 18 digits at most, the last in a path.
+LAST_NUMBER = r"(?:^|[^0-9])([0-9]{1,18})[^0-9]*$"
+
+
 def op7_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last number in a page's path is the document that was taken from it; that document's quality label is the page's."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.regexp_extract(host_and_path(F.col("url"))[1], r"([0-9]{1,18})[^0-9]*$", 1)
+    number = F.regexp_extract(host_and_path(F.col("url"))[1], LAST_NUMBER, 1)
     of = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return judge(pages, of.join(labels, "doc_id").select("page_id", "good"), URL_RULES)
@@ -84,45 +89,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_multi_index_hashing, op2_ftrl_toxicity, op3_cotrained_quality, op4_splitting_tree_mix, op5_crf_language, op6_min_cost_flow_reshard, op7_path_template_tree, op8_hyperminhash, op9_warc_capture_index, op10_qgram_decontamination)}
 
 
-_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-#: A base32 digit of each five bits of a hexadecimal SHA-1.
-_BASE32 = """array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST(concat('0x', substr(sha, CAST(i * 5 + 1 AS INT), 5)) AS INT) >> b) & 31) + 1, 1)), '')), '')"""
-
-def _md5(seed: int, *columns: str) -> str:
-    """60 bits of the MD5 of the seed and the columns."""
-    return f"CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)})), 1, 15)) AS BIGINT)"
-
-
-#: Targets by filling up, then passes and the cut of the permuted blocks; which shard gets which draw changes none of these columns.
-OP4_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, {_md5(4, "doc_id", "text")} AS key FROM documents),
-t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(count(*) / 256.0) AS BIGINT) AS n_blocks, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
-c AS (SELECT *, [1.0, 2.0, 3.0][rank % 3 + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap, cap / weight AS ratio FROM t),
-l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-o AS (SELECT (SELECT level FROM l WHERE ratio > level ORDER BY ratio, rank LIMIT 1) AS open),
-s AS (SELECT source, source_size, n_blocks, rank, CASE WHEN open IS NULL THEN cap ELSE least(cap, open * weight) END AS target, CAST(round(CASE WHEN open IS NULL THEN cap ELSE least(cap, open * weight) END) AS BIGINT) AS quota FROM l, o),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes, quota - passes * source_size AS rest FROM s),
-p AS (SELECT d.doc_id, size, key, source_size, target, rank, passes, rest, key % n_blocks AS block FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-b AS (SELECT rank, block, any_value(rest) AS rest, sum(size) AS words, {_md5(5, "block")} AS h FROM p GROUP BY rank, block),
-r AS (SELECT rank, block, words, rest - coalesce(sum(words) OVER (PARTITION BY rank ORDER BY h, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM b),
-i AS (SELECT p.*, open, words, coalesce(sum(size) OVER (PARTITION BY p.rank, p.block ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN r ON r.rank = p.rank AND r.block = p.block)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(passes * size + CASE WHEN open >= words THEN size ELSE greatest(0, least(size, open - before)) END AS BIGINT) AS taken FROM i"""
-
-OP8_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])) END) AS sh FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON ways.a = r.seen),
-c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
-
-OP9_SQL = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
-m AS (SELECT sha, max(page_id) AS last FROM p GROUP BY sha)
-SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
-FROM p JOIN m USING (sha)"""
-
-
 def oracle_sql() -> dict[str, str]:
     """The others use hashes, learned models or searches that SQL cannot express; tests hold them against brute force."""
-    return {"op4_splitting_tree_mix": OP4_SQL, "op8_hyperminhash": OP8_SQL, "op9_warc_capture_index": OP9_SQL}
+    return {"op4_splitting_tree_mix": oracles.OP4_SQL, "op7_path_template_tree": oracles.op7_sql(URL_RULES, LAST_NUMBER), "op8_hyperminhash": oracles.OP8_SQL, "op9_warc_capture_index": oracles.OP9_SQL}
