@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simweave.functions.text import grade
@@ -32,8 +32,17 @@ def scan_metrics(units: DataFrame, files: DataFrame, before: DataFrame, after: D
     return count(files, "files_scanned").join(lines).join(type_counts(units)).join(count(before, "pairs_before")).join(count(after, "pairs_after"))
 
 
-def findings_per_file(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (id, similarity, left, right) -> (file_path, findings): per file the ranges that have a counterpart, best first."""
-    one = lambda a, b: pairs.select(F.col(f"{a}.file_path").alias("file_path"), F.struct((-F.col("similarity")).alias("order"), F.col("id").alias("pair_id"), F.col(f"{a}.start_line").alias("start_line"), F.col(f"{a}.end_line").alias("end_line"), F.col(f"{b}.file_path").alias("other_path"), F.col("similarity").alias("similarity")).alias("f"))
-    both = one("left", "right").unionByName(one("right", "left"))
-    return both.groupBy("file_path").agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f.dropFields("order")).alias("findings"))
+def findings(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (id, similarity, left, right) -> (file_path, pair_id, similarity, start_line, end_line, other_path): a row for each side of a pair, in the file it is in."""
+    one = lambda a, b: pairs.select(F.col(f"{a}.file_path").alias("file_path"), F.col("id").alias("pair_id"), "similarity", F.col(f"{a}.start_line").alias("start_line"), F.col(f"{a}.end_line").alias("end_line"), F.col(f"{b}.file_path").alias("other_path"))
+    return one("left", "right").unionByName(one("right", "left"))
+
+
+def findings_per_file(pairs: DataFrame, shown: int = 100) -> DataFrame:
+    """(file_path, findings, shown): the number of a file's findings and its best ``shown``, for display; :func:`findings` has them all."""
+    rows = findings(pairs)
+    best = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("similarity"), "pair_id", "other_path", "start_line"))
+    # the ranks are cut before the shuffle, so a list holds ``shown`` at most
+    top = rows.withColumn("rank", best).where(F.col("rank") <= shown)
+    lists = top.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("rank", "pair_id", "similarity", "start_line", "end_line", "other_path"))).alias("shown"))
+    return rows.groupBy("file_path").agg(F.count("*").alias("findings")).join(lists, "file_path")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE = 4096
+#: Rows of a tile that are multiplied at once.
+SLICE = 512
 
 
 def _doubles(v: Column) -> Column:
@@ -36,12 +38,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max(map(len, rows), default=0)
-    x = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        x[i, : len(r)] = [v or 0.0 for v in r]
+def _unit_rows(column: pa.ListArray) -> np.ndarray:
+    """Rows of length one, padded with zeros; null components are 0."""
+    off = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.slice(off[0], off[-1] - off[0]).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes, off = np.diff(off), off - off[0]
+    x = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x[row, np.arange(len(flat)) - off[:-1][row]] = flat
     size = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
@@ -61,18 +65,18 @@ def _multiply(thresholds: float | dict[str, float]):
         x = _unit_rows(table.column("embedding").combine_chunks())
         a = np.flatnonzero(side == 0)
         b = a if not (side == 1).any() else np.flatnonzero(side == 1)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(0, len(a), 1024):
-            rows = a[k : k + 1024]
+        out: list[pa.RecordBatch] = []
+        for k in range(0, len(a), SLICE):
+            rows = a[k : k + SLICE]
             s = x[rows] @ x[b].T
             i, j = np.nonzero(s >= threshold)
             keep = (ids[rows[i]] < ids[b[j]]) if b is a else np.ones(len(i), dtype=bool)
             keep &= touched[rows[i]] | touched[b[j]]
             left, right = ids[rows[i[keep]]], ids[b[j[keep]]]
             swap = left > right
-            out.append((np.where(swap, right, left), np.where(swap, left, right), s[i[keep], j[keep]]))
-        left, right, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-        return pa.Table.from_arrays([pa.array(left, type=pa.string()), pa.array(right, type=pa.string()), pa.array([kind] * len(left), type=pa.string()), pa.array(s, type=pa.float64())], schema=_PAIRS)
+            # as Arrow strings at once: a slice of a group of equal vectors is many pairs
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.where(swap, right, left), type=pa.string()), pa.array(np.where(swap, left, right), type=pa.string()), pa.repeat(pa.scalar(kind, pa.string()), len(left)), pa.array(s[i[keep], j[keep]])], schema=_PAIRS))
+        return pa.Table.from_batches(out, schema=_PAIRS)
 
     return run
 
@@ -99,15 +103,22 @@ def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty:
     return cells.groupBy("unit_type", "ta", "tb").applyInArrow(_multiply(threshold), "left_id string, right_id string, unit_type string, similarity double")
 
 
-def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None) -> DataFrame:
-    """The same pairs as a join with a column expression, without Python."""
+def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = 512) -> DataFrame:
+    """The same pairs as a join with a column expression, without Python: tiles meet on their pair of numbers, so a type is many keys."""
     rows = units.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0).select("id", "unit_type", "embedding", norm(F.col("embedding")).alias("size"))
-    a, b = rows.alias("a"), rows.alias("b")
+    sizes = rows.groupBy("unit_type").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    # a row a type
+    placed = rows.join(F.broadcast(sizes), "unit_type").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = [F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")]
+    # each side once: a tile meets itself on both sides, others on the lower number's left
+    a = placed.where("tile <= other").select("unit_type", *cell, F.struct("id", "embedding", "size").alias("a"))
+    b = placed.where("tile >= other").select("unit_type", *cell, F.struct("id", "embedding", "size").alias("b"))
     both = F.col("a.size") * F.col("b.size")
     s = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col("a.embedding"), F.col("b.embedding")) / both)
     kind = F.col("unit_type")
     least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(kind == k, F.lit(t)) for k, t in threshold.items()])
-    found = a.join(b, F.expr("a.unit_type = b.unit_type and a.id < b.id")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.unit_type").alias("unit_type"), s.alias("similarity")).where(F.col("similarity") >= least)
+    met = a.join(b, ["unit_type", "ta", "tb"]).where("a.id < b.id or (a.id > b.id and ta < tb)")
+    found = met.select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"), "unit_type", s.alias("similarity")).where(F.col("similarity") >= least)
     if dirty is None:
         return found
     mark = lambda c: dirty.select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))

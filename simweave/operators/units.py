@@ -63,3 +63,9 @@ def with_row_index(units: DataFrame) -> DataFrame:
     sizes = b.groupBy("unit_type", "b").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("unit_type").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("unit_type", "b").orderBy("id")) - 1
     return b.withColumn("row", inside).join(F.broadcast(sizes), ["unit_type", "b"]).withColumn("row", F.col("row") + F.col("ahead")).drop("b", "ahead")
+
+
+def exact_copies(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` whose ``by`` comes several times, with the class's ``first`` name and the number of ``copies``: a row a member, however large the class."""
+    classes = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(name).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return rows.join(classes, by)

@@ -50,12 +50,10 @@ def norm_block_sha1(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.sha1(tx.normalize_code(F.col("text"))).alias("block_hash"))
 
 
-@query(f"WITH h AS (SELECT doc_id, sha1({NORMAL.format('text')}) AS block_hash FROM documents) SELECT a.doc_id AS left_doc, b.doc_id AS right_doc, a.block_hash FROM h a JOIN h b ON a.block_hash = b.block_hash AND a.doc_id < b.doc_id")
+@query(f"WITH h AS (SELECT doc_id, sha1({NORMAL.format('text')}) AS block_hash FROM documents), c AS (SELECT block_hash, min(doc_id) AS first_doc, count(*) AS copies FROM h GROUP BY block_hash HAVING count(*) > 1) SELECT doc_id, first_doc, copies, block_hash FROM h JOIN c USING (block_hash)")
 def block_exact_pairs(spark, d):
-    h = norm_block_sha1(spark, d)
-    again = h.groupBy("block_hash").agg(F.count("*").alias("n")).where("n > 1").select("block_hash")
-    h = h.join(again, "block_hash")
-    return h.alias("a").join(h.alias("b"), F.expr("a.block_hash = b.block_hash and a.doc_id < b.doc_id")).select(F.col("a.doc_id").alias("left_doc"), F.col("b.doc_id").alias("right_doc"), F.col("a.block_hash").alias("block_hash"))
+    """Blocks that are equal but for white space and comments: each member of a class paired with its first one, not with all others."""
+    return units.exact_copies(materialize(norm_block_sha1(spark, d), "hashes"), "block_hash", "doc_id").select("doc_id", F.col("first").alias("first_doc"), "copies", "block_hash")
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(html, '(?s)^[^{]*?\\([^)]*\\)') THEN len(list_filter(string_split(regexp_extract(html, '(?s)^[^{]*?\\(([^)]*)\\)', 1), ','), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> '')) ELSE 0 END AS arity FROM pages")
@@ -317,12 +315,14 @@ def purge_excluded_paths(spark, d):
 
 @query(f"WITH {t.CANDIDATES}, {t.VERDICTS} SELECT p.pair_key, v.verdict FROM pairs p LEFT JOIN verdicts v ON v.pair_key = p.pair_key")
 def verdict_left_join(spark, d):
-    return verdicts.with_cached(t.candidate_pairs(spark, d), t.verdicts(spark, d)).select("pair_key", "verdict")
+    found = t.candidate_pairs(spark, d)
+    return verdicts.with_cached(found, t.verdicts(spark, d, found)).select("pair_key", "verdict")
 
 
 @query(f"WITH {t.CANDIDATES}, {t.VERDICTS} SELECT p.pair_key, similarity FROM pairs p LEFT JOIN verdicts v ON v.pair_key = p.pair_key WHERE coalesce(verdict, 'yes') <> 'no'")
 def verdict_filter(spark, d):
-    return verdicts.keep_true(verdicts.with_cached(t.candidate_pairs(spark, d), t.verdicts(spark, d))).select("pair_key", "similarity")
+    found = t.candidate_pairs(spark, d)
+    return verdicts.keep_true(verdicts.with_cached(found, t.verdicts(spark, d, found))).select("pair_key", "similarity")
 
 
 @query(f"WITH {t.DIFF}, {t.CANDIDATES}, {t.VERDICTS} SELECT pair_key, verdict FROM verdicts WHERE left_file NOT IN (SELECT file_path FROM diff WHERE status <> 'unchanged') AND right_file NOT IN (SELECT file_path FROM diff WHERE status <> 'unchanged')")
@@ -332,7 +332,8 @@ def verdict_evict(spark, d):
 
 @query(f"WITH {t.DIFF}, {t.CANDIDATES}, {t.VERDICTS} SELECT p.pair_key FROM pairs p LEFT JOIN verdicts v ON v.pair_key = p.pair_key WHERE v.pair_key IS NULL OR p.left_file IN (SELECT file_path FROM diff WHERE status <> 'unchanged') OR p.right_file IN (SELECT file_path FROM diff WHERE status <> 'unchanged')")
 def verdict_pending(spark, d):
-    return verdicts.pending(t.candidate_pairs(spark, d), t.verdicts(spark, d), dirty_paths(spark, d)).select("pair_key")
+    found = t.candidate_pairs(spark, d)
+    return verdicts.pending(found, t.verdicts(spark, d, found), dirty_paths(spark, d)).select("pair_key")
 
 
 @query("SELECT conv_id, turn, CASE WHEN starts_with(lower(text), 'yes') THEN 'yes' ELSE 'no' END AS verdict FROM conversations")
@@ -364,13 +365,18 @@ def grade_case(spark, d):
 @query(f"WITH {t.CANDIDATES}, {t.VERDICTS} SELECT (SELECT count(*) FROM documents WHERE source <> 'src5') AS files_scanned, (SELECT CAST(sum(end_line - start_line + 1) AS BIGINT) FROM functions) AS total_lines, CAST(0 AS BIGINT) AS classes, (SELECT count(*) FROM functions) AS functions, CAST(0 AS BIGINT) AS blocks, (SELECT count(*) FROM functions) AS total, (SELECT count(*) FROM pairs) AS pairs_before, (SELECT count(*) FROM pairs p LEFT JOIN verdicts v ON v.pair_key = p.pair_key WHERE coalesce(verdict, 'yes') <> 'no') AS pairs_after")
 def scan_metrics(spark, d):
     before = t.candidate_pairs(spark, d)
-    return score.scan_metrics(t.functions(spark, d), t.current_files(spark, d), before, verdicts.keep_true(verdicts.with_cached(before, t.verdicts(spark, d))))
+    return score.scan_metrics(t.functions(spark, d), t.current_files(spark, d), before, verdicts.keep_true(verdicts.with_cached(before, t.verdicts(spark, d, before))))
 
 
-@query(f"WITH {t.CANDIDATES}, side AS (SELECT left_file AS file_path, pair_key, similarity, right_file AS other FROM pairs UNION ALL SELECT right_file, pair_key, similarity, left_file FROM pairs) SELECT file_path, count(*) AS findings, string_agg(other, ',' ORDER BY similarity DESC, pair_key) AS others FROM side GROUP BY file_path")
+@query(f"WITH {t.CANDIDATES}, side AS (SELECT left_file AS file_path, pair_key, similarity, left_start AS start_line, left_end AS end_line, right_file AS other_path FROM pairs UNION ALL SELECT right_file, pair_key, similarity, right_start, right_end, left_file FROM pairs) SELECT file_path, pair_key AS pair_id, similarity, start_line, end_line, other_path FROM side")
+def findings(spark, d):
+    return score.findings(_members(spark, d))
+
+
+@query(f"WITH {t.CANDIDATES}, side AS (SELECT left_file AS file_path, pair_key, similarity, right_file AS other FROM pairs UNION ALL SELECT right_file, pair_key, similarity, left_file FROM pairs), r AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n, row_number() OVER (PARTITION BY file_path ORDER BY similarity DESC, pair_key, other) AS r FROM side) SELECT file_path, any_value(n) AS findings, string_agg(other, ',' ORDER BY r) AS others FROM r WHERE r <= 50 GROUP BY file_path")
 def findings_per_file(spark, d):
-    f = score.findings_per_file(_members(spark, d))
-    return f.select("file_path", F.size("findings").cast("long").alias("findings"), F.array_join(F.transform("findings", lambda x: x["other_path"]), ",").alias("others"))
+    f = score.findings_per_file(_members(spark, d), shown=50)
+    return f.select("file_path", "findings", F.array_join(F.transform("shown", lambda x: x["other_path"]), ",").alias("others"))
 
 
 @query("SELECT event_id AS run_id, ts AS generated_at, event_type AS grade FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -402,12 +408,22 @@ def edit_sessions(spark, d):
     return debounced(real_edits(e), "user_id", "24 hours").select("user_id", F.col("session.start").alias("first_edit"), "edits")
 
 
-@query()
+_BODY = "concat('  public int run', p_partkey, '(int a, int b) {', chr(10), '    if (a > b) {', chr(10), '      a += 1;', chr(10), '      b += 2;', chr(10), '      a *= b;', chr(10), '      b -= a;', chr(10), '      a -= 1;', chr(10), '    }', chr(10), '    return a + ', p_size, ';', chr(10), '  }', chr(10))"
+
+
+@query(f"""WITH m AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS b, concat('run', p_partkey) AS f, {_BODY} AS body FROM part),
+o AS (SELECT *, 11 * (row_number() OVER (PARTITION BY b ORDER BY body) - 1) + 1 AS l FROM m),
+c AS (SELECT b, 11 * count(*) AS last, concat('class ', b, ' {{', chr(10), string_agg(concat('  public int ', f, '(int a, int b)  {{ }}', chr(10)), chr(10) ORDER BY l), '}}') AS code FROM o GROUP BY b),
+u AS (SELECT concat('class:', b, ':0-', last) AS id, b AS name, b, 0 AS first, last, code, 'class' AS unit_type, NULL AS parent_id FROM c
+UNION ALL SELECT concat('function:', b, '.', f, ':', l, '-', l + 9), concat(b, '.', f), b, l, l + 9, trim(body, concat(' ', chr(10))), 'function', concat('class:', b, ':0-', last) FROM o JOIN c USING (b)
+UNION ALL SELECT concat('block:', b, '.', f, ':', l, '-', l + 9), concat(b, '.', f), b, l, l + 9, trim(substr(body, instr(body, '{{')), chr(10)), 'block', concat('function:', b, '.', f, ':', l, '-', l + 9) FROM o
+UNION ALL SELECT concat('block:', b, '.', f, ':', l + 1, '-', l + 7), concat(b, '.', f), b, l + 1, l + 7, regexp_extract(body, '(?s)if \\(a > b\\) (\\{{.*?\\}})', 1), 'block', concat('function:', b, '.', f, ':', l, '-', l + 9) FROM o)
+SELECT id, name, concat(b, '.java') AS file_path, CAST(first AS INT) AS start_line, CAST(last AS INT) AS end_line, code, unit_type, parent_id FROM u""")
 def java_extract_units(spark, d):
     """Units of Java classes written from the part table: a method a part, brands as classes."""
     from simweave.sources.files import extract_units
 
-    body = F.concat(F.lit("  public int run"), F.col("p_partkey").cast("string"), F.lit("(int a, int b) {\n    if (a > b) {\n      a += 1;\n      b += 2;\n      a *= b;\n      b -= a;\n      a -= 1;\n    }\n    return a + "), F.col("p_size").cast("string"), F.lit(";\n  }\n"))
+    body = F.expr(_BODY.replace("chr(10)", "'\\n'"))
     files = t.table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("m"))
     files = files.select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(".java")).alias("file_path"), F.concat(F.lit("class "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(" {\n"), F.col("m"), F.lit("}\n")).alias("text"))
     return extract_units(files, context=2048).drop("embedding")

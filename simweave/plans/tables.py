@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simweave.functions.labels import unit_id
+from simweave.scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,15 +84,16 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.3) ->
     from simweave.operators.similarity import similar_pairs
 
     f = functions(spark, sf_dir)
-    pairs = similar_pairs(f, threshold)
+    # read by several branches of a query: the products are formed once
+    pairs = materialize(similar_pairs(f, threshold), "pairs")
     side = lambda s: f.select(F.col("id").alias(f"{s}_id"), F.col("doc_id").alias(f"{s}_doc"), F.col("file_path").alias(f"{s}_file"), F.col("start_line").alias(f"{s}_start"), F.col("end_line").alias(f"{s}_end"), unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.lit("")).alias(f"{s}_label"))
     out = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     return out.withColumn("pair_key", pair_key(F.col("unit_type"), F.col("left_label"), F.col("right_label"))).withColumn("similarity", F.round("similarity", 6))
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdicts(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     """A cached verdict for each candidate whose documents are both labelled: no if either is toxic."""
-    pairs = candidate_pairs(spark, sf_dir)
+    pairs = candidate_pairs(spark, sf_dir) if pairs is None else pairs
     lab = lambda s: table(spark, sf_dir, "labels").select(F.col("doc_id").alias(f"{s}_doc"), F.col("toxic").alias(f"{s}_toxic"))
     both = pairs.join(lab("left"), "left_doc").join(lab("right"), "right_doc")
     return both.select("pair_key", F.when((F.col("left_toxic") == 1) | (F.col("right_toxic") == 1), "no").otherwise("yes").alias("verdict"), "left_file", "right_file")
