@@ -1,7 +1,9 @@
+import io
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +258,78 @@ def test_ftrl_follows_the_published_update(spark):
             b = start - z0 / ((s.beta + n0**0.5) / s.alpha)
     assert np.allclose(w, [weight(i) for i in range(40)]) and bias == pytest.approx(b)
     assert 0 < np.count_nonzero(w) < 40
+
+
+def plain_view(rows, y, size, s):
+    """Logistic regression by Adagrad, dense and row by row, with the same batches."""
+    x = np.zeros((len(rows), size))
+    for i, row in enumerate(rows):
+        for f, v in row:
+            x[i, f] += v
+    w, b, g2, h2 = np.zeros(size), 0.0, np.full(size, 1e-3), 1e-3
+    rng = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        order = rng.permutation(len(rows))
+        for k in range(0, len(order), 64):
+            at = order[k : k + 64]
+            e = np.array([1 / (1 + np.exp(-(x[i] @ w + b))) - y[i] for i in at])
+            seen = (x[at] != 0).any(axis=0)
+            g = np.where(seen, e @ x[at] / len(at) + s.l2 * w, 0)
+            g2 += g * g
+            w -= s.rate * g / np.sqrt(g2)
+            h2 += e.mean() ** 2
+            b -= s.rate * e.mean() / np.sqrt(h2)
+    return w, b
+
+
+def test_views_follow_plain_adagrad():
+    rng = np.random.default_rng(3)
+    rows = [[(int(f), float(v)) for f, v in zip(rng.choice(30, 6, replace=False), rng.uniform(0.1, 2, 6), strict=True)] for _ in range(150)]
+    y = rng.integers(0, 2, 150).astype(float)
+    s = cotrain.CoTraining(epochs=3)
+    bounds = np.arange(0, 901, 6)
+    view = cotrain.View(bounds, np.array([f for r in rows for f, _ in r]), np.array([v for r in rows for _, v in r]), 30)
+    view.fit(np.arange(150), y, s)
+    w, b = plain_view(rows, y, 30, s)
+    assert np.allclose(view.w[:-1], w) and view.w[-1] == pytest.approx(b)
+    assert np.allclose(view.logits(np.array([5, 2])), [sum(w[f] * v for f, v in rows[i]) + b for i in (5, 2)])
+
+
+def test_calibration_is_the_optimum():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
+    c = cotrain._platt(x, y)
+    loss = lambda c: -np.sum(y * (z := np.column_stack([x, np.ones(300)]) @ c) - np.logaddexp(0, z)) + 0.5e-2 * c @ c
+    assert all(loss(c) <= loss(c + d) + 1e-9 for d in np.concatenate([np.eye(3), -np.eye(3)]) * 1e-3)
+
+
+def test_each_view_teaches_the_other_what_it_is_surest_of(spark, docs, mixed_quality, monkeypatch):
+    """One round by hand: the first models' logits, the surest of each class, and who is taught."""
+    df = docs([(i, t, "en", f"s{i % 3}") for i, t, _ in mixed_quality])
+    labels = spark.createDataFrame([(i, int(g)) for i, _, g in mixed_quality if i % 4 == 0], "doc_id long, quality int")
+    models, told, real = [], [], cotrain._train
+
+    def spy(s, taught):
+        told.append({k: list(v) for k, v in taught.items()})
+        return real(s, taught)
+
+    fit = cotrain.fit_in_one_task
+    monkeypatch.setattr(cotrain, "_train", spy)
+    monkeypatch.setattr(cotrain, "fit_in_one_task", lambda *a: models.append(fit(*a)) or models[-1])
+    cotrain.quality(df, labels, max_taught=10, settings=cotrain.CoTraining(rounds=1, epochs=3)).count()
+    assert len(models) == 2 and told[0] == {} and 0 < len(told[1]) <= 22  # a class each rounds up
+    m = dict(np.load(io.BytesIO(models[0])))
+    pool = [(i, t) for i, t, _ in mixed_quality if i % 4 and fold(i, 5) != 0]
+    rows = df.where(F.col("doc_id").isin([i for i, _ in pool])).withColumn("key", F.xxhash64("doc_id", "text")).toPandas().sort_values("key")
+    part = pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in ("text", "lang", "source", "n_chars")], names=["text", "lang", "source", "n_chars"])
+    z, keys, least = cotrain._views(m, part), rows["key"].to_list(), np.log(0.95 / 0.05)
+    want = {}
+    for k in (0, 1):
+        for label, share in ((1.0, m["rate"]), (0.0, 1 - m["rate"])):
+            sign = 1 if label else -1
+            order = sorted((-sign * z[k][i], keys[i]) for i in range(len(keys)) if sign * z[k][i] >= least)
+            for _, key in order[: int(np.ceil(float(share) * min(0.1 * len(pool), 10)))]:
+                want.setdefault(key, [np.nan, np.nan])[1 - k] = label
+    same = lambda d: {k: [str(x) for x in v] for k, v in d.items()}
+    assert same(told[1]) == same(want)
