@@ -57,8 +57,8 @@ def child_similarity(parents: DataFrame, units: DataFrame) -> DataFrame:
     return parents.select("lp", "rp").distinct().join(best, ["lp", "rp"], "left").fillna(0.0, ["similarity"])
 
 
-def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame | None = None, depth: int = 1, kernel: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
-    """Pairs of units of one type whose weighted similarity reaches its threshold.
+def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame | None = None, depth: int = 1, kernel: Callable[..., DataFrame] = similar_pairs, types: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """Pairs of units of one type, one of ``types``, whose weighted similarity reaches its threshold.
 
     ``units`` as UNIT_DDL -> (left_id, right_id, unit_type, self_similarity,
     similarity), left_id < right_id. A pair of a type needs a vector on both
@@ -72,7 +72,7 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     t = Thresholds.of(threshold)
     limit = {"class": t.klass, "function": t.function, "block": t.block}
     known = with_parents(units, depth)
-    found = kernel(units, {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in WEIGHTS}, dirty)
+    found = kernel(units.where(F.col("unit_type").isin(*types)), {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in types}, dirty)
     side = lambda s: known.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("file_path", "start_line", "end_line", "function_id", "class_id")])
     pairs = found.withColumnRenamed("similarity", "self_similarity").join(side("left"), "left_id").join(side("right"), "right_id")
     pairs = pairs.where(~nested_blocks(F.col("unit_type"), F.col("left_file_path"), F.col("left_start_line"), F.col("left_end_line"), F.col("right_file_path"), F.col("right_start_line"), F.col("right_end_line")))
@@ -80,7 +80,7 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     pairs = materialize(pairs, "candidates")
     vectors = lambda s, of: units.select(F.col("id").alias(of), F.col("embedding").alias(f"{s}_v"))
     score, total = F.lit(0.0), F.lit(0.0)
-    for kind in ("function", "class"):
+    for kind in [k for k in ("function", "class") if any(k in WEIGHTS[t] for t in types if t != k)]:
         lp, rp = f"left_{kind}_id", f"right_{kind}_id"
         ends = pairs.where(F.col(lp).isNotNull() & F.col(rp).isNotNull() & F.col("unit_type").isin("block", "function")).select(F.col(lp).alias("lp"), F.col(rp).alias("rp")).distinct()
         with_v = ends.join(vectors("l", "lp"), "lp").join(vectors("r", "rp"), "rp")

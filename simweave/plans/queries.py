@@ -202,19 +202,19 @@ SELECT left_id, right_id, unit_type, round(self, 6) AS self_similarity, round(si
 @query(_WEIGHTED.format(kind="function", own=0.8, thr=0.3))
 def weighted_function_similarity(spark, d):
     u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "class")), "units")
-    return _rounded(pairs.weighted_pairs(u, 0.3).where(F.col("unit_type") == "function"), "self_similarity", "similarity")
+    return _rounded(pairs.weighted_pairs(u, 0.3, types=("function",)), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="block", own=0.7, thr=0.8))
 def weighted_block_similarity(spark, d):
     u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "block")), "units")
-    return _rounded(pairs.weighted_pairs(u, 0.8).where(F.col("unit_type") == "block"), "self_similarity", "similarity")
+    return _rounded(pairs.weighted_pairs(u, 0.8, types=("block",)), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="class", own=1.0, thr=0.2))
 def weighted_class_similarity(spark, d):
     u = materialize(t.units(spark, d).where(F.col("unit_type") == "class"), "units")
-    return _rounded(pairs.weighted_pairs(u, 0.2), "self_similarity", "similarity")
+    return _rounded(pairs.weighted_pairs(u, 0.2, types=("class",)), "self_similarity", "similarity")
 
 
 @query(f"WITH {t.FUNCTIONS}, {t.BLOCKS} SELECT l.id AS left_id, r.id AS right_id FROM blocks l JOIN blocks r ON l.file_path = r.file_path AND l.id < r.id WHERE NOT ((l.start_line <= r.start_line AND l.end_line >= r.end_line) OR (r.start_line <= l.start_line AND r.end_line >= l.end_line))")
