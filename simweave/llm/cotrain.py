@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simweave.llm import textkit as tk
@@ -240,6 +240,15 @@ def _sure(model, least: float):
     return run
 
 
+def _keys(spark: SparkSession, keys: list[int]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64())}))
+
+
+def _without(rows: DataFrame, keys: list[int]) -> DataFrame:
+    """Rows of none of the taught keys: at most 2 * max_taught a round."""
+    return rows.join(F.broadcast(_keys(rows.sparkSession, keys)), "key", "left_anti") if keys else rows
+
+
 def _fit(docs: DataFrame, told: DataFrame, pool: DataFrame, held_out: Column, max_labelled: int, max_taught: int, max_bytes: int, s: CoTraining) -> bytes:
     """The model from ``docs`` (doc_id, text, ...), the labels ``told`` (doc_id, y) and the unlabelled ``pool`` (doc_id)."""
     spark = docs.sparkSession
@@ -267,17 +276,19 @@ def _fit(docs: DataFrame, told: DataFrame, pool: DataFrame, held_out: Column, ma
         mine = near(keyed.where(~held_out & (F.octet_length("text") <= max_bytes // 64)), pool, "doc_id")
         sure = mine.mapInArrow(tk.tidy(_sure(seen, least)), f"doc_id {kind}, key long, z0 double, z1 double").join(pool, "doc_id", "left_semi")
         sure = materialize(sure.select("key", "z0", "z1").dropDuplicates(["key"]), "sure")
-        known, before = set(taught), {k: [x for x, t in taught.items() if not np.isnan(t[k])] for k in (0, 1)}
+        known = set(taught)
         for k in (0, 1):  # view k teaches view 1 - k
+            fresh = _without(sure, [x for x, t in taught.items() if not np.isnan(t[1 - k])])
             for label, part in ((1.0, rate), (0.0, 1 - rate)):
                 z = F.col(f"z{k}") * (1 if label else -1)
-                best = sure.where((z >= least) & ~F.col("key").isin(before[1 - k])).orderBy(z.desc(), "key").limit(int(np.ceil(part * min(s.share * n_pool, max_taught))))
+                best = fresh.where(z >= least).orderBy(z.desc(), "key").limit(int(np.ceil(part * min(s.share * n_pool, max_taught))))
                 for r in best.select("key").collect():
                     taught.setdefault(r["key"], [np.nan, np.nan])[1 - k] = label
         discard(sure)
         new = sorted(set(taught) - known)
         if new:
-            found = keyed.where(F.col("key").isin(new)).withColumn("y", F.lit(None).cast("double"))
+            # bounded by 2 * max_taught
+            found = keyed.join(F.broadcast(_keys(spark, new)), "key").select(*keyed.columns).withColumn("y", F.lit(None).cast("double"))
             rows.append(materialize(one_each(found.mapInArrow(tk.tidy(_features), shape), "key").select(*rows[0].columns), "taught"))
         model = fitted()
         seen.destroy()
