@@ -168,6 +168,22 @@ def test_language_of_odd_rows(spark, odd):
     assert crf.identify(odd.limit(0), settings=fit).count() == 0
 
 
+def test_columns_with_clashing_names_are_ignored(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join(voice(rng, lang, 30)), lang, f"s{i % 3}") for i in range(90) for lang in [list(VOICES)[i % 3]]]
+    df = docs(rows)
+    names = ("key", "y", "letters", "size", "class", "share", "cut", "nth", "upto", "t", "r", "feats", "bucket", "near", "row", "slot", "held_out", "score", "z0")
+    more = df.selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 1)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    plain = lambda x: sorted(map(tuple, x.collect()))
+    fit = crf.CrfFit(steps=10)
+    assert plain(crf.identify(more, settings=fit)) == plain(crf.identify(df, settings=fit))
+    assert plain(ftrl.toxicity(more, labels.withColumn("y", F.lit(9)))) == plain(ftrl.toxicity(df, labels))
+    short = cotrain.CoTraining(rounds=1, epochs=2)
+    assert plain(cotrain.quality(more, labels.withColumn("y", F.lit(9)), settings=short)) == plain(cotrain.quality(df, labels, settings=short))
+    assert cotrain.kept(more, labels, settings=short).columns == more.columns
+
+
 def test_posteriors_equal_plain_forward_backward():
     rng = np.random.default_rng(0)
     off = np.array([0, 0, 1, 2, 130, 194, 300])
