@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -81,7 +82,7 @@ def service(source: str) -> str | None:
 
 
 def vectorizer(source: str) -> Callable[[Column], Column]:
-    """The function for a source: a registered name, or the address of a service."""
+    """The function for a source: a registered name, or the address of a service, which must answer now rather than fail in every task."""
     if not source:
         raise ValueError("no embedding source is set")
     if source in VECTORIZERS:
@@ -89,6 +90,12 @@ def vectorizer(source: str) -> Callable[[Column], Column]:
     base = service(source)
     if base is None:
         raise ValueError(f"unknown embedding source {source!r}: name a service's address, or register a function of a column in VECTORIZERS")
+    try:
+        urllib.request.urlopen(base, timeout=5).close()
+    except urllib.error.HTTPError:
+        pass  # it is there
+    except (OSError, ValueError) as e:
+        raise ValueError(f"no service answers at {base}: {e}") from e
     return service_vectors(base)
 
 

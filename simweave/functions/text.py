@@ -7,20 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Grades by the score they end below: fixed values.
 GRADES = [(5.0, "Excellent"), (15.0, "Good"), (30.0, "Fair"), (50.0, "Poor")]
 WORST_GRADE = "Critical"
+#: Patterns of comments, white space, the first parentheses and accessors: fixed values.
+BLOCK_COMMENT, LINE_COMMENT, WHITE_SPACE = r"(?s)/\*.*?\*/", r"//[^\r\n]*", r"\s+"
+FIRST_PARENTHESES = r"(?s)^[^{]*?\(([^)]*)\)"
+GETTER, SETTER = "^(get|is)[A-Z]", "^set[A-Z]"
 
 
 def normalize_code(code: Column) -> Column:
     """Code without comments and white space."""
-    bare = F.regexp_replace(code, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"//[^\r\n]*", ""), r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(code, BLOCK_COMMENT, ""), LINE_COMMENT, ""), WHITE_SPACE, "")
 
 
 def arity(code: Column) -> Column:
     """Number of comma-separated names in the first parentheses before any brace; 0 without."""
-    inside = F.regexp_extract(code, r"(?s)^[^{]*?\(([^)]*)\)", 1)
-    return F.size(F.filter(F.split(inside, ","), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != ""))
+    inside = F.regexp_extract(code, FIRST_PARENTHESES, 1)
+    return F.size(F.filter(F.split(inside, ","), lambda p: F.trim(F.regexp_replace(p, WHITE_SPACE, " ")) != ""))
 
 
 def supported(path: Column, extensions: tuple[str, ...] = (".java",)) -> Column:
@@ -37,7 +41,7 @@ def simple_name(name: Column) -> Column:
 def trivial_accessor(name: Column, parameters: Column) -> Column:
     """Getters and is-methods without parameters, setters with one at most."""
     last = simple_name(name)
-    return (last.rlike("^(get|is)[A-Z]") & (parameters == 0)) | (last.rlike("^set[A-Z]") & (parameters <= 1))
+    return (last.rlike(GETTER) & (parameters == 0)) | (last.rlike(SETTER) & (parameters <= 1))
 
 
 def grade(score: Column) -> Column:
@@ -59,8 +63,21 @@ def snippet(code: Column, lines: int = 15) -> Column:
     return F.concat(F.array_join(F.slice(parts, 1, lines), "\n"), F.when(more > 0, F.concat(F.lit("\n... ("), more.cast("string"), F.lit(" more lines)"))).otherwise(F.lit("")))
 
 
+def _alternatives(glob: str, i: int) -> tuple[list[str], int] | None:
+    """What the brace at ``i`` offers, and the place after its end; None if it is not closed. Braces may hold braces."""
+    parts, depth, at = [], 0, i + 1
+    for j in range(i, len(glob)):
+        depth += (glob[j] == "{") - (glob[j] == "}")
+        if depth == 0 or (depth == 1 and glob[j] == ","):
+            parts.append(glob[at:j])
+            at = j + 1
+        if depth == 0:
+            return parts, at
+    return None
+
+
 def glob_regex(glob: str) -> str:
-    """A path glob as an anchored regular expression: ``**`` crosses slashes, ``*`` and ``?`` do not, ``[...]`` and ``{a,b}`` as usual; dot files match."""
+    """A path glob as an anchored regular expression: ``**`` crosses slashes, ``*`` and ``?`` do not, ``[...]`` and ``{a,{b,c}}`` as usual; dot files match."""
     out, i = "", 0
     while i < len(glob):
         c = glob[i]
@@ -78,8 +95,8 @@ def glob_regex(glob: str) -> str:
             inner = glob[i + 1 : j]
             negated = inner[0] in "!^"
             out, i = out + "[" + ("^" if negated else "") + re.sub(r"([\\\[&])", r"\\\1", inner[negated:]) + "]", j + 1
-        elif c == "{" and (j := glob.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(glob_regex(p)[1:-1] for p in glob[i + 1 : j].split(",")) + ")", j + 1
+        elif c == "{" and (found := _alternatives(glob, i)):
+            out, i = out + "(?:" + "|".join(glob_regex(p)[1:-1] for p in found[0]) + ")", found[1]
         else:
             out, i = out + re.sub(r"([^\w/ -])", r"\\\1", c), i + 1
     return f"^{out}$"

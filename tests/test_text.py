@@ -34,7 +34,7 @@ def test_ids(spark, kind, name, path, want):
     assert one(spark, labels.unit_id(F.lit(kind), F.lit(name), F.lit(path), F.lit(1), F.lit(2))) == want
 
 
-@pytest.mark.parametrize(("glob", "path", "hit"), [("**/test/**", "a/test/b.java", True), ("**/test/**", "test/b", True), ("**/test/**", "a/testing/b", False), ("src/*.java", "src/a.java", True), ("src/*.java", "src/x/a.java", False), ("src/**", "src/.h/a", True), ("a?c", "abc", True), ("{a,b*}.x", "bcd.x", True), ("[!a]x", "bx", True), ("a.b", "axb", False)])
+@pytest.mark.parametrize(("glob", "path", "hit"), [("**/test/**", "a/test/b.java", True), ("**/test/**", "test/b", True), ("**/test/**", "a/testing/b", False), ("src/*.java", "src/a.java", True), ("src/*.java", "src/x/a.java", False), ("src/**", "src/.h/a", True), ("a?c", "abc", True), ("{a,b*}.x", "bcd.x", True), ("[!a]x", "bx", True), ("a.b", "axb", False), ("src/{a,{b,c*}/d}.java", "src/cc/d.java", True), ("{a,{b,c}}x", "cx", True), ("{a,{b,c}}x", "ax}", False), ("{a", "{a", True)])
 def test_globs(spark, glob, path, hit):
     assert one(spark, text.matches_glob(F.lit(path), [glob])) is hit
 
