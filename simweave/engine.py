@@ -68,7 +68,7 @@ class Engine:
         """Index everything anew."""
         cfg.ensure(self.tree)
         c = self.config()
-        files = self._files(c)
+        files = materialize(self._files(c), "files")  # each file is opened once
         units = self._extract(files, c)
         if skip_embeddings:
             units = units.withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -128,7 +128,8 @@ class Engine:
 
     def _prompt(self, found: DataFrame, units: DataFrame) -> DataFrame:
         """Adds ``prompt``: both units and the files they are in (missing: empty)."""
-        texts = self._files(self.config()).select("file_path", "text")
+        named = found.select(F.col("left_file").alias("file_path")).unionAll(found.select(F.col("right_file").alias("file_path"))).distinct()
+        texts = contents(self.spark, self.tree, materialize(self.store.read("files").join(named, "file_path", "left_semi").select("file_path", "mtime"), "named")).select("file_path", "text")
         code = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("code").alias(f"{s}_code"))
         text = lambda s: texts.select(F.col("file_path").alias(f"{s}_file"), F.col("text").alias(f"{s}_text"))
         full = found.join(code("left"), "left_id").join(code("right"), "right_id").join(text("left"), "left_file", "left").join(text("right"), "right_file", "left")

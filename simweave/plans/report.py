@@ -81,7 +81,8 @@ def as_text(report: dict) -> str:
             m = p[side]
             out += [f"  {m['file_path']}:{m['start_line']}-{m['end_line']} {m['name']}", _head(m["code"])]
         out.append("")
-    return "\n".join(out)
+    more = report.get("pairs", 0) - len(report["duplicates"])
+    return "\n".join(out + [f"... and {more:,} more pairs"] * (more > 0))
 
 
 def as_html(report: dict, shown: int = SHOWN) -> str:
