@@ -130,17 +130,7 @@ class Engine:
         """Adds ``prompt``: both units and the files they are in (missing: empty)."""
         named = found.select(F.col("left_file").alias("file_path")).unionAll(found.select(F.col("right_file").alias("file_path"))).distinct()
         texts = contents(self.spark, self.tree, materialize(self.store.read("files").join(named, "file_path", "left_semi").select("file_path", "mtime"), "named")).select("file_path", "text")
-        code = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("code").alias(f"{s}_code"))
-        text = lambda s: texts.select(F.col("file_path").alias(f"{s}_file"), F.col("text").alias(f"{s}_text"))
-        full = found.join(code("left"), "left_id").join(code("right"), "right_id").join(text("left"), "left_file", "left").join(text("right"), "right_file", "left")
-        parts = {"type": "unit_type", "similarity": "similarity", "left_name": "left_name", "left_path": "left_file", "left_code": "left_code", "right_name": "right_name", "right_path": "right_file", "right_code": "right_code", "left_file": "left_text", "right_file": "right_text"}
-        pieces: list[Column] = []
-        rest = verdicts.PROMPT
-        while "{" in rest:
-            before, _, tail = rest.partition("{")
-            name, _, rest = tail.partition("}")
-            pieces += [F.lit(before), F.coalesce(F.col(parts[name]).cast("string"), F.lit(""))]
-        return full.withColumn("prompt", F.concat(*pieces, F.lit(rest))).select(*found.columns, "prompt")
+        return verdicts.prompted(found, units, texts)
 
     def report(self, full: bool = False, at: datetime | None = None, judge: bool = True) -> dict:
         """Update, find pairs, filter them (without ``judge`` by exclusions only), score, save; returns the report with its best pairs.
@@ -228,7 +218,7 @@ class Engine:
 
     def exclude(self, short: str) -> str | None:
         """Exclude the pair of the latest report with this short id; returns its key, null if there is none."""
-        row = self.findings().where(F.col("short_id") == short).select("exclusion").first()
+        row = report.by_short_id(self.findings(), short).select("exclusion").first()
         key = row and row["exclusion"]
         if key:
             c = self.config()

@@ -13,6 +13,21 @@ from simweave.scratch import materialize
 PROMPT = "Two units of {type} were found alike ({similarity}).\n\nFirst, {left_name} in {left_path}:\n{left_code}\n\nSecond, {right_name} in {right_path}:\n{right_code}\n\nFiles:\n{left_file}\n---\n{right_file}\n\nShould they be merged into one? Answer yes or no."
 
 
+def prompted(pairs: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``prompt``: both units (id, name, code) and the texts (file_path, text) of the files they are in; a missing file is empty."""
+    code = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("code").alias(f"{s}_code"))
+    text = lambda s: texts.select(F.col("file_path").alias(f"{s}_file"), F.col("text").alias(f"{s}_text"))
+    full = pairs.join(code("left"), "left_id").join(code("right"), "right_id").join(text("left"), "left_file", "left").join(text("right"), "right_file", "left")
+    parts = {"type": "unit_type", "similarity": "similarity", "left_name": "left_name", "left_path": "left_file", "left_code": "left_code", "right_name": "right_name", "right_path": "right_file", "right_code": "right_code", "left_file": "left_text", "right_file": "right_text"}
+    pieces: list[Column] = []
+    rest = PROMPT
+    while "{" in rest:
+        before, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        pieces += [F.lit(before), F.coalesce(F.col(parts[name]).cast("string"), F.lit(""))]
+    return full.withColumn("prompt", F.concat(*pieces, F.lit(rest))).select(*pairs.columns, "prompt")
+
+
 def parse_answer(raw: Column) -> Column:
     """yes for an answer that begins so, no for another; a missing answer (an error) is yes."""
     return F.when(raw.isNull() | F.startswith(F.lower(raw), F.lit("yes")), "yes").otherwise("no")

@@ -423,7 +423,10 @@ def java_extract_units(spark, d):
     """Units of Java classes written from the part table: a method a part, brands as classes."""
     from simweave.sources.files import extract_units
 
+    return extract_units(java_files(spark, d), context=2048).drop("embedding")
+
+
+def java_files(spark, d):
     body = F.expr(_BODY.replace("chr(10)", "'\\n'"))
     files = t.table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("m"))
-    files = files.select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(".java")).alias("file_path"), F.concat(F.lit("class "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(" {\n"), F.col("m"), F.lit("}\n")).alias("text"))
-    return extract_units(files, context=2048).drop("embedding")
+    return files.select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(".java")).alias("file_path"), F.concat(F.lit("class "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(" {\n"), F.col("m"), F.lit("}\n")).alias("text"))

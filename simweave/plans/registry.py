@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from simweave.plans import queries as q
+from simweave.plans import store_queries  # noqa: F401  registers its queries
 
 FLAGSHIP = "cosine_pairs_by_type"
 

@@ -36,6 +36,17 @@ def latest(reports: DataFrame) -> DataFrame:
     return reports.orderBy(F.desc("generated_at"), F.desc("run_id")).limit(1)
 
 
+def by_short_id(pairs: DataFrame, short: str) -> DataFrame:
+    """The pair (short_id, ...) of that short id."""
+    return pairs.where(F.col("short_id") == short)
+
+
+def summary_rows(pairs: DataFrame) -> DataFrame:
+    """(id, similarity, lines) for display: per cent with one digit, lines of both sides with separators."""
+    lines = lambda s: F.col(f"{s}.end_line") - F.col(f"{s}.start_line") + 1
+    return pairs.select("id", F.concat(F.format_number(F.col("similarity") * 100, 1), F.lit("%")).alias("similarity"), F.format_number(lines("left") + lines("right"), 0).alias("lines"))
+
+
 def file_name(at: datetime) -> str:
     stamp = at.astimezone(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
     return "dupes-" + stamp.replace(":", "-").replace(".", "-") + ".json"
