@@ -26,6 +26,8 @@ from simweave.scratch import materialize, scratch_path, small_batches
 FINE = 64
 #: Bits of the ranges of an old shard's order.
 RANGES = 12
+#: Bytes of text that a task writes.
+TASK_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -187,7 +189,8 @@ def reshard(docs: DataFrame, new_shards: int = 24, old_shards: int = 16, old: F.
         return out
     # rows with equal doc_id and text may swap places between the two orderings
     whole = slotted(lined(docs.select(*columns, F.struct("*").alias("whole"))).where(F.col("shard").isin(names)))
-    whole = whole.select(F.col("whole").alias("row"), "slot", "old_shard", "shard")
+    # every task writes a file for each shard that it holds rows of: fewer and larger tasks write fewer files
+    whole = whole.select(F.col("whole").alias("row"), "slot", "old_shard", "shard").coalesce(max(1, -(-total // TASK_BYTES)))
     with small_batches(spark):
         whole.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     files = spark.read.schema(whole.schema).parquet(path)
