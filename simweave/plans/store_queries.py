@@ -115,7 +115,7 @@ def pair_members(spark, d):
     return m.select(F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id"), F.col("left.name").alias("left_name"), F.md5("left.code").alias("left_code"), F.col("right.start_line").alias("right_start"), F.col("right.end_line").alias("right_end"), "similarity")
 
 
-@query("SELECT p_partkey, least(1.0, greatest(0.0, p_size / 40.0 - 0.1)) AS function, least(1.0, greatest(0.0, p_size / 40.0 - 0.1)) AS block FROM part".replace("p_size / 40.0 - 0.1", "(p_size - 4) / 40"))
+@query("WITH f AS (SELECT p_partkey, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (p_size - 4) / 40)) AS function FROM part) SELECT p_partkey, function, least(1.0::DOUBLE, greatest(0.0::DOUBLE, function + 0.88::DOUBLE - 0.88::DOUBLE)) AS block FROM f")
 def thresholds_by_type(spark, d):
     """Configured thresholds clamped, blocks at their distance from functions."""
     rows = t.table(spark, d, "part").select("p_partkey", "p_size")
