@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from simweave.engine import Engine
 from simweave.plans import report
+from simweave.sources.fs import write_text
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -24,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "dupes":
             s.add_argument("--json", action="store_true")
             s.add_argument("--html")
+            s.add_argument("--ui", action="store_true", help="write the page into the store and print where it is")
             s.add_argument("--full", action="store_true")
             s.add_argument("--no-llm", action="store_true")
             s.add_argument("--save", metavar="FOLDER")
@@ -39,9 +41,10 @@ def main(argv: list[str] | None = None) -> int:
         doc = e.report(full=a.full, judge=not a.no_llm)
         if a.save:
             e.save(a.save)
-        if a.html:
-            with open(a.html, "w", encoding="utf-8") as f:
-                f.write(report.as_html(doc))
+        page = a.html or (f"{e.store.root}/report.html" if a.ui else None)
+        if page:
+            write_text(page, report.as_html(doc))
+            print(page)
         else:
             print(report.as_json(doc) if a.json else report.as_text(doc))
     elif a.verb == "exclude":

@@ -255,6 +255,9 @@ def test_command_line(spark, tree, capsys):
     assert main(["dupes", str(tree), "--json"]) == 0
     assert '"duplicates"' in capsys.readouterr().out
     assert main(["dupes", str(tree), "--html", str(tree / "r.html")]) == 0 and (tree / "r.html").read_text().startswith("<!doctype")
+    assert main(["dupes", str(tree), "--ui", "--no-llm", "--save", str(tree / "saved")]) == 0
+    shown = capsys.readouterr().out.strip().splitlines()[-1]
+    assert shown.endswith("report.html") and open(shown).read().startswith("<!doctype") and list((tree / "saved").glob("dupes-*.json"))
     assert main(["exclude", "zzz", str(tree)]) == 1
     assert main(["clean", str(tree)]) == 0
     assert main(["update", str(tree)]) == 0
