@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simweave.functions.text import grade
 from simweave.operators.units import type_counts
+from simweave.scratch import materialize
 
 
 def duplication_score(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def findings(pairs: DataFrame) -> DataFrame:
 
 def findings_per_file(pairs: DataFrame, shown: int = 100) -> DataFrame:
     """(file_path, findings, shown): the number of a file's findings and its best ``shown``, for display; :func:`findings` has them all."""
-    rows = findings(pairs)
+    rows = materialize(findings(pairs), "findings")  # read twice
     best = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("similarity"), "pair_id", "other_path", "start_line"))
     # the ranks are cut before the shuffle, so a list holds ``shown`` at most
     top = rows.withColumn("rank", best).where(F.col("rank") <= shown)

@@ -84,11 +84,12 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.3) ->
     from simweave.operators.similarity import similar_pairs
 
     f = functions(spark, sf_dir)
-    # read by several branches of a query: the products are formed once
-    pairs = materialize(similar_pairs(f, threshold), "pairs")
+    pairs = similar_pairs(f, threshold)
     side = lambda s: f.select(F.col("id").alias(f"{s}_id"), F.col("doc_id").alias(f"{s}_doc"), F.col("file_path").alias(f"{s}_file"), F.col("start_line").alias(f"{s}_start"), F.col("end_line").alias(f"{s}_end"), unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.lit("")).alias(f"{s}_label"))
     out = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    return out.withColumn("pair_key", pair_key(F.col("unit_type"), F.col("left_label"), F.col("right_label"))).withColumn("similarity", F.round("similarity", 6))
+    out = out.withColumn("pair_key", pair_key(F.col("unit_type"), F.col("left_label"), F.col("right_label"))).withColumn("similarity", F.round("similarity", 6))
+    # read by several branches of a query: formed once
+    return materialize(out, "pairs")
 
 
 def verdicts(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
