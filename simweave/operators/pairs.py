@@ -102,3 +102,11 @@ def with_members(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Pairs as report rows: id, similarity and both sides as structs without vectors."""
     member = lambda s: units.select(F.col("id").alias(f"{s}_id"), F.struct("id", "name", "file_path", "start_line", "end_line", "code", "unit_type").alias(s))
     return pairs.join(member("left"), "left_id").join(member("right"), "right_id").select(id_key(F.col("left_id"), F.col("right_id")).alias("id"), "similarity", "unit_type", "left", "right")
+
+
+def similar_members(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None) -> DataFrame:
+    """The same rows for the pairs of :func:`similar_pairs`: members leave with their pair, none is looked up. ``code`` may be anything short that stands for it."""
+    fields = ("id", "name", "file_path", "start_line", "end_line", "code", "unit_type")
+    found = similar_pairs(units, threshold, dirty, carry=fields[1:-1])
+    member = lambda s: F.struct(*[F.col("unit_type" if c == "unit_type" else f"{s}_{c}").alias(c) for c in fields]).alias(s)
+    return found.select(id_key(F.col("left_id"), F.col("right_id")).alias("id"), "similarity", "unit_type", member("left"), member("right"))

@@ -2,17 +2,24 @@
 
 The default plan deals the vectors of a type into tiles, gives every pair of
 tiles to one task and multiplies them there as matrices; only pairs that reach
-the threshold leave the task. Tiles, not types, are the unit of work, so a type
-with most of the units is still many tasks. ``cosine`` is the same measure as a
+the threshold leave the task, with what the caller wants of both sides. Tiles,
+not types, are the unit of work, so a type with most of the units is still many
+tasks; they lie in the shared folder once. ``cosine`` is the same measure as a
 column expression, for joins that already have few candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from simweave.operators.tiles import ROWS, meet
 
 TILE = 4096
 #: Rows of a tile that are multiplied at once.
@@ -38,7 +45,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
-def _unit_rows(column: pa.ListArray) -> np.ndarray:
+def unit_rows(column: pa.ListArray) -> np.ndarray:
     """Rows of length one, padded with zeros; null components are 0."""
     off = column.offsets.to_numpy().astype(np.int64)
     flat = column.values.slice(off[0], off[-1] - off[0]).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
@@ -50,57 +57,77 @@ def _unit_rows(column: pa.ListArray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-_PAIRS = pa.schema([("left_id", pa.string()), ("right_id", pa.string()), ("unit_type", pa.string()), ("similarity", pa.float64())])
+#: Makes a batch of pairs: the rows of both tiles, the places of the left and of the right sides in them, their type, similarities.
+Form = Callable[[pa.Table, np.ndarray, np.ndarray, str, np.ndarray], pa.RecordBatch]
+
+
+def _sides(carry: tuple[str, ...]) -> Form:
+    def form(rows: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, s: np.ndarray) -> pa.RecordBatch:
+        of = lambda c, at: rows.column(c).chunk(0).take(pa.array(at))
+        both = {f"{side}_{c}": of(c, at) for c in carry for side, at in (("left", left), ("right", right))}
+        return pa.RecordBatch.from_pydict({"left_id": of("id", left), "right_id": of("id", right), "unit_type": pa.repeat(pa.scalar(kind, pa.string()), len(left)), "similarity": pa.array(s)} | both)
+
+    return form
+
+
+def stacked(a: pa.Table, b: pa.Table | None) -> tuple[pa.Table, np.ndarray, int]:
+    """The rows of both tiles in one table, the rank of each row's id, and where the second tile begins (0: there is one)."""
+    rows = a if b is None else pa.concat_tables([a, b]).combine_chunks()
+    rank = pc.rank(rows.column("id"), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    return rows, rank, 0 if b is None else a.num_rows
 
 
-def _multiply(thresholds: float | dict[str, float]):
-    def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _PAIRS.empty_table()
-        side = table.column("side").to_numpy()
-        kind = table.column("unit_type")[0].as_py()
+def in_order(rank: np.ndarray, i: np.ndarray, j: np.ndarray, one_tile: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left sides, right sides, and which pairs count: both orders of a pair are found within one tile, one across tiles."""
+    x, y = rank[i], rank[j]
+    return (i, j, x < y) if one_tile else (np.where(x > y, j, i), np.where(x > y, i, j), x != y)
+
+
+def _multiply(thresholds: float | dict[str, float], form: Form):
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        rows, rank, second = stacked(a, b)
+        kind = rows.column("unit_type")[0].as_py()
         threshold = thresholds[kind] if isinstance(thresholds, dict) else thresholds
-        ids = np.array(table.column("id").to_pylist(), dtype=object)
-        touched = table.column("dirty").to_numpy()
-        x = _unit_rows(table.column("embedding").combine_chunks())
-        a = np.flatnonzero(side == 0)
-        b = a if not (side == 1).any() else np.flatnonzero(side == 1)
-        out: list[pa.RecordBatch] = []
-        for k in range(0, len(a), SLICE):
-            rows = a[k : k + SLICE]
-            s = x[rows] @ x[b].T
+        touched = rows.column("dirty").to_numpy()
+        x = unit_rows(rows.column("embedding").combine_chunks())
+        for k in range(0, a.num_rows, SLICE):
+            s = x[k : min(k + SLICE, a.num_rows)] @ x[second:].T
             i, j = np.nonzero(s >= threshold)
-            keep = (ids[rows[i]] < ids[b[j]]) if b is a else np.ones(len(i), dtype=bool)
-            keep &= touched[rows[i]] | touched[b[j]]
-            left, right = ids[rows[i[keep]]], ids[b[j[keep]]]
-            swap = left > right
-            # as Arrow strings at once: a slice of a group of equal vectors is many pairs
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.where(swap, right, left), type=pa.string()), pa.array(np.where(swap, left, right), type=pa.string()), pa.repeat(pa.scalar(kind, pa.string()), len(left)), pa.array(s[i[keep], j[keep]])], schema=_PAIRS))
-        return pa.Table.from_batches(out, schema=_PAIRS)
+            left, right, keep = in_order(rank, i + k, j + second, b is None)
+            keep &= touched[left] | touched[right]
+            left, right, near = left[keep], right[keep], s[i[keep], j[keep]]
+            for n in range(0, len(left), ROWS):
+                part = slice(n, n + ROWS)
+                yield form(rows, left[part], right[part], kind, near[part])
 
     return run
 
 
-def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+def marked(units: DataFrame, dirty: DataFrame | None, *columns: str) -> DataFrame:
+    """The units with a vector, and whether they are among ``dirty`` (none given: all are)."""
+    rows = units.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0).select("id", "unit_type", "embedding", *columns)
+    if dirty is None:
+        return rows.withColumn("dirty", F.lit(True))
+    return rows.join(dirty.select("id").distinct().withColumn("dirty", F.lit(True)), "id", "left").fillna(False, ["dirty"])
+
+
+def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = TILE, carry: tuple[str, ...] = (), form: Form | None = None, schema: str | None = None) -> DataFrame:
     """``units`` (id, unit_type, embedding) -> (left_id, right_id, unit_type, similarity) with left_id < right_id.
 
     The threshold is one for all or one for each type. Units without a vector
     take no part; ids are unique. With ``dirty`` (id),
     only pairs with a dirty side are formed, and tiles without any are not
     multiplied with each other. A vector of length zero has similarity 0.
+    Columns in ``carry`` leave with the pairs as left_ and right_, so that no
+    pair has to look up its sides; ``form`` makes something else of them, with
+    its own ``schema``.
     """
-    rows = units.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0).select("id", "unit_type", "embedding")
-    if dirty is None:
-        rows = rows.withColumn("dirty", F.lit(True))
-    else:
-        rows = rows.join(dirty.select("id").distinct().withColumn("dirty", F.lit(True)), "id", "left").fillna(False, ["dirty"])
-    # dirty and clean units lie in different tiles
-    sizes = rows.groupBy("unit_type", "dirty").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    grid = sizes.groupBy("unit_type").agg(F.coalesce(F.max(F.when(F.col("dirty"), F.col("tiles"))), F.lit(0)).alias("nd"), F.coalesce(F.max(F.when(~F.col("dirty"), F.col("tiles"))), F.lit(0)).alias("nc"))
-    placed = rows.join(F.broadcast(grid), "unit_type").withColumn("tile", F.when(F.col("dirty"), F.pmod(F.xxhash64("id"), F.col("nd"))).otherwise(F.col("nd") + F.pmod(F.xxhash64("id"), F.greatest("nc", F.lit(1)))).cast("int"))
-    others = F.when(F.col("dirty"), F.sequence(F.lit(0), F.col("nd") + F.col("nc") - 1)).when(F.col("nd") > 0, F.sequence(F.lit(0), F.col("nd") - 1))
-    cells = placed.withColumn("other", F.explode(others)).select("unit_type", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "embedding", "dirty")
-    return cells.groupBy("unit_type", "ta", "tb").applyInArrow(_multiply(threshold), "left_id string, right_id string, unit_type string, similarity double")
+    rows = marked(units, dirty, *carry)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    found = StructType().add("left_id", "string").add("right_id", "string").add("unit_type", "string").add("similarity", "double")
+    for c in carry:
+        found = found.add(f"left_{c}", kinds[c]).add(f"right_{c}", kinds[c])
+    return meet(rows, F.col("id"), _multiply(threshold, form or _sides(carry)), schema or found, tile)
 
 
 def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = 512) -> DataFrame:

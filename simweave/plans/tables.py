@@ -83,10 +83,9 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.3) ->
     from simweave.functions.labels import pair_key, unit_label
     from simweave.operators.similarity import similar_pairs
 
-    f = functions(spark, sf_dir)
-    pairs = similar_pairs(f, threshold)
-    side = lambda s: f.select(F.col("id").alias(f"{s}_id"), F.col("doc_id").alias(f"{s}_doc"), F.col("file_path").alias(f"{s}_file"), F.col("start_line").alias(f"{s}_start"), F.col("end_line").alias(f"{s}_end"), unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.lit("")).alias(f"{s}_label"))
-    out = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    label = unit_label(F.col("unit_type"), F.col("name"), F.col("file_path"), F.lit(""))
+    f = functions(spark, sf_dir).select("id", "unit_type", "embedding", F.col("doc_id").alias("doc"), F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), label.alias("label"))
+    out = similar_pairs(f, threshold, carry=("doc", "file", "start", "end", "label"))
     out = out.withColumn("pair_key", pair_key(F.col("unit_type"), F.col("left_label"), F.col("right_label"))).withColumn("similarity", F.round("similarity", 6))
     # read by several branches of a query: formed once
     return materialize(out, "pairs")
