@@ -61,7 +61,7 @@ def unit_rows(column: pa.ListArray) -> np.ndarray:
 Form = Callable[[pa.Table, np.ndarray, np.ndarray, str, np.ndarray], pa.RecordBatch]
 
 
-def _sides(carry: tuple[str, ...]) -> Form:
+def sides(carry: tuple[str, ...]) -> Form:
     def form(rows: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, s: np.ndarray) -> pa.RecordBatch:
         of = lambda c, at: rows.column(c).chunk(0).take(pa.array(at))
         both = {f"{side}_{c}": of(c, at) for c in carry for side, at in (("left", left), ("right", right))}
@@ -111,7 +111,7 @@ def marked(units: DataFrame, dirty: DataFrame | None, *columns: str) -> DataFram
     return rows.join(dirty.select("id").distinct().withColumn("dirty", F.lit(True)), "id", "left").fillna(False, ["dirty"])
 
 
-def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = TILE, carry: tuple[str, ...] = (), form: Form | None = None, schema: str | None = None) -> DataFrame:
+def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = TILE, carry: tuple[str, ...] = (), form: Callable[[Form], Form] | None = None, adds: str | None = None, keep: tuple[str, ...] | None = None, size: Column | None = None) -> DataFrame:
     """``units`` (id, unit_type, embedding) -> (left_id, right_id, unit_type, similarity) with left_id < right_id.
 
     The threshold is one for all or one for each type. Units without a vector
@@ -119,15 +119,20 @@ def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty:
     only pairs with a dirty side are formed, and tiles without any are not
     multiplied with each other. A vector of length zero has similarity 0.
     Columns in ``carry`` leave with the pairs as left_ and right_, so that no
-    pair has to look up its sides; ``form`` makes something else of them, with
-    its own ``schema``.
+    pair has to look up its sides. ``form`` wraps what makes the batches, to add
+    the column ``adds`` (a string) from all carried ones while the pairs keep
+    only ``keep`` of them. ``size``: see :func:`meet`.
     """
     rows = marked(units, dirty, *carry)
+    kept = carry if keep is None else keep
     kinds = {f.name: f.dataType for f in rows.schema}
     found = StructType().add("left_id", "string").add("right_id", "string").add("unit_type", "string").add("similarity", "double")
-    for c in carry:
+    for c in kept:
         found = found.add(f"left_{c}", kinds[c]).add(f"right_{c}", kinds[c])
-    return meet(rows, F.col("id"), _multiply(threshold, form or _sides(carry)), schema or found, tile)
+    make = sides(kept)
+    if form is not None and adds is not None:
+        make, found = form(make), found.add(adds, "string")
+    return meet(rows, F.col("id"), _multiply(threshold, make), found, tile, size)
 
 
 def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = 512) -> DataFrame:

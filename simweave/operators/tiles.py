@@ -66,14 +66,16 @@ def _visit(root: str, work: Work):
     return run
 
 
-def meet(rows: DataFrame, by: Column, work: Work, schema: str | StructType, tile: int) -> DataFrame:
+def meet(rows: DataFrame, by: Column, work: Work, schema: str | StructType, tile: int, size: Column | None = None) -> DataFrame:
     """What ``work`` makes of all pairs of tiles of one type that hold a dirty row.
 
     ``rows`` (unit_type, dirty, ...) are dealt by the hash of ``by``; dirty and
     clean rows of a type lie in different tiles, types of one tile at most share
-    tiles. Rows without a type take no part.
+    tiles. Rows without a type take no part. A tile has rows of about ``tile``
+    in all, each of 1 or of ``size``.
     """
-    sizes = rows.where(F.col("unit_type").isNotNull()).groupBy("unit_type").agg(F.count_if("dirty").alias("d"), F.count_if(~F.col("dirty")).alias("c"))
+    size = F.lit(1) if size is None else size
+    sizes = rows.where(F.col("unit_type").isNotNull()).groupBy("unit_type").agg(F.sum(F.when(F.col("dirty"), size).otherwise(0)).alias("d"), F.sum(F.when(F.col("dirty"), 0).otherwise(size)).alias("c"))
     tiles = lambda n: F.ceil(F.col(n) / tile).cast("int")
     small = F.col("d") + F.col("c") <= tile
     sizes = sizes.where("d > 0").select("unit_type", "d", "c", tiles("d").alias("nd"), tiles("c").alias("nc"), small.alias("small"))

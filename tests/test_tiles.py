@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from simweave.operators import pairs, similarity
+from simweave.operators import pairs, similarity, verdicts
 from simweave.operators.units import UNIT_DDL
 from simweave.plans import registry
 
@@ -32,3 +32,19 @@ def test_members_leave_with_their_pairs(spark, sf_dir):
     six = lambda df: rows(df.select("id", F.round("similarity", 6), "unit_type", "left", "right"))
     assert six(pairs.similar_members(u, 0.4)) == six(plain) != []
     assert joins(registry.queries()["pair_members"](spark, sf_dir)) == 0
+
+
+def test_prompts_form_where_units_meet(spark, sf_dir):
+    u = units(spark, 60)
+    texts = spark.createDataFrame([(f"{i}.js", "é" * i) for i in range(5)], "file_path string, text string")
+    found = similarity.similar_pairs(u, 0.4)
+    side = lambda s: u.select(F.col("id").alias(f"{s}_id"), F.col("file_path").alias(f"{s}_file"))
+    pairs_of = found.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("similarity", F.format_string("%.6f", F.round("similarity", 6)))
+    want = {(r["left_id"], r["right_id"]): r["prompt"] for r in verdicts.prompted(pairs_of, u, texts).collect()}
+    got = verdicts.similar_prompts(u, texts, 0.4)
+    assert {(r["left_id"], r["right_id"]): r["prompt"] for r in got.collect()} == want
+    assert want
+    hashed = verdicts.similar_prompts(u, texts, 0.4, digest="md5")
+    assert rows(hashed.select("left_id", "prompt")) == rows(got.select("left_id", F.md5("prompt").alias("prompt")))
+    assert verdicts.six_places(0.3000005) == "0.300001" and verdicts.six_places(1 / 3) == "0.333333"
+    assert joins(registry.queries()["verdict_prompts"](spark, sf_dir)) == 0
