@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.functions.labels import id_key
-from simweave.operators.similarity import cosine, similar_pairs
+from simweave.operators.similarity import SLICE, cosine, in_order, marked, similar_pairs, stacked, unit_rows
+from simweave.operators.tiles import meet
 from simweave.operators.units import embedded, with_parents
 from simweave.scratch import materialize
 
@@ -17,6 +21,9 @@ from simweave.scratch import materialize
 WEIGHTS = {"class": {"self": 1.0}, "function": {"self": 0.8, "class": 0.2}, "block": {"self": 0.7, "function": 0.2, "class": 0.1}}
 #: Thresholds without configuration, by type.
 DEFAULT_THRESHOLDS = {"class": 0.88, "function": 0.88, "block": 0.88}
+#: Rows of a tile whose pairs are scored, and pairs scored at once.
+SCORED = 4096
+AT_ONCE = 8192
 
 
 @dataclass(frozen=True)
@@ -57,6 +64,57 @@ def child_similarity(parents: DataFrame, units: DataFrame) -> DataFrame:
     return parents.select("lp", "rp").distinct().join(best, ["lp", "rp"], "left").fillna(0.0, ["similarity"])
 
 
+def _score(limits: dict[str, float]):
+    """Pairs of two tiles by their weighted similarity: own vectors and those of ancestors side by side, so one product is the score."""
+
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        rows, rank, second = stacked(a, b)
+        kind = rows.column("unit_type")[0].as_py()
+        limit, own = limits[kind], WEIGHTS[kind]["self"]
+        of = lambda c: rows.column(c).combine_chunks()
+        # an ancestor without a vector has similarity 0
+        far = [(w, np.asarray(pc.is_valid(of(f"{k}_id"))), unit_rows(pc.fill_null(of(f"{k}_v"), []))) for k, w in WEIGHTS[kind].items() if k != "self"]
+        x, touched = unit_rows(of("embedding")), of("dirty").to_numpy(zero_copy_only=False)
+        path, start, end = of("file_path").dictionary_encode(null_encoding="encode").indices.to_numpy(), of("start_line").to_numpy(zero_copy_only=False), of("end_line").to_numpy(zero_copy_only=False)
+        groups = sum((has.astype(int) << n for n, (_, has, _) in enumerate(far)), np.zeros(len(x), dtype=int))
+        ours, theirs = np.arange(second or len(x)), np.arange(second, len(x))
+        for ga in np.unique(groups[ours]):
+            for gb in np.unique(groups[theirs]):
+                common = [(w, v) for n, (w, _, v) in enumerate(far) if (ga & gb) >> n & 1]
+                total = own + sum(w for w, _ in common)
+                both = np.hstack([np.sqrt(own) * x, *[np.sqrt(w) * v for w, v in common]])
+                left, right = ours[groups[ours] == ga], theirs[groups[theirs] == gb]
+                beside = both[right].T
+                for k in range(0, len(left), SLICE):
+                    i, j = np.nonzero(both[left[k : k + SLICE]] @ beside >= limit * total - 1e-9)
+                    l, r, keep = in_order(rank, left[i + k], right[j], b is None)
+                    keep &= touched[l] | touched[r]
+                    if kind == "block":
+                        keep &= ~((path[l] == path[r]) & ((start[l] <= start[r]) & (end[l] >= end[r]) | (start[r] <= start[l]) & (end[r] >= end[l])))
+                    l, r = l[keep], r[keep]
+                    for n in range(0, len(l), AT_ONCE):
+                        p, q = l[n : n + AT_ONCE], r[n : n + AT_ONCE]
+                        alone = np.einsum("ij,ij->i", x[p], x[q])
+                        s = (own * alone + sum(w * np.einsum("ij,ij->i", v[p], v[q]) for w, v in common)) / total if common else alone
+                        hit = s >= limit
+                        p, q = pa.array(p[hit]), pa.array(q[hit])
+                        yield pa.RecordBatch.from_arrays([of("id").take(p), of("id").take(q), pa.repeat(pa.scalar(kind, pa.string()), len(p)), pa.array(alone[hit]), pa.array(s[hit])], names=["left_id", "right_id", "unit_type", "self_similarity", "similarity"])
+
+    return run
+
+
+def _weighted_in_tiles(units: DataFrame, limits: dict[str, float], dirty: DataFrame | None) -> DataFrame:
+    """:func:`weighted_pairs` at depth 1: a unit takes its parent's vector along, so a pair is scored where it is found and only those that count leave."""
+    needed = units.select("id", "unit_type", "parent_id", "embedding", "file_path", "start_line", "end_line")
+    known = with_parents(needed.where(F.col("unit_type").isin(*limits)), of=needed)
+    above = needed.where(F.col("unit_type").isin("function", "class")).select(F.col("id").alias("_up"), F.col("embedding").cast("array<double>").alias("_v"))
+    known = known.join(above, F.coalesce("function_id", "class_id") == F.col("_up"), "left")
+    vector = lambda k: F.when(F.col(f"{k}_id").isNotNull(), F.col("_v")).alias(f"{k}_v")
+    known = known.select("id", "unit_type", "embedding", "file_path", "start_line", "end_line", "function_id", "class_id", vector("function"), vector("class"))
+    rows = marked(known, dirty, *[c for c in known.columns if c not in ("id", "unit_type", "embedding")])
+    return meet(rows, F.col("id"), _score(limits), "left_id string, right_id string, unit_type string, self_similarity double, similarity double", SCORED)
+
+
 def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame | None = None, depth: int = 1, kernel: Callable[..., DataFrame] = similar_pairs, types: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """Pairs of units of one type, one of ``types``, whose weighted similarity reaches its threshold.
 
@@ -71,6 +129,8 @@ def weighted_pairs(units: DataFrame, threshold: float | None, dirty: DataFrame |
     """
     t = Thresholds.of(threshold)
     limit = {"class": t.klass, "function": t.function, "block": t.block}
+    if depth == 1 and kernel is similar_pairs:
+        return _weighted_in_tiles(units, {kind: limit[kind] for kind in types}, dirty)
     known = with_parents(units, depth)
     found = kernel(units.where(F.col("unit_type").isin(*types)), {kind: self_bound(kind, limit[kind]) - 1e-9 for kind in types}, dirty)
     side = lambda s: known.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("file_path", "start_line", "end_line", "function_id", "class_id")])

@@ -40,13 +40,14 @@ def embedded(vector: Column) -> Column:
     return F.coalesce(F.size(vector), F.lit(0)) > 0
 
 
-def with_parents(units: DataFrame, depth: int = 1) -> DataFrame:
-    """Adds ``function_id`` and ``class_id``: the ancestors of those types that are ``depth`` (1 or 2) steps away at most."""
-    up = units.select(F.col("id").alias("p_id"), F.col("unit_type").alias("p_type"), F.col("parent_id").alias("pp_id"))
+def with_parents(units: DataFrame, depth: int = 1, of: DataFrame | None = None) -> DataFrame:
+    """Adds ``function_id`` and ``class_id``: the ancestors of those types that are ``depth`` (1 or 2) steps away at most. They are looked for in ``units``, or in ``of``."""
+    known = units if of is None else of
+    up = known.select(F.col("id").alias("p_id"), F.col("unit_type").alias("p_type"), F.col("parent_id").alias("pp_id"))
     one = units.join(up, F.col("parent_id") == F.col("p_id"), "left")
     if depth < 2:
         return one.withColumn("function_id", F.when(F.col("p_type") == "function", F.col("p_id"))).withColumn("class_id", F.when(F.col("p_type") == "class", F.col("p_id"))).drop("p_id", "p_type", "pp_id")
-    far = units.select(F.col("id").alias("g_id"), F.col("unit_type").alias("g_type"))
+    far = known.select(F.col("id").alias("g_id"), F.col("unit_type").alias("g_type"))
     two = one.join(far, F.col("pp_id") == F.col("g_id"), "left")
     pick = lambda t: F.coalesce(F.when(F.col("p_type") == t, F.col("p_id")), F.when(F.col("g_type") == t, F.col("g_id")))
     return two.withColumn("function_id", pick("function")).withColumn("class_id", pick("class")).drop("p_id", "p_type", "pp_id", "g_id", "g_type")

@@ -201,19 +201,19 @@ SELECT left_id, right_id, unit_type, round(self, 6) AS self_similarity, round(si
 
 @query(_WEIGHTED.format(kind="function", own=0.8, thr=0.3))
 def weighted_function_similarity(spark, d):
-    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "class")), "units")
+    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "class")).drop("code"), "units")
     return _rounded(pairs.weighted_pairs(u, 0.3, types=("function",)), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="block", own=0.7, thr=0.8))
 def weighted_block_similarity(spark, d):
-    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "block")), "units")
+    u = materialize(t.units(spark, d).where(F.col("unit_type").isin("function", "block")).drop("code"), "units")
     return _rounded(pairs.weighted_pairs(u, 0.8, types=("block",)), "self_similarity", "similarity")
 
 
 @query(_WEIGHTED.format(kind="class", own=1.0, thr=0.2))
 def weighted_class_similarity(spark, d):
-    u = materialize(t.units(spark, d).where(F.col("unit_type") == "class"), "units")
+    u = materialize(t.units(spark, d).where(F.col("unit_type") == "class").drop("code"), "units")
     return _rounded(pairs.weighted_pairs(u, 0.2, types=("class",)), "self_similarity", "similarity")
 
 

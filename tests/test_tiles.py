@@ -48,3 +48,26 @@ def test_prompts_form_where_units_meet(spark, sf_dir):
     assert rows(hashed.select("left_id", "prompt")) == rows(got.select("left_id", F.md5("prompt").alias("prompt")))
     assert verdicts.six_places(0.3000005) == "0.300001" and verdicts.six_places(1 / 3) == "0.333333"
     assert joins(registry.queries()["verdict_prompts"](spark, sf_dir)) == 0
+
+
+def family(spark):
+    """Classes, functions and blocks: some without parents, some with parents without vectors, blocks inside one another."""
+    rng = random.Random(9)
+    v = lambda: [rng.gauss(0.4, 1) for _ in range(4)]
+    out = [(f"c{i}", "c", f"{i}.js", 0, 99, "", "class", None, None if i == 2 else v()) for i in range(4)]
+    out += [(f"f{i:02}", "f", f"{i % 5}.js", i, i + 9, "", "function", rng.choice(["c0", "c1", "c2", "c3", None, "gone"]), None if i % 9 == 4 else v()) for i in range(40)]
+    out += [(f"b{i:02}", "b", f"{i % 5}.js", (s := rng.randint(0, 30)), s + rng.randint(0, 20), "", "block", rng.choice(["f01", "f04", "f07", "f09", "c1", None]), v()) for i in range(70)]
+    return spark.createDataFrame(out, UNIT_DDL)
+
+
+def test_scores_form_where_units_meet(spark, sf_dir, monkeypatch):
+    u = family(spark)
+    plain = lambda *a, **b: similarity.similar_pairs(*a, **b)  # noqa: E731  another kernel: its pairs look up their ancestors
+    some = u.where("id like '%3'").select("id")
+    six = lambda df: [(*r[:3], round(r[3], 6), round(r[4], 6)) for r in rows(df)]
+    monkeypatch.setattr(pairs, "SCORED", 16)
+    for dirty in (None, some):
+        got = six(pairs.weighted_pairs(u, 0.3, dirty))
+        assert got == six(pairs.weighted_pairs(u, 0.3, dirty, kernel=plain))
+        assert {r[2] for r in got} >= {"block", "function"}
+    assert joins(registry.queries()["weighted_function_similarity"](spark, sf_dir)) == 0
