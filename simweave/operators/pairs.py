@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simweave.functions.labels import id_key
-from simweave.operators.similarity import SLICE, cosine, in_order, marked, similar_pairs, stacked, unit_rows
-from simweave.operators.tiles import meet
+from simweave.operators.similarity import SLICE, TILE, cosine, in_order, marked, similar_pairs, stacked, unit_rows
+from simweave.operators.tiles import ROWS, meet
 from simweave.operators.units import embedded, with_parents
 from simweave.scratch import materialize
 
@@ -24,6 +24,8 @@ DEFAULT_THRESHOLDS = {"class": 0.88, "function": 0.88, "block": 0.88}
 #: Rows of a tile whose pairs are scored, and pairs scored at once.
 SCORED = 4096
 AT_ONCE = 8192
+#: Children of parents are compared in tiles unless their pairs are fewer than one in so many of all.
+FEW = 200
 
 
 @dataclass(frozen=True)
@@ -57,11 +59,46 @@ def nested_blocks(l_type: Column, lf: Column, ls: Column, le: Column, rf: Column
 
 def child_similarity(parents: DataFrame, units: DataFrame) -> DataFrame:
     """``parents`` (lp, rp) -> (lp, rp, similarity): the largest similarity of their embedded children of one type, 0 without."""
-    kids = units.where(embedded(F.col("embedding"))).select("parent_id", "unit_type", "embedding")
-    l, r = kids.select(F.col("parent_id").alias("lp"), "unit_type", F.col("embedding").alias("le")), kids.select(F.col("parent_id").alias("rp"), "unit_type", F.col("embedding").alias("re"))
-    both = parents.select("lp", "rp").distinct().join(l, "lp").join(r, ["rp", "unit_type"])
-    best = both.groupBy("lp", "rp").agg(F.max(cosine(F.col("le"), F.col("re"))).alias("similarity"))
-    return parents.select("lp", "rp").distinct().join(best, ["lp", "rp"], "left").fillna(0.0, ["similarity"])
+    ends = parents.select("lp", "rp").distinct()
+    asked = ends.select(F.col("lp").alias("parent_id")).unionAll(ends.select("rp")).distinct()
+    kids = materialize(units.where(embedded(F.col("embedding"))).join(asked, "parent_id", "left_semi").select("parent_id", "unit_type", "embedding"), "children")
+    sizes = kids.groupBy("parent_id", "unit_type").agg(F.count("*").alias("n"))
+    l, r = sizes.select(F.col("parent_id").alias("lp"), "unit_type", F.col("n").alias("ln")), sizes.select(F.col("parent_id").alias("rp"), "unit_type", F.col("n").alias("rn"))
+    wanted = ends.join(l, "lp").join(r, ["rp", "unit_type"]).agg(F.sum(F.col("ln").cast("double") * F.col("rn"))).first()[0] or 0.0
+    n = sizes.agg(F.sum("n").cast("double")).first()[0] or 0.0
+    if wanted * FEW < n * n:  # few of all pairs: each by itself
+        l, r = kids.select(F.col("parent_id").alias("lp"), "unit_type", F.col("embedding").alias("le")), kids.select(F.col("parent_id").alias("rp"), "unit_type", F.col("embedding").alias("re"))
+        best = ends.join(l, "lp").join(r, ["rp", "unit_type"]).groupBy("lp", "rp").agg(F.max(cosine(F.col("le"), F.col("re"))).alias("similarity"))
+        return ends.join(best, ["lp", "rp"], "left").fillna(0.0, ["similarity"])
+    found = meet(kids.withColumn("dirty", F.lit(True)), F.struct("parent_id", "embedding"), _best, "lp string, rp string, similarity double", TILE)
+    best = found.groupBy("lp", "rp").agg(F.max("similarity").alias("similarity")).withColumnsRenamed({"lp": "_l", "rp": "_r"})
+    return ends.join(best, (F.least("lp", "rp") == F.col("_l")) & (F.greatest("lp", "rp") == F.col("_r")), "left").select("lp", "rp", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def _best(a: pa.Table, b: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    """The largest similarity of the rows of each two parents in two tiles, or within one."""
+    def sides(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Parents in order, where the rows of each begin, the rows' vectors."""
+        t = t.sort_by("parent_id").combine_chunks()
+        names = t.column("parent_id").combine_chunks().dictionary_encode()
+        codes = names.indices.to_numpy()
+        return names.dictionary, np.flatnonzero(np.diff(codes, prepend=-1)), unit_rows(t.column("embedding").combine_chunks())
+
+    lnames, lfirst, x = sides(a)
+    rnames, rfirst, y = (lnames, lfirst, x) if b is None else sides(b)
+    width = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
+    of = np.searchsorted(lfirst, np.arange(len(x)), side="right") - 1
+    for k in range(0, len(x), SLICE):
+        most = np.maximum.reduceat(x[k : k + SLICE] @ y.T, rfirst, axis=1)
+        here, begin = np.unique(of[k : k + SLICE], return_index=True)
+        most = np.maximum.reduceat(most, begin, axis=0)
+        i, j = np.repeat(here, len(rfirst)), np.tile(np.arange(len(rfirst)), len(here))
+        s, l, r = most.ravel(), lnames.take(pa.array(i)), rnames.take(pa.array(j))
+        swap = pc.greater(l, r)
+        made = pa.RecordBatch.from_arrays([pc.if_else(swap, r, l), pc.if_else(swap, l, r), pa.array(s)], names=["lp", "rp", "similarity"])
+        for n in range(0, made.num_rows, ROWS):
+            yield made.slice(n, ROWS)
 
 
 def _score(limits: dict[str, float]):

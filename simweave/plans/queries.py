@@ -229,7 +229,7 @@ def nested_block_skip(spark, d):
 @query(f"WITH {t.FUNCTIONS}, kid AS (SELECT parent_id, embedding AS e FROM functions WHERE embedding IS NOT NULL) SELECT a.parent_id AS lp, b.parent_id AS rp, round(max({t.COSINE.format('a.e', 'b.e')}), 6) AS similarity FROM kid a JOIN kid b ON a.parent_id < b.parent_id GROUP BY ALL")
 def child_max_similarity(spark, d):
     f = t.functions(spark, d)
-    p = f.select(F.col("parent_id").alias("lp")).distinct()
+    p = f.where(F.col("embedding").isNotNull()).select(F.col("parent_id").alias("lp")).distinct()
     ends = p.join(p.select(F.col("lp").alias("rp")), F.col("lp") < F.col("rp"))
     return _rounded(pairs.child_similarity(ends, f), "similarity")
 

@@ -71,3 +71,19 @@ def test_scores_form_where_units_meet(spark, sf_dir, monkeypatch):
         assert got == six(pairs.weighted_pairs(u, 0.3, dirty, kernel=plain))
         assert {r[2] for r in got} >= {"block", "function"}
     assert joins(registry.queries()["weighted_function_similarity"](spark, sf_dir)) == 0
+
+
+def test_children_meet_in_tiles(spark, sf_dir, monkeypatch):
+    u = family(spark).withColumn("embedding", F.when(F.col("id") == "b09", F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")).otherwise(F.col("embedding")))
+    names = ["c0", "c1", "c2", "c3", "f01", "f04", "f07", "f09", "zz"]
+    ends = spark.createDataFrame([(a, b) for a in names for b in names], "lp string, rp string")
+    monkeypatch.setattr(pairs, "TILE", 8)
+    monkeypatch.setattr(pairs, "SLICE", 3)
+    got = {}
+    for few in (0, 10**9):  # each pair by itself, all in tiles
+        monkeypatch.setattr(pairs, "FEW", few)
+        got[few] = {(r["lp"], r["rp"]): round(r["similarity"], 6) for r in pairs.child_similarity(ends, u).collect()}
+    assert got[0] == got[10**9]
+    assert len(got[0]) == 81 and got[0]["c0", "zz"] == 0 and got[0]["c0", "c0"] == 1
+    plan = registry.queries()["child_max_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "aggregate(" not in plan
