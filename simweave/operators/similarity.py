@@ -11,6 +11,8 @@ column expression, for joins that already have few candidates.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -135,22 +137,34 @@ def similar_pairs(units: DataFrame, threshold: float | dict[str, float], dirty:
     return meet(rows, F.col("id"), _multiply(threshold, make), found, tile, size)
 
 
-def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = 512) -> DataFrame:
-    """The same pairs as a join with a column expression, without Python: tiles meet on their pair of numbers, so a type is many keys."""
+#: Vectors up to this long are columns of a join, longer ones stay arrays.
+WIDE = 200
+
+
+def similar_pairs_by_expression(units: DataFrame, threshold: float | dict[str, float], dirty: DataFrame | None = None, tile: int = 1024) -> DataFrame:
+    """The same pairs as a join with a column expression, without Python: tiles meet on their pair of numbers, so a type is many keys.
+
+    Components are columns, so the product of a pair is compiled arithmetic; functions on arrays are interpreted, component by component.
+    """
     rows = units.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0).select("id", "unit_type", "embedding", norm(F.col("embedding")).alias("size"))
-    sizes = rows.groupBy("unit_type").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     # a row a type
+    sizes = rows.groupBy("unit_type").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    parts = [F.coalesce(F.get("embedding", F.lit(k)).cast("double"), F.lit(0.0)).alias(f"e{k}") for k in range(width)] if width <= WIDE else [F.col("embedding")]
+    names = ["id", "size", *([f"e{k}" for k in range(width)] if width <= WIDE else ["embedding"])]
     placed = rows.join(F.broadcast(sizes), "unit_type").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("unit_type", "tile", "other", "id", "size", *parts)
     cell = [F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")]
     # each side once: a tile meets itself on both sides, others on the lower number's left
-    a = placed.where("tile <= other").select("unit_type", *cell, F.struct("id", "embedding", "size").alias("a"))
-    b = placed.where("tile >= other").select("unit_type", *cell, F.struct("id", "embedding", "size").alias("b"))
-    both = F.col("a.size") * F.col("b.size")
-    s = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col("a.embedding"), F.col("b.embedding")) / both)
+    side = lambda rows, s: rows.select("unit_type", *cell, *[F.col(c).alias(f"{s}_{c}") for c in names])
+    a, b = side(placed.where("tile <= other"), "a"), side(placed.where("tile >= other"), "b")
+    both = F.col("a_size") * F.col("b_size")
+    product = reduce(add, [F.col(f"a_e{k}") * F.col(f"b_e{k}") for k in range(width)], F.lit(0.0)) if width <= WIDE else dot(F.col("a_embedding"), F.col("b_embedding"))
+    s = F.when(both == 0, F.lit(0.0)).otherwise(product / both)
     kind = F.col("unit_type")
     least = F.lit(threshold) if not isinstance(threshold, dict) else F.coalesce(*[F.when(kind == k, F.lit(t)) for k, t in threshold.items()])
-    met = a.join(b, ["unit_type", "ta", "tb"]).where("a.id < b.id or (a.id > b.id and ta < tb)")
-    found = met.select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"), "unit_type", s.alias("similarity")).where(F.col("similarity") >= least)
+    met = a.join(b, ["unit_type", "ta", "tb"]).where("a_id < b_id or (a_id > b_id and ta < tb)")
+    found = met.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "unit_type", s.alias("similarity")).where(F.col("similarity") >= least)
     if dirty is None:
         return found
     mark = lambda c: dirty.select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))

@@ -87,3 +87,8 @@ def test_children_meet_in_tiles(spark, sf_dir, monkeypatch):
     assert len(got[0]) == 81 and got[0]["c0", "zz"] == 0 and got[0]["c0", "c0"] == 1
     plan = registry.queries()["child_max_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "aggregate(" not in plan
+
+
+def test_native_products_are_compiled(spark, sf_dir):
+    plan = registry.queries()["cosine_pairs_native"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "zipwith" not in plan.lower()
