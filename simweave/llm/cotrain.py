@@ -227,15 +227,21 @@ def _views(m: dict, part: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _sure(model, least: float):
-    """(doc_id, key, text, lang, source, n_chars) -> (doc_id, key, z0, z1): the rows of whose label a view is sure."""
+    """(doc_id, key, text, lang, source, n_chars) -> (doc_id, key, z0, z1): the rows of whose label a view is sure.
+
+    ``model`` comes with the keys that each view has taught before, at most
+    max_taught a round and class; there the view's logit is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = dict(np.load(io.BytesIO(model.value)))
+        found, done = model.value
+        m = dict(np.load(io.BytesIO(found)))
         for batch in batches:
             for part in tk.slices(batch, 2):
                 z = np.stack(_views(m, pa.RecordBatch.from_arrays(part.columns[2:], names=["text", "lang", "source", "n_chars"])))
-                at = pa.array(np.flatnonzero((np.abs(z) >= least).any(axis=0)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(x).take(at) for x in z]], names=["doc_id", "key", "z0", "z1"])
+                old = np.stack([np.isin(part.column(1).to_numpy(), x) for x in done])
+                at = np.flatnonzero(((np.abs(z) >= least) & ~old).any(axis=0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), *[pa.array(x[at], mask=o[at]) for x, o in zip(z, old, strict=True)]], names=["doc_id", "key", "z0", "z1"])
 
     return run
 
@@ -244,11 +250,6 @@ def _keys(spark: SparkSession, keys: list[int]) -> DataFrame:
     return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64())}))
 
 
-def _without(rows: DataFrame, keys: list[int]) -> DataFrame:
-    """Rows of none of the taught keys: at most 2 * max_taught a round."""
-    return rows.join(F.broadcast(_keys(rows.sparkSession, keys)), "key", "left_anti") if keys else rows
-
-
 def _fit(docs: DataFrame, told: DataFrame, pool: DataFrame, held_out: Column, max_labelled: int, max_taught: int, max_bytes: int, s: CoTraining) -> bytes:
     """The model from ``docs`` (doc_id, text, ...), the labels ``told`` (doc_id, y) and the unlabelled ``pool`` (doc_id)."""
     spark = docs.sparkSession
@@ -271,17 +272,16 @@ def _fit(docs: DataFrame, told: DataFrame, pool: DataFrame, held_out: Column, ma
     model = fitted()
     rate = float(np.load(io.BytesIO(model))["rate"])
     for _ in range(s.rounds if n_pool and not np.isnan(rate) else 0):
-        seen = spark.sparkContext.broadcast(model)
+        seen = spark.sparkContext.broadcast((model, [np.array([x for x, t in taught.items() if not np.isnan(t[1 - k])], dtype=np.int64) for k in (0, 1)]))
         # a bitmap leaves out most other rows before they are scored, an exact join of ids the rest
         mine = near(keyed.where(~held_out & (F.octet_length("text") <= max_bytes // 64)), pool, "doc_id")
         sure = mine.mapInArrow(tk.tidy(_sure(seen, least)), f"doc_id {kind}, key long, z0 double, z1 double").join(pool, "doc_id", "left_semi")
         sure = materialize(sure.select("key", "z0", "z1").dropDuplicates(["key"]), "sure")
         known = set(taught)
         for k in (0, 1):  # view k teaches view 1 - k
-            fresh = _without(sure, [x for x, t in taught.items() if not np.isnan(t[1 - k])])
             for label, part in ((1.0, rate), (0.0, 1 - rate)):
                 z = F.col(f"z{k}") * (1 if label else -1)
-                best = fresh.where(z >= least).orderBy(z.desc(), "key").limit(int(np.ceil(part * min(s.share * n_pool, max_taught))))
+                best = sure.where(z >= least).orderBy(z.desc(), "key").limit(int(np.ceil(part * min(s.share * n_pool, max_taught))))
                 for r in best.select("key").collect():
                     taught.setdefault(r["key"], [np.nan, np.nan])[1 - k] = label
         discard(sure)

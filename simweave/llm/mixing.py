@@ -89,12 +89,13 @@ def _hypergeometric(pop: str, good: str, draws: str, u: str) -> str:
 
 
 def split_tree(counts: DataFrame, depth: int, seed: int) -> DataFrame:
-    """One row with ``n``, an array of counts -> 2**depth rows (shard, n) with exact shares.
+    """One row with ``n``, an array of counts -> 2**depth rows (shard, n) with exact shares, and the other columns.
 
     A node's draws are halved (the left child gets the smaller half); the left
     child's counts follow the multivariate hypergeometric distribution.
     """
-    node = counts.select(F.lit(1).cast("long").alias("node"), "n")
+    others = [c for c in counts.columns if c != "n"]
+    node = counts.select(F.lit(1).cast("long").alias("node"), "n", *others)
     total = "aggregate(n, 0L, (s, k) -> s + k)"
     u = f"(pmod(xxhash64({seed}, node, size(a.out)), 4503599627370496L) + 0.5D) / 4503599627370496D"
     step = f"transform(array({_hypergeometric('a.pop', 'k', 'a.draws', u)}), y -> named_struct('pop', a.pop - k, 'draws', a.draws - y, 'out', concat(a.out, array(y))))[0]"
@@ -102,8 +103,8 @@ def split_tree(counts: DataFrame, depth: int, seed: int) -> DataFrame:
     for level in range(depth):
         if level == 6:
             node = node.repartition("node")  # deeper trees are many nodes
-        node = node.selectExpr(f"inline(transform(array(0L, 1L), side -> named_struct('node', 2 * node + side, 'n', transform(array({left}), l -> if(side = 0, l, zip_with(n, l, (x, y) -> x - y)))[0])))")
-    return node.select((F.col("node") - F.lit(1 << depth)).cast("int").alias("shard"), "n")
+        node = node.selectExpr(*others, f"inline(transform(array(0L, 1L), side -> named_struct('node', 2 * node + side, 'n', transform(array({left}), l -> if(side = 0, l, zip_with(n, l, (x, y) -> x - y)))[0])))")
+    return node.select((F.col("node") - F.lit(1 << depth)).cast("int").alias("shard"), "n", *others)
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, depth: int | None = None, seed: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -120,7 +121,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = materialize(targets(totals, weights, max_repeats).withColumn("n_blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long")).withColumn("quota", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")), "sources")
     if depth is None:
-        n = sources.agg(F.sum("docs")).first()[0] or 0
+        n = sources.coalesce(1).agg(F.sum("docs")).first()[0] or 0
         depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
     placed = in_blocks(rows, sources)
     by_block = materialize(placed.groupBy("rank", "block").agg(F.sum("size").alias("words")).withColumn("h", _hash(seed + 1, "block")), "words")
@@ -137,11 +138,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     units = materialize(units.withColumn("h", _hash(seed + 2, "block", "pass")).withColumn("one", F.lit(1)), "units")
     at = running(units, ["rank"], F.shiftright("h", 60 - RANGES), ["h", "block", "pass"], "one", "place")
     counts = units.groupBy("rank").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("s"))
-    leaves = split_tree(counts.select(F.col("s.n").alias("n"), F.col("s.rank").alias("ranks")).select("n"), depth, seed + 3)
-    ranks = counts.select(F.posexplode("s.rank").alias("i", "rank"))
+    leaves = split_tree(counts.select(F.col("s.n").alias("n"), F.col("s.rank").alias("ranks")), depth, seed + 3)
     # a draw's shard is the number of shards that end at or before its place
-    by_shard = Window.partitionBy("i").orderBy("shard")
-    ends = leaves.select("shard", F.posexplode("n").alias("i", "n")).withColumn("place", F.sum("n").over(by_shard)).join(ranks, "i").select("rank", "place", F.lit(1).alias("end"))
+    by_shard = Window.partitionBy("rank").orderBy("shard")
+    ends = leaves.select("shard", F.inline(F.arrays_zip("ranks", "n")).alias("rank", "n")).select("rank", F.sum("n").over(by_shard).alias("place"), F.lit(1).alias("end"))
     along = materialize(at.select("rank", "place", F.lit(0).alias("end"), "block", "pass").unionByName(ends, allowMissingColumns=True), "along")
     counted = running(along, ["rank"], F.floor(F.col("place") / PLACES), ["place", F.desc("end"), "block", "pass"], "end", "shard").where("end = 0")
     shards = counted.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("d")).select("rank", "block", F.col("d.shard").alias("shards"))

@@ -349,3 +349,16 @@ def test_each_view_teaches_the_other_what_it_is_surest_of(spark, docs, mixed_qua
                 want.setdefault(key, [np.nan, np.nan])[1 - k] = label
     same = lambda d: {k: [str(x) for x in v] for k, v in d.items()}
     assert same(told[1]) == same(want)
+
+
+def test_a_view_is_not_asked_again_what_it_has_taught():
+    """The taught keys come with the model: no join of them for each view and class."""
+    from types import SimpleNamespace
+
+    out = io.BytesIO()
+    np.savez(out, text=np.full((1 << cotrain.BITS) + 1, 5.0), meta=np.full(cotrain.DENSE * (cotrain.BINS + 1) + 2 * cotrain.KINDS + 1, 5.0), edges=np.zeros((cotrain.DENSE, cotrain.BINS)))
+    columns = [pa.array([1, 2, 3, 4]), pa.array([11, 12, 13, 14]), pa.array(["some words"] * 4), pa.array(["en"] * 4), pa.array(["a"] * 4), pa.array([10] * 4)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "text", "lang", "source", "n_chars"])
+    done = [np.array([12, 13]), np.array([13])]
+    got = [r for b in cotrain._sure(SimpleNamespace(value=(out.getvalue(), done)), 2.9)([batch]) for r in b.to_pylist()]
+    assert [(r["key"], r["z0"] is None, r["z1"] is None) for r in got] == [(11, False, False), (12, True, False), (14, False, False)]

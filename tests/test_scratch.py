@@ -4,6 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from simweave import scratch
 from simweave.scratch import ARROW, discard, materialize, scratch_root
 
 
@@ -24,3 +25,12 @@ def test_the_cluster_names_the_folder():
     bare = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=dict, master="yarn"))
     with pytest.raises(ValueError):
         scratch_root(bare)
+
+
+def test_what_the_driver_freed_goes_back(spark, monkeypatch):
+    said, real, mode = [], scratch.trim_native, spark.conf.get("spark.sql.ui.explainMode")
+    monkeypatch.setattr(scratch, "trim_native", lambda s: said.append(real(s)))
+    monkeypatch.setattr(scratch, "_TRIMMED", {})
+    discard(materialize(spark.range(3), "t"), materialize(spark.range(3), "t"))
+    assert len(said) == 1 and "Trim native heap" in said[0]  # not after every one of many small tables
+    assert spark.conf.get("spark.sql.ui.explainMode") == mode
